@@ -49,7 +49,7 @@ def country_dimension(spark: SparkSession, overrides: dict = None) -> DataFrame:
     english = locale.ENGLISH
     rows = []
     for code in locale.getISOCountries():
-        place = locale.of("", code) if hasattr(locale, "of") else locale("", code)
+        place = locale.forLanguageTag(f"und-{code}")
         name = (overrides or {}).get(code, place.getDisplayCountry(english))
         rows.append((code, place.getISO3Country(), name))
     return spark.createDataFrame(rows, "iso2 string, iso3 string, country string")

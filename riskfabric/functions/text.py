@@ -12,6 +12,11 @@ def blank(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once so that lambdas refer to it instead of computing it per element."""
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+
+
 def phrase(*parts) -> Column:
     """Join text parts with one blank, NULL counting as empty."""
     return F.concat_ws(" ", *[blank(p) for p in parts])
@@ -104,7 +109,7 @@ def entity_context(headline: Column, summary: Column = None, operational=V.OPERA
     text = F.lower(phrase(headline, summary if summary is not None else F.lit("")))
     found_routes = labels_present(text, routes)
     found_modes = labels_present(text, modes)
-    names = F.transform(F.regexp_extract_all(blank(headline), F.lit(V.ENTITY_PATTERN), F.lit(0)), F.trim)
+    names = F.transform(F.regexp_extract_all(blank(headline), F.lit(V.ENTITY_PATTERN), F.lit(0)), lambda n: F.trim(n))
     names = F.filter(names, lambda n: (F.length(n) > 2) & ~F.lower(n).isin("the", "a", "an"))
     terms = F.size(hits(F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))), operational))
     relevance = F.least(F.lit(100), 15 + terms * 14 + F.size(found_modes) * 10 + F.size(found_routes) * 15)

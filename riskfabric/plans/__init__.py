@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["volume", "text"]
+GROUPS = ["volume", "text", "store"]
 
 
 def load_checks() -> dict:
