@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["volume", "text", "store"]
+GROUPS = ["volume", "text", "store", "relational"]
 
 
 def load_checks() -> dict:
