@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["volume", "text", "store", "relational"]
+GROUPS = ["volume", "text", "store", "relational", "scoring"]
 
 
 def load_checks() -> dict:

@@ -1,8 +1,10 @@
 """Session defaults and lineage control."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Rows a caller must prove before a side may be hinted for broadcast.
 BROADCAST_ROW_LIMIT = 200_000
@@ -44,3 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and continue from there (survives lost executors)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Close an expression-heavy step with an observed row count.
+
+    Filters on derived columns stay above the observation, so Catalyst does not copy the whole scoring
+    expression into every predicate; columns are still pruned through it.
+    """
+    return df.observe(f"{name}-{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))
