@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["volume", "text", "store", "relational", "scoring"]
+GROUPS = ["volume", "text", "store", "relational", "scoring", "models"]
 
 
 def load_checks() -> dict:
