@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["volume", "text", "store", "relational", "scoring", "models"]
+GROUPS = ["volume", "text", "store", "relational", "scoring", "models", "stories"]
 
 
 def load_checks() -> dict:
