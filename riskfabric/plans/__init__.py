@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["volume", "text", "store", "relational", "scoring", "models", "stories"]
+GROUPS = ["volume", "text", "store", "relational", "scoring", "models", "stories", "feeds"]
 
 
 def load_checks() -> dict:

@@ -26,15 +26,15 @@ _NORM = f"list_sort(list_distinct(list_transform({key_words_sql('headline')}, la
 _GENERAL = V.GENERIC_EVENT_WORDS + V.EVENT_ACTORS + V.EVENT_ACTIONS + V.EVENT_TARGETS
 VIEWS["m_features"] = f"SELECT article_id, country, category, published_at, url, {_NORM} AS t, contains(lower(headline), 'drone') OR contains(lower(headline), 'missile') AS armed FROM b_articles"
 VIEWS["m_pairs"] = f"""
-SELECT a.article_id, s.article_id AS seed_id, a.t AS at, s.t AS st, a.armed AND s.armed AS armed, list_intersect(a.t, s.t) AS sh FROM m_features a
+SELECT a.article_id, s.article_id AS seed_id, a.t AS a_t, s.t AS st, a.armed AND s.armed AS armed, list_intersect(a.t, s.t) AS sh FROM m_features a
 JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY published_at DESC, url DESC) AS rn FROM m_features) WHERE rn <= 3) s ON s.country = a.country WHERE s.article_id <> a.article_id"""
 
 
 @check("match_event_pairs", f"""
-SELECT article_id, seed_id, round(len(sh) / CAST(len(at) + len(st) - len(sh) AS DOUBLE), 9) AS jaccard,
-  (len(sp) > 0 AND (list_has_any(sh, {text_list(V.THREAT_TERMS)}) OR (armed AND list_has_any(at, ['strike', 'attack']) AND list_has_any(st, ['strike', 'attack']))))
+SELECT article_id, seed_id, round(len(sh) / CAST(len(a_t) + len(st) - len(sh) AS DOUBLE), 9) AS jaccard,
+  (len(sp) > 0 AND (list_has_any(sh, {text_list(V.THREAT_TERMS)}) OR (armed AND list_has_any(a_t, ['strike', 'attack']) AND list_has_any(st, ['strike', 'attack']))))
   OR (list_has_any(sh, {text_list(V.EVENT_ACTIONS)}) AND list_has_any(sh, {text_list(V.EVENT_TARGETS)}) AND (list_has_any(sh, {text_list(V.EVENT_ACTORS)}) OR list_has_any(sh, {text_list(V.EVENT_ROUTES)})) AND len(sh) >= 3) AS anchors
-FROM (SELECT *, list_filter(sh, lambda w: length(w) >= 5 AND NOT list_contains({text_list(_GENERAL)}, w) AND NOT regexp_full_match(w, '[0-9]+')) AS sp FROM m_pairs)""".replace(" AS at", " AS a_t").replace("(at,", "(a_t,").replace("len(at)", "len(a_t)"))
+FROM (SELECT *, list_filter(sh, lambda w: length(w) >= 5 AND NOT list_contains({text_list(_GENERAL)}, w) AND NOT regexp_full_match(w, '[0-9]+')) AS sp FROM m_pairs)""")
 def match_event_pairs(spark, folder):
     a = match.with_event_features(B.articles(spark, folder).select("article_id", "country", "published_at", "url", "headline"))
     seeds = store.top_per_key(a, ["country"], [F.desc("published_at"), F.desc("url")], 3).select("country", F.col("article_id").alias("seed_id"), F.col("f").alias("b"))
@@ -42,8 +42,6 @@ def match_event_pairs(spark, folder):
     return pairs.select("article_id", "seed_id", F.round(match.jaccard(F.col("a.tokens"), F.col("b.tokens")), 9).alias("jaccard"), match.anchors_agree(F.col("a"), F.col("b")).alias("anchors"))
 
 
-VIEWS["m_pairs"] = VIEWS["m_pairs"].replace("a.t AS at", "a.t AS a_t")
-
 
 @check("match_same_story")
 def match_same_story(spark, folder):
@@ -240,10 +238,11 @@ def rank_preference_model(spark, folder):
 
 
 def ranked(spark, folder):
-    f = B.feedback(spark, folder).withColumn("doc_id", -F.col("rating_id") - 1)
+    f = B.feedback(spark, folder).withColumn("doc_id", -F.col("rating_id") - 1).withColumn("summary", F.lit(None).cast("string"))
+    short = text.summary_text(F.col("country"), F.col("category"), F.col("headline"), F.col("publisher"), F.col("summary"))  # what a story roll-up stores
     pairs = f.select("profile", "country").distinct()
     c = (store.top_per_key(risky(spark, folder), ["country"], [F.desc("published_at"), F.desc("url")], 15).withColumn("relevance_score", F.lit(60))
-         .withColumn("transport_mode", F.col("risk.mode")).withColumn("doc_id", F.col("article_id"))
+         .withColumn("transport_mode", F.col("risk.mode")).withColumn("doc_id", F.col("article_id")).withColumn("summary", short)
          .select("country", "doc_id", "url", "headline", "summary", "category", "transport_mode", "published_at", "relevance_score", "risk"))
     return ranking.rank_articles(c.join(pairs, "country"), f, B.as_of())
 
