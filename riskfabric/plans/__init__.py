@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["volume", "text", "store", "relational", "scoring", "models", "stories", "feeds"]
+GROUPS = ["volume", "text", "store", "relational", "scoring", "models", "stories", "feeds", "streams"]
 
 
 def load_checks() -> dict:

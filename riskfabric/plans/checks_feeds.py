@@ -17,7 +17,7 @@ def polls(rows, struct, key="event_id", into="x"):
 
 
 @check("feed_earthquakes", """
-SELECT 'usgs-' || event_id AS id, CASE WHEN m >= 6 THEN 'Critical' WHEN m >= 5 THEN 'High' ELSE 'Watch' END AS severity, coalesce(nullif(country, 'Iran'), 'Unknown') AS location, epoch_ms(ts) AS observed_ms,
+SELECT 'usgs-' || event_id AS id, CASE WHEN m >= 6 THEN 'Critical' WHEN m >= 5 THEN 'High' ELSE 'Watch' END AS severity, coalesce(nullif(country, 'Iran'), 'Unknown') AS location, epoch_us(ts) // 1000 AS observed_ms,
   'USGS recorded a magnitude ' || printf('%.1f', m) || ' earthquake near ' || coalesce(nullif(country, 'Iran'), 'the reported location') || '.' AS summary
 FROM (SELECT *, 4.5::DOUBLE + (event_id % 25) / 10.0::DOUBLE AS m, row_number() OVER (PARTITION BY event_id // 50 ORDER BY event_id) AS rn FROM b_events) WHERE rn <= 20""")
 def feed_earthquakes(spark, folder):
