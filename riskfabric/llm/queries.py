@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfabric.llm import chat, mixing
+from riskfabric.llm import bpe, chat, fingerprint, mixing, shared, tokenfile
 
 MIX_SEED, MIX_TEMPERATURE = 17, 0.5
 
@@ -70,8 +71,40 @@ SELECT doc_id, text, lang, source, n_chars, copy, md5('{MIX_SEED}|order|' || doc
 FROM (SELECT * EXCLUDE (mean, u, copies), unnest(range(0, copies)) AS copy FROM counted)
 """
 
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents and the bytes decoded from them, as digests."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = bpe.decode(bpe.encode(read(spark, folder, "documents").select("doc_id", "text"), path, pattern), path, pattern)
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as Arrow files of token sequences, and read back."""
+    target = shared.shared_folder(spark, "tokens")
+    files = tokenfile.write(read(spark, folder, "documents"), target, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return tokenfile.read_documents(files).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, and how alike they and the next document are by what peeling recovers."""
+    rows = fingerprint.with_next(read(spark, folder, "documents"))
+    changed = fingerprint.edited(F.col("text"), F.col("next_text"))
+    digests = rows.withColumn("changed", changed).select(
+        "row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"), fingerprint.paragraphs(F.col("text")).alias("own"),
+        fingerprint.paragraphs(F.col("changed")).alias("edited"), fingerprint.paragraphs(F.col("next_text")).alias("next"))
+    digests = shared.written(digests, "digests")
+    found = fingerprint.compare(digests, "row", "own", ["edited", "next"])
+    texts = fingerprint.sketch_text(digests.repartition(F.col("row")), "row", ["own", "edited"])
+    alike = lambda name: fingerprint.likeness(F.size("own"), F.size(name), F.size(f"{name}_alone") + F.size(f"{name}_new")).cast("double")
+    return texts.join(found, "row").select("doc_id", "n_chars", "edited_sha256", F.col("own_fingerprint").alias("fingerprint"), F.col("edited_fingerprint"),
+                                           alike("edited").alias("near_edited"), alike("next").alias("near_next"))
+
+
 #: name -> (query, SQL or None)
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
+    "op2_byte_bpe": (op2_byte_bpe, None),
     "op5_source_mixture": (op5_source_mixture, OP5_SQL),
+    "op6_token_files": (op6_token_files, None),
+    "op10_fingerprints": (op10_fingerprints, None),
 }
