@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfabric.llm import bpe, chat, fingerprint, mixing, shared, tokenfile
+from riskfabric.llm import bpe, chat, fingerprint, jaccard, mixing, shared, tokenfile
 
 MIX_SEED, MIX_TEMPERATURE = 17, 0.5
 
@@ -53,6 +53,11 @@ FROM summed GROUP BY conv_id
 """
 
 
+def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents linked at a Jaccard similarity of 0.9 of their 3-word shingles."""
+    return jaccard.ngram_groups(read(spark, folder, "documents"), width=3, share=(90, 100))
+
+
 def op5_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed to shares proportional to the square root of their source's size."""
     return mixing.mix(read(spark, folder, "documents"), seed=MIX_SEED, temperature=MIX_TEMPERATURE)
@@ -104,6 +109,7 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
     "op2_byte_bpe": (op2_byte_bpe, None),
+    "op3_ngram_jaccard": (op3_ngram_jaccard, None),
     "op5_source_mixture": (op5_source_mixture, OP5_SQL),
     "op6_token_files": (op6_token_files, None),
     "op10_fingerprints": (op10_fingerprints, None),
