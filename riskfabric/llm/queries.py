@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfabric.llm import bpe, chat, fingerprint, jaccard, mixing, shared, tokenfile
+from riskfabric.llm import bpe, chat, fingerprint, html, jaccard, mixing, neardup, shared, tokenfile
 
 MIX_SEED, MIX_TEMPERATURE = 17, 0.5
 
@@ -90,6 +90,27 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.read_documents(files).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op7_embedding_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95."""
+    return neardup.near_duplicates(read(spark, folder, "embeddings"), threshold=0.95)
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, row_number() OVER () AS r, CASE WHEN list_bool_and([coalesce(isfinite(x), false) FOR x IN embedding]) THEN embedding::DOUBLE[] END AS e FROM embeddings),
+u AS (SELECT vec_id, r, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE e IS NOT NULL AND len(e) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r != b.r AND a.norm > 0 AND b.norm > 0 AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach AS (SELECT r, r AS s FROM v UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.s = links.a),
+low AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.s GROUP BY reach.r)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.r)::BIGINT AS n_links, low.component_id, v.vec_id = low.component_id AS kept FROM v JOIN low USING (r)
+"""
+
+
+def op8_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(read(spark, folder, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and their edited texts, and how alike they and the next document are by what peeling recovers."""
     rows = fingerprint.with_next(read(spark, folder, "documents"))
@@ -112,5 +133,7 @@ QUERIES = {
     "op3_ngram_jaccard": (op3_ngram_jaccard, None),
     "op5_source_mixture": (op5_source_mixture, OP5_SQL),
     "op6_token_files": (op6_token_files, None),
+    "op7_embedding_near_duplicates": (op7_embedding_near_duplicates, OP7_SQL),
+    "op8_page_text": (op8_page_text, None),
     "op10_fingerprints": (op10_fingerprints, None),
 }
