@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfabric.llm import bpe, chat, fingerprint, html, jaccard, mixing, neardup, shared, tokenfile
+from riskfabric.llm import bpe, chat, fingerprint, html, jaccard, mixing, neardup, quality, shared, tokenfile
 
 MIX_SEED, MIX_TEMPERATURE = 17, 0.5
 
@@ -58,6 +59,14 @@ def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.ngram_groups(read(spark, folder, "documents"), width=3, share=(90, 100))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade and probability of the top grade of all documents, and whether the document is selected."""
+    documents = read(spark, folder, "documents")
+    model = quality.fit(documents, quality.grades(read(spark, folder, "labels")))
+    rated = quality.rate(documents.select("doc_id", "text"), model)
+    return rated.select("doc_id", "expected_grade", F.col("tail").alias("tail_probability"), (F.col("tail") >= corpus_pipeline.LEAST_TAIL).alias("selected"))
+
+
 def op5_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed to shares proportional to the square root of their source's size."""
     return mixing.mix(read(spark, folder, "documents"), seed=MIX_SEED, temperature=MIX_TEMPERATURE)
@@ -131,9 +140,11 @@ QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
     "op2_byte_bpe": (op2_byte_bpe, None),
     "op3_ngram_jaccard": (op3_ngram_jaccard, None),
+    "op4_quality": (op4_quality, None),
     "op5_source_mixture": (op5_source_mixture, OP5_SQL),
     "op6_token_files": (op6_token_files, None),
     "op7_embedding_near_duplicates": (op7_embedding_near_duplicates, OP7_SQL),
     "op8_page_text": (op8_page_text, None),
     "op10_fingerprints": (op10_fingerprints, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

@@ -13,6 +13,8 @@ BLOCK = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII characters but letters and digits.
+NO_WORD = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[0x41:0x5B] += 32
 _PLAIN = np.arange(256, dtype=np.uint64)
@@ -54,13 +56,13 @@ def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, np.ndarra
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of the texts of one block: hash, byte range, and the range of words of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE):
         n = len(data)
         inside = np.zeros(n + 2, dtype=bool)
-        inside[1:-1] = ~_SPACE[data]
+        inside[1:-1] = ~space[data]
         cut = np.zeros(n + 1, dtype=bool)
         cut[offsets] = True
-        self.starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))[: None]
+        self.starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
         self.ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
         powers, inverse = _power_tables(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
