@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfabric.llm import bpe, chat, fingerprint, html, jaccard, mixing, neardup, quality, shared, tokenfile
+from riskfabric.llm import bpe, chat, fingerprint, html, jaccard, licenses, mixing, neardup, quality, shared, tokenfile
+from riskfabric.llm.license_texts import LICENSES
 
 MIX_SEED, MIX_TEMPERATURE = 17, 0.5
 
@@ -120,6 +121,11 @@ def op8_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(read(spark, folder, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licenses whose texts or notices the documents hold, with coverage and place."""
+    return licenses.scan(read(spark, folder, "documents"), LICENSES)
+
+
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and their edited texts, and how alike they and the next document are by what peeling recovers."""
     rows = fingerprint.with_next(read(spark, folder, "documents"))
@@ -145,6 +151,7 @@ QUERIES = {
     "op6_token_files": (op6_token_files, None),
     "op7_embedding_near_duplicates": (op7_embedding_near_duplicates, OP7_SQL),
     "op8_page_text": (op8_page_text, None),
+    "op9_license_scan": (op9_license_scan, None),
     "op10_fingerprints": (op10_fingerprints, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
