@@ -161,7 +161,7 @@ def scan(documents: DataFrame, licenses: dict[str, str], key: str = "doc_id", te
                         hit = np.flatnonzero(vocabulary[at] == found.hashes)
                         owner = np.searchsorted(found.offsets, hit, side="right") - 1
                         held, number = np.unique(owner, return_inverse=True)
-                        counts = np.bincount(number * len(vocabulary) + at[hit], minlength=len(held) * len(vocabulary)).reshape(len(held), -1)
+                        counts = np.bincount(number * len(vocabulary) + at[hit], minlength=len(held) * len(vocabulary)).reshape(len(held), len(vocabulary))
                         for t, (name, body, _) in enumerate(templates):
                             enough = np.minimum(counts[:, member[t]], amount[t, member[t]]).sum(axis=1) >= coverage * len(body)
                             for doc in held[enough].tolist():
