@@ -181,7 +181,8 @@ def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text",
     sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tree).cast("int").alias("trees"))
     members = members.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
     members = written(members, "members")
-    texts = documents.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("text")).where(F.col("node").isNotNull())
+    # Members are a share of all documents: nothing bounds them for a broadcast, so texts and members are sorted and merged at every size.
+    texts = documents.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("text")).where(F.col("node").isNotNull()).hint("merge")
 
     everywhere = F.when((F.col("root") == F.col("node")) & (F.col("trees") > 1), F.sequence(F.lit(0), F.col("trees") - 1)).otherwise(F.array("part"))
     first = members.withColumn("part", F.explode(everywhere)).join(texts, "node").select(
