@@ -63,7 +63,7 @@ def leader_clusters(items: DataFrame, block, item="item_id", time="published_at"
         kind = items.schema[item].dataType.simpleString()
         seeds = nodes.groupBy(*block).applyInPandas(_greedy, f"rep {kind}")
         seeds = cut(batch.join(seeds, "rep", "left_semi").select(*block, F.col("rep").alias("seed"), F.col("o").alias("o_b"), F.col("t").alias("t_b"), F.col("f").alias("b")))
-        star = undecided.select(*block, "rep", "o", F.col("t").alias("t_a"), F.col("f").alias("a")).join(seeds, block).filter(F.col("o_b") > F.col("o"))
+        star = _paired(undecided.select(*block, "rep", "o", F.col("t").alias("t_a"), F.col("f").alias("a")), seeds, block, span).filter(F.col("o_b") > F.col("o"))
         hits = matched_pairs(_near(star, span)).groupBy("rep").agg(F.max_by("seed", "o_b").alias("seed"))
         own = seeds.select(F.col("seed").alias("rep"), "seed")
         step = cut(hits.join(own.select("rep"), "rep", "left_anti").unionByName(own))
@@ -85,6 +85,21 @@ def _near(pairs: DataFrame, span) -> DataFrame:
     return pairs.filter(F.col("t_a").isNull() | F.col("t_b").isNull() | (F.abs(F.col("t_a") - F.col("t_b")) <= span))
 
 
+def _paired(items: DataFrame, seeds: DataFrame, block, span) -> DataFrame:
+    """Items (time ``t_a``) and seeds (``t_b``) of a block that can lie within ``span`` of each other.
+
+    The key is the block and the span-wide slot of the seed's time, in which and beside which an item must lie. Rows without a time are near
+    everything and meet their block.
+    """
+    if span is None:
+        return items.join(seeds, block)
+    slot = lambda t: F.floor(F.col(t) / span)
+    timed = items.filter("t_a IS NOT NULL").withColumn("__slot", F.explode(F.array(slot("t_a") - 1, slot("t_a"), slot("t_a") + 1)))
+    slotted = timed.join(seeds.filter("t_b IS NOT NULL").withColumn("__slot", slot("t_b")), [*block, "__slot"]).drop("__slot")
+    free = items.join(seeds.filter("t_b IS NULL"), block).unionByName(items.filter("t_a IS NULL").join(seeds.filter("t_b IS NOT NULL"), block))
+    return slotted.unionByName(free)
+
+
 def roll_up(items: DataFrame, clusters: DataFrame, block=("country", "category"), item="item_id", time="published_at", tie="url") -> DataFrame:
     """One story per cluster: newest item, one source per family (newest first), scope label, summary."""
     joined = items.join(clusters, item)
@@ -118,12 +133,13 @@ def merge_sources(stories: DataFrame, additions: DataFrame, key="article_id", bl
 
     ``stories`` is the short selected list per country, so additions meet a bounded number of stories.
     """
+    span = days * 86_400_000_000
     a = with_event_features(additions.withColumn("__added", F.struct("publisher", "url", "coverage_scope", "source_type", "source_family", "indexed_by", "headline")))
     a = a.select(*block, "__added", F.col("f").alias("b"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("t_b"), F.col("url").alias("__u"))
     s = with_event_features(stories).select(*block, key, F.col("headline").alias("__head"), F.col("f").alias("a"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("t_a"),
                                             F.transform("sources", lambda x: x["source_family"]).alias("__seen"))
-    pairs = a.join(s, list(block)).filter(~F.array_contains("__seen", F.col("__added.source_family")))
-    hits = matched_pairs(_near(pairs, days * 86_400_000_000)).withColumn("__family", F.col("__added.source_family"))
+    pairs = _paired(s, a, list(block), span).filter(~F.array_contains("__seen", F.col("__added.source_family")))
+    hits = matched_pairs(_near(pairs, span)).withColumn("__family", F.col("__added.source_family"))
     one = hits.groupBy(key, "__family").agg(F.max_by(F.struct("__added", "__head"), F.struct("t_b", "__u")).alias("x"))
     fresh = one.withColumn("__variance", fact_variance(F.col("x.__head"), F.col("x.__added.headline")))
     element = stories.schema["sources"].dataType.elementType

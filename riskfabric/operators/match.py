@@ -28,7 +28,7 @@ def with_event_features(df: DataFrame, headline="headline", into="f") -> DataFra
     keep = lambda words: F.array_intersect(t, F.lit(list(words)))
     specific = F.filter(t, lambda w: (F.length(w) >= 5) & ~w.isin(sorted(general)) & ~w.rlike("^[0-9]+$"))
     return (df.withColumn("__f", event_features(F.col(headline)))
-              .withColumn(into, F.struct(t.alias("tokens"), F.array_join(t, " ").alias("key"), F.col("__f.armed").alias("armed"), specific.alias("specific"),
+              .withColumn(into, F.struct(t.alias("tokens"), F.array_join(t, " ").alias("key"), letter_counts(F.array_join(t, " ")).alias("letters"), F.col("__f.armed").alias("armed"), specific.alias("specific"),
                                          keep(V.THREAT_TERMS).alias("threats"), keep(["strike", "attack"]).alias("blows"), keep(V.EVENT_ACTORS).alias("actors"),
                                          keep(V.EVENT_ACTIONS).alias("actions"), keep(V.EVENT_TARGETS).alias("targets"), keep(V.EVENT_ROUTES).alias("routes")))
               .drop("__f"))
@@ -47,6 +47,21 @@ def anchors_agree(a: Column, b: Column) -> Column:
     return (both("specific") & (both("threats") | armed)) | roles
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz "
+
+
+def letter_counts(key: Column) -> Column:
+    """How often each letter and the space occur in a key text, and all other characters together."""
+    counts = [F.length(key) - F.length(F.replace(key, F.lit(c), F.lit(""))) for c in LETTERS]
+    return F.array(*counts, F.length(key) - sum(counts[1:], counts[0]))
+
+
+def letters_allow(a: Column, b: Column, threshold=RATIO) -> Column:
+    """Character bound of the sequence ratio on features: matching blocks hold no more of a letter than both texts do."""
+    common = F.aggregate(F.zip_with(a["letters"], b["letters"], lambda x, y: F.least(x, y)), F.lit(0), lambda acc, n: acc + n)
+    return 2 * common >= threshold * (F.length(a["key"]) + F.length(b["key"])) - 1e-9
+
+
 def ratio_possible(a: Column, b: Column, threshold=RATIO) -> Column:
     """Length bound of the sequence ratio: false means the ratio cannot reach the threshold."""
     la, lb = F.length(a), F.length(b)
@@ -77,72 +92,66 @@ def matched_pairs(pairs: DataFrame, later="a", seed="b") -> DataFrame:
     """Keep pairs of features that describe the same event. Native tests first, the ratio only for what is left."""
     a, b = F.col(later), F.col(seed)
     native = (jaccard(a["tokens"], b["tokens"]) >= JACCARD) | anchors_agree(a, b)
-    marked = pairs.withColumn("__native", native).filter(F.col("__native") | ratio_possible(a["key"], b["key"]))
+    possible = ratio_possible(a["key"], b["key"]) & letters_allow(a, b)
+    marked = pairs.withColumn("__native", native).filter(F.col("__native") | possible)
     tested = ratio_matches(F.when(~F.col("__native"), a["key"]), F.when(~F.col("__native"), b["key"]))
     return marked.withColumn("__hit", F.col("__native") | tested).filter("__hit").drop("__native", "__hit")
 
 
 # ------------------------------------------------------------------ near copies in a corpus
-def near_duplicate_leaders(docs: DataFrame, doc="doc_id", tokens="tokens", threshold=JACCARD, star_rounds=4) -> DataFrame:
+def near_duplicate_leaders(docs: DataFrame, doc="doc_id", tokens="tokens", threshold=JACCARD, shrink=2) -> DataFrame:
     """Leader clustering of texts by token-set Jaccard: (doc, leader).
 
-    In ascending id order a text joins the earliest leader it is similar to, else becomes a leader. Equal token
-    sets collapse first. Similar sets must share a token of their rare-token prefix, so:
+    In ascending id order a text joins the earliest leader it is similar to, else becomes a leader. Equal token sets collapse first; similar sets
+    share a token of their rare-token prefix. A set is a leader exactly when no earlier similar set is one, so leaders are found before anything is assigned:
+
+    * ``shrink`` rounds take sets that are the earliest open one on all their prefix tokens, and close what is similar to them (large families, linear work);
+    * the similar pairs of what is left are verified once, and rounds on them take every set without an earlier open partner.
 
-    * a set that is the earliest undecided one on all its prefix tokens has no possible earlier partner: leader;
-    * every undecided set is compared with the one new leader of each of its prefix tokens (linear work);
-    * what is left after a few rounds has its large families removed and is resolved on its similarity edges.
+    Every other set then takes the smallest similar leader. The result does not depend on ``shrink``.
     """
     from riskfabric.session import cut
-    named = docs.select(F.col(doc).alias("__id"), F.array_sort(F.array_distinct(F.col(tokens))).alias("__set"))
-    sets = cut(named.groupBy("__set").agg(F.min("__id").alias("id")))
+    sets_of = docs.select(F.col(doc).alias("__id"), F.array_sort(F.array_distinct(F.col(tokens))).alias("__set"))
+    named = sets_of.withColumn("__digest", F.sha2(F.to_json("__set"), 256))
+    sets = cut(named.groupBy("__digest").agg(F.min("__id").alias("id"), F.first("__set").alias("__set")))
     frequency = sets.select(F.explode("__set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     ranked = (sets.select("id", F.size("__set").alias("size"), F.explode("__set").alias("token")).join(frequency, "token")
               .groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")))
     length = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
     prefix = cut(ranked.select("id", "size", F.explode(F.slice("order", F.lit(1), length.cast("int"))).alias("p")).select("id", "size", "p.token"))
     contents = sets.select("id", "__set")
-    # an empty set has no tokens: it is its own family
-    undecided = sets.select("id")
-    decided = []
 
-    def verified(pairs):
-        """pairs (id, leader) whose sets are similar."""
-        both = (pairs.distinct().join(contents.withColumnRenamed("__set", "x"), "id")
+    def similar(ids, leaders):
+        """Verified pairs (id, leader) with an earlier set of ``leaders``."""
+        index = prefix.join(leaders, "id", "left_semi").select("token", F.col("id").alias("leader"), F.col("size").alias("leader_size"))
+        fits = (F.col("size") * threshold <= F.col("leader_size")) & (F.col("leader_size") * threshold <= F.col("size"))
+        pairs = prefix.join(ids, "id", "left_semi").join(index, "token").filter(fits & (F.col("leader") < F.col("id"))).select("id", "leader").distinct()
+        both = (pairs.join(contents.withColumnRenamed("__set", "x"), "id")
                 .join(contents.select(F.col("id").alias("leader"), F.col("__set").alias("y")), "leader"))
         return both.filter(jaccard(F.col("x"), F.col("y")) >= threshold).select("id", "leader")
 
-    def settle(undecided, leaders):
-        index = prefix.join(leaders.select("id"), "id", "left_semi").select("token", F.col("id").alias("leader"), F.col("size").alias("leader_size"))
-        open_prefix = prefix.join(undecided, "id", "left_semi")
-        fits = (F.col("size") * threshold <= F.col("leader_size")) & (F.col("leader_size") * threshold <= F.col("size"))
-        hits = verified(open_prefix.join(index, "token").filter(fits & (F.col("leader") < F.col("id"))).select("id", "leader"))
-        members = hits.groupBy("id").agg(F.min("leader").alias("leader"))
-        return cut(members.unionByName(leaders.select("id", F.col("id").alias("leader"))))
+    def close(still_open, new, pairs):
+        members = pairs.select("id").distinct()
+        return cut(still_open.join(new, "id", "left_anti").join(members, "id", "left_anti"))
 
-    for _ in range(star_rounds):
-        live = prefix.join(undecided, "id", "left_semi")
+    # A set without tokens has no prefix and so no partner: it is its own leader.
+    still_open, leaders = sets.select("id"), None
+    for _ in range(shrink):
+        live = prefix.join(still_open, "id", "left_semi")
         first = live.groupBy("token").agg(F.min("id").alias("first"))
         blocked = live.join(first, "token").filter(F.col("first") < F.col("id")).select("id").distinct()
-        leaders = undecided.join(blocked, "id", "left_anti")
-        step = settle(undecided, leaders)
-        decided.append(step)
-        undecided = cut(undecided.join(step.select("id"), "id", "left_anti"))
-        if undecided.isEmpty():
-            break
-    else:
-        live = prefix.join(undecided, "id", "left_semi")
-        other = live.select("token", F.col("id").alias("leader"), F.col("size").alias("leader_size"))
-        fits = (F.col("size") * threshold <= F.col("leader_size")) & (F.col("leader_size") * threshold <= F.col("size"))
-        edges = cut(verified(live.join(other, "token").filter(fits & (F.col("leader") < F.col("id"))).select("id", "leader")))
-        while not undecided.isEmpty():
-            open_edges = edges.join(undecided.select(F.col("id").alias("leader")), "leader", "left_semi").join(undecided, "id", "left_semi")
-            leaders = undecided.join(open_edges.select("id").distinct(), "id", "left_anti")
-            hits = edges.join(leaders.select(F.col("id").alias("leader")), "leader", "left_semi").join(undecided, "id", "left_semi")
-            step = cut(hits.groupBy("id").agg(F.min("leader").alias("leader")).unionByName(leaders.select("id", F.col("id").alias("leader"))))
-            decided.append(step)
-            undecided = cut(undecided.join(step.select("id"), "id", "left_anti"))
-    assigned = decided[0]
-    for step in decided[1:]:
-        assigned = assigned.unionByName(step)
-    return (named.join(sets, "__set").join(assigned, "id").select(F.col("__id").alias(doc), F.col("leader").cast(docs.schema[doc].dataType).alias("leader")))
+        new = cut(still_open.join(blocked, "id", "left_anti"))
+        leaders = cut(leaders.unionByName(new)) if leaders is not None else new
+        still_open = close(still_open, new, similar(still_open, new))
+    edges = cut(similar(still_open, still_open))
+    while not still_open.isEmpty():
+        names = still_open.select(F.col("id").alias("leader"))
+        waiting = edges.join(names, "leader", "left_semi").join(still_open, "id", "left_semi").select("id").distinct()
+        new = cut(still_open.join(waiting, "id", "left_anti"))
+        leaders = cut(leaders.unionByName(new)) if leaders is not None else new
+        still_open = close(still_open, new, edges.join(new.select(F.col("id").alias("leader")), "leader", "left_semi"))
+    own = leaders.select("id", F.col("id").alias("leader"))
+    members = sets.select("id").join(leaders, "id", "left_anti")
+    assigned = similar(members, leaders).groupBy("id").agg(F.min("leader").alias("leader")).unionByName(own)
+    keyed = sets.select("__digest", "id").join(assigned, "id").select("__digest", "leader")
+    return named.select("__digest", F.col("__id").alias(doc)).join(keyed, "__digest").select(doc, F.col("leader").cast(docs.schema[doc].dataType).alias("leader"))

@@ -1,7 +1,9 @@
 """Clustering equals the sequential rule; near-copy leaders equal brute force."""
 
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskfabric import vocabulary as V
@@ -60,11 +62,7 @@ def test_leader_clusters_equal_the_sequential_rule(spark):
         assert len(set(want.values())) > 4
 
 
-def test_near_copies_equal_brute_force(spark):
-    base = ["alpha beta gamma delta epsilon", "one two three four five six", "red green blue white"]
-    rows = [(i, (base[i % 3] + f" extra{i % 7} tail{i % 11}").split()) for i in range(120)] + [(500, []), (501, [])]
-    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
-    got = {r["doc_id"]: r["leader"] for r in match.near_duplicate_leaders(docs, star_rounds=1).collect()}
+def brute_leaders(rows):
     want, leaders = {}, []
     for doc, tokens in rows:
         tokens = set(tokens)
@@ -75,7 +73,31 @@ def test_near_copies_equal_brute_force(spark):
         else:
             leaders.append((doc, tokens))
             want[doc] = doc
-    assert got == want
+    return want
+
+
+def test_near_copies_equal_brute_force(spark):
+    base = ["alpha beta gamma delta epsilon", "one two three four five six", "red green blue white"]
+    rows = [(i, (base[i % 3] + f" extra{i % 7} tail{i % 11}").split()) for i in range(120)] + [(500, []), (501, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    assert {r["doc_id"]: r["leader"] for r in match.near_duplicate_leaders(docs).collect()} == brute_leaders(rows)
+
+
+@pytest.mark.parametrize("seed,shrink", [(1, 0), (2, 1), (3, 2), (4, 4)])
+def test_near_copies_of_random_sets_equal_brute_force(spark, seed, shrink):
+    rnd = random.Random(seed)
+    rows = [(i, rnd.sample([f"w{j}" for j in range(14)], rnd.randrange(2, 8))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    assert {r["doc_id"]: r["leader"] for r in match.near_duplicate_leaders(docs, shrink=shrink).collect()} == brute_leaders(rows)
+
+
+def test_letter_bound_never_rules_out_a_match(spark):
+    rnd = random.Random(5)
+    words = ["port", "strike", "cargo", "closure", "odesa", "freight", "é5"]
+    pairs = [(" ".join(rnd.sample(words, 4)), " ".join(rnd.sample(words, 4))) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a string, b string").select(*[F.struct(F.col(c).alias("key"), match.letter_counts(F.col(c)).alias("letters")).alias(c) for c in "ab"])
+    for r in df.select("a.key", F.col("b.key").alias("other"), match.letters_allow(F.col("a"), F.col("b")).alias("possible")).collect():
+        assert r["possible"] or not match.sequence_ratio_at_least(r["key"], r["other"])
 
 
 def test_reworded_reports_form_one_story(spark):
