@@ -1,19 +1,21 @@
 """Story patterns across refresh windows."""
 
+from dataclasses import asdict, dataclass, fields, replace
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskfabric.functions.text import entity_context, story_key
 from riskfabric.operators import volume
 from riskfabric.operators.match import JACCARD, sequence_ratio_at_least
-from riskfabric.operators.store import top_per_key
 from riskfabric.session import stage
 
 SOURCE = "struct<publisher:string,url:string>"
 PATTERN = (f"country string, category string, collected_at timestamp, pattern_id string, canonical_key string, story_key string, headline string, "
            f"first_seen timestamp, active_windows bigint, observation_count bigint, sources array<{SOURCE}>, place bigint")
-TTL_DAYS = 30
+LIFE = pd.Timedelta(days=30)
 
 
 def key_matches(left: str, right: str) -> bool:
@@ -22,42 +24,37 @@ def key_matches(left: str, right: str) -> bool:
     return (len(a & b) / len(union) if union else 0.0) >= JACCARD or sequence_ratio_at_least(left, right)
 
 
-def observe_window(candidates: list, stories: list, collected_at, make_id) -> list:
-    """One refresh window of one series; ``candidates`` (newest first) is changed in place.
+@dataclass(frozen=True)
+class Pattern:
+    """What is remembered of a pattern between windows."""
+    pattern_id: str
+    canonical_key: str
+    first_seen: pd.Timestamp
+    last_seen: pd.Timestamp
+    active_windows: int = 1
+    observation_count: int = 1
+    sources: tuple = ()
 
-    Every story joins the first stored pattern it matches, in last-seen order. Stored patterns take their
-    new state only after the window, so two stories of one window both start from the stored one.
-    """
-    horizon = collected_at - pd.Timedelta(days=TTL_DAYS)
-    candidates[:] = [c for c in candidates if c["last_seen"] >= horizon]
-    touched, opened = [], []
-    for story in stories:
-        found = next((c for c in candidates + opened if key_matches(story["story_key"], c["canonical_key"])), None)
-        sources = [dict(publisher=s["publisher"], url=s["url"]) for s in story["sources"]]
-        if found is None:
-            row = dict(pattern_id=make_id(story["story_key"]), canonical_key=story["story_key"], first_seen=collected_at, active_windows=1,
-                       observation_count=1, sources=sources)
-        else:
-            known = list(found["sources"])
-            seen = {((s["publisher"] or "").lower(), s["url"] or "") for s in known}
-            for s in sources:
-                marker = ((s["publisher"] or "").lower(), s["url"] or "")
-                if marker not in seen:
-                    seen.add(marker)
-                    known.append(s)
-            row = dict(pattern_id=found["pattern_id"], canonical_key=found["canonical_key"], first_seen=found["first_seen"],
-                       active_windows=found["active_windows"] + (1 if found["last_seen"] != collected_at else 0),
-                       observation_count=found["observation_count"] + 1, sources=known)
-        row["last_seen"] = collected_at
-        touched.append(dict(row, story_key=story["story_key"], headline=story["headline"], collected_at=collected_at))
-        if found is None:
-            opened.append(row)
-    latest = {}
-    for row in touched:
-        latest[row["pattern_id"]] = {k: row[k] for k in ("pattern_id", "canonical_key", "first_seen", "active_windows", "observation_count", "sources", "last_seen")}
-    kept = [latest.pop(c["pattern_id"], c) for c in candidates]
-    candidates[:] = sorted(kept + list(latest.values()), key=lambda c: c["last_seen"], reverse=True)
-    return touched
+    def seen(self, moment: pd.Timestamp, sources: tuple) -> "Pattern":
+        """The pattern after one more story of the window at ``moment``."""
+        return replace(self, last_seen=moment, active_windows=self.active_windows + int(self.last_seen != moment),
+                       observation_count=self.observation_count + 1, sources=joined_sources(self.sources, sources))
+
+    def stored(self) -> dict:
+        return {**asdict(self), "first_seen": self.first_seen.isoformat(), "last_seen": self.last_seen.isoformat()}
+
+    @classmethod
+    def load(cls, row: dict) -> "Pattern":
+        times = {name: pd.Timestamp(row[name]) for name in ("first_seen", "last_seen")}
+        return cls(**{**row, **times, "sources": tuple(map(tuple, row["sources"]))})
+
+
+def joined_sources(old: tuple, new: tuple) -> tuple:
+    """Old sources, then the new ones that differ from them and from each other by publisher (in any case) and url."""
+    name = lambda source: ((source[0] or "").lower(), source[1] or "")
+    first = {name(s): s for s in reversed(new)}
+    fresh = dict.fromkeys(map(name, new))
+    return old + tuple(first[key] for key in fresh if key not in set(map(name, old)))
 
 
 def pattern_id(country: str, category: str, key: str) -> str:
@@ -65,34 +62,56 @@ def pattern_id(country: str, category: str, key: str) -> str:
     return hashlib.sha1(f"{country}|{category}|{key}".encode()).hexdigest()
 
 
-def series_rows(pdf: pd.DataFrame, candidates: list) -> pd.DataFrame:
-    """Run the windows of one series in time order."""
-    rows = []
+def series_rows(pdf: pd.DataFrame, known: list[Pattern]) -> tuple[pd.DataFrame, list[Pattern]]:
+    """The touches of one series' windows, in time order, and the patterns alive after them (last seen first).
+
+    A story belongs to the first living pattern whose key it matches; those opened in its own window come last. All stories of a window
+    start from what was remembered before it, and the last one of a pattern is remembered.
+    """
     country, category = pdf["country"].iloc[0], pdf["category"].iloc[0]
+    touches = []
     for moment, window in pdf.sort_values(["collected_at", "place"]).groupby("collected_at", sort=True):
-        stories = window.to_dict("records")
-        for row, story in zip(observe_window(candidates, stories, moment, lambda key: pattern_id(country, category, key)), stories):
-            rows.append({**{k: v for k, v in row.items() if k != "last_seen"}, "country": country, "category": category, "place": story["place"]})
-    columns = [c.strip().split(" ")[0] for c in ("country,category,collected_at,pattern_id,canonical_key,story_key,headline,first_seen,active_windows,observation_count,sources,place").split(",")]
-    return pd.DataFrame(rows, columns=columns)
-
+        living = {p.pattern_id: p for p in known if p.last_seen >= moment - LIFE}
+        after = {}
+        for story in window.to_dict("records"):
+            key, sources = story["story_key"], tuple((s["publisher"], s["url"]) for s in story["sources"])
+            base = next((p for p in living.values() if key_matches(key, p.canonical_key)), None)
+            if base is None:
+                now = Pattern(pattern_id(country, category, key), key, moment, moment, sources=sources)
+                living[now.pattern_id] = now
+            else:
+                now = base.seen(moment, sources)
+            after[now.pattern_id] = now
+            touches.append({**asdict(now), "sources": [dict(zip(("publisher", "url"), s)) for s in now.sources], "country": country, "category": category,
+                            "collected_at": moment, "story_key": key, "headline": story["headline"], "place": story["place"]})
+        known = sorted((after.get(name, p) for name, p in living.items()), key=lambda p: p.last_seen, reverse=True)
+    return pd.DataFrame(touches, columns=[field.split()[0] for field in PATTERN.split(", ")]), known
+
+
+def window_stories(stories: DataFrame, per_window: int = None) -> DataFrame:
+    """The stories of every window with their key and place (newest first); with ``per_window`` the first ones only."""
+    keyed = stories.withColumn("story_key", story_key(F.col("headline")))
+    order = W.partitionBy("country", "category", "collected_at").orderBy(F.desc("published_at"), F.desc("url"))
+    placed = keyed.withColumn("place", F.row_number().over(order).cast("bigint"))
+    kept = placed.filter(F.col("place") <= per_window) if per_window else placed
+    slim = F.transform("sources", lambda s: F.struct(s["publisher"].alias("publisher"), s["url"].alias("url")))
+    return kept.filter(F.col("story_key") != "").select("country", "category", "collected_at", "place", "headline", "story_key", slim.alias("sources"))
 
-def window_stories(stories: DataFrame, per_window=20) -> DataFrame:
-    """The first stories (newest first) of every window, with their key and place.
 
-    Twenty per window is part of the tracking rule and bounds what one series has to read.
-    """
-    kept = top_per_key(stories.withColumn("story_key", story_key(F.col("headline"))), ["country", "category", "collected_at"],
-                       [F.desc("published_at"), F.desc("url")], per_window, "place")
-    slim = F.transform("sources", lambda s: F.struct(s["publisher"].alias("publisher"), s["url"].alias("url")))
-    return kept.filter(F.col("story_key") != "").select("country", "category", "collected_at", F.col("place").cast("bigint").alias("place"), "headline", "story_key",
-                                                       slim.alias("sources"))
+def track(stories: DataFrame, per_window: int = None, stored: DataFrame = None) -> DataFrame:
+    """Pattern state after every touch. A series (country, category) is read in time order and goes on from its ``stored`` patterns."""
+    rows = window_stories(stories, per_window).groupBy("country", "category")
+    if stored is None:
+        return rows.applyInPandas(lambda pdf: series_rows(pdf, [])[0], PATTERN)
+    names = [f.name for f in fields(Pattern)]
 
+    def go_on(new, old):
+        if not len(new):
+            return pd.DataFrame(columns=[field.split()[0] for field in PATTERN.split(", ")])
+        known = [Pattern.load({**p, "sources": [(s["publisher"], s["url"]) for s in p["sources"]]}) for p in old.sort_values("last_seen", ascending=False)[names].to_dict("records")]
+        return series_rows(new, known)[0]
 
-def track(stories: DataFrame, per_window=20) -> DataFrame:
-    """Pattern state after every touch. A series is read at twenty rows per window, in time order."""
-    rows = window_stories(stories, per_window)
-    return rows.groupBy("country", "category").applyInPandas(lambda pdf: series_rows(pdf, []), PATTERN)
+    return rows.cogroup(stored.select("country", "category", *names).groupBy("country", "category")).applyInPandas(go_on, PATTERN)
 
 
 def score_patterns(touches: DataFrame, windows: DataFrame, as_of: Column = None) -> DataFrame:

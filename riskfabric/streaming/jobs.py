@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from riskfabric.operators.store import latest_per_key
-from riskfabric.operators.tracker import PATTERN, series_rows
+from riskfabric.operators.tracker import PATTERN, Pattern, series_rows
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -102,9 +102,8 @@ class PatternTracker(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         stored = json.loads(self.patterns.get()[0]) if self.patterns.exists() else []
-        candidates = [dict(c, first_seen=pd.Timestamp(c["first_seen"]), last_seen=pd.Timestamp(c["last_seen"])) for c in stored]
-        out = series_rows(pd.concat(list(rows)), candidates)
-        self.patterns.update((json.dumps([dict(c, first_seen=c["first_seen"].isoformat(), last_seen=c["last_seen"].isoformat()) for c in candidates]),))
+        out, known = series_rows(pd.concat(list(rows)), [Pattern.load(row) for row in stored])
+        self.patterns.update((json.dumps([p.stored() for p in known]),))
         yield out
 
     def close(self):
