@@ -13,8 +13,8 @@ from riskfabric.operators.store import latest_per_key, top_per_key
 WEEK_US = 7 * 86_400_000_000
 
 
-def union_distinct(feeds, order, keys=("publisher", "url")) -> DataFrame:
-    """Union of feeds, one row per (lower-cased publisher, url).
+def union_distinct(feeds, order, keys=("publisher", "url"), within=()) -> DataFrame:
+    """Union of feeds, one row per (lower-cased publisher, url), inside the groups of the ``within`` columns.
 
     The winner is the row with the greatest ``order``, which makes "first wins" independent of
     arrival order; the aggregate combines map-side, so copies collapse before the shuffle.
@@ -24,7 +24,7 @@ def union_distinct(feeds, order, keys=("publisher", "url")) -> DataFrame:
         merged = merged.unionByName(feed, allowMissingColumns=True)
     publisher, url = keys
     keyed = merged.withColumn("__publisher", F.lower(blank(F.col(publisher)))).withColumn("__url", blank(F.col(url)))
-    return latest_per_key(keyed, ["__publisher", "__url"], order).drop("__publisher", "__url")
+    return latest_per_key(keyed, [*within, "__publisher", "__url"], order).drop("__publisher", "__url")
 
 
 def within_band(left: DataFrame, right: DataFrame, keys, days=7, time="published_at", into="has_match") -> DataFrame:
@@ -52,17 +52,6 @@ def within_band(left: DataFrame, right: DataFrame, keys, days=7, time="published
     return joined.withColumn(into, near).drop("__t", "__buckets", "__untimed")
 
 
-def band_join(left: DataFrame, right: DataFrame, keys, days=7, left_time="published_at", right_time="added_at") -> DataFrame:
-    """Pairs with equal keys whose times differ by at most ``days``; a missing time matches.
-
-    Used after ``right`` has been reduced to one row per key, family and bucket.
-    """
-    span = days * 86_400_000_000
-    lt, rt = F.unix_micros(F.col(left_time).cast("timestamp")), F.unix_micros(F.col(right_time).cast("timestamp"))
-    near = lt.isNull() | rt.isNull() | (F.abs(lt - rt) <= span)
-    return left.join(right, list(keys)).filter(near)
-
-
 def mentioned_countries(text: Column, countries) -> Column:
     """All countries of a bounded list that a text names (one literal pattern each, no join)."""
     return F.array_compact(F.array(*[F.when(country_mentioned(text, c), F.lit(c)) for c in countries]))
@@ -90,12 +79,14 @@ def hazard_detections(signals: DataFrame, countries) -> DataFrame:
     return latest_per_key(rows, ["country", "kind", "provider"], ["observed_at", "id"])
 
 
-def attach_hazard_signals(articles: DataFrame, signals: DataFrame, countries, key="article_id") -> DataFrame:
-    """Add official detections of the same country and hazard kind to the sources of hazard news."""
+def attach_hazard_signals(articles: DataFrame, signals: DataFrame, countries, key="article_id", where: Column = None) -> DataFrame:
+    """Add official detections of the same country and hazard kind to the sources of hazard news (of the rows ``where`` holds)."""
     detections = hazard_detections(signals, countries)
     per_kind = detections.groupBy("country", "kind").agg(
         F.collect_list(F.struct("provider", "observed_at", "id", "title", "source_url")).alias("__found"))
     kinds = hazard_kinds(phrase(F.col("headline"), F.col("summary")))
+    if where is not None:
+        kinds = F.when(where, kinds)
     # one row per (article, kind): at most eight, then one lookup row each
     exploded = (articles.select(key, "country", F.explode(kinds).alias("kind"))
                 .join(per_kind, ["country", "kind"], "left")
@@ -120,7 +111,7 @@ def attach_hazard_signals(articles: DataFrame, signals: DataFrame, countries, ke
             "publisher": f["provider"], "url": blank(f["source_url"]), "origin_country": F.lit("International / official"),
             "coverage_scope": F.lit("Hazard signal"), "source_family": f["provider"],
             "source_type": F.when(f["provider"].isin("USGS", "GDACS"), "Official hazard detection").otherwise("Open-source event signal"),
-            "headline": F.coalesce(f["title"], F.lit("Hazard signal")),
+            "headline": F.coalesce(f["title"], F.lit("Hazard signal")), "tone": tone(blank(f["title"])),
         }
         return F.struct(*[given.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name) for field in source_type.fields])
 
@@ -156,7 +147,7 @@ def stratified_selection(df: DataFrame, keys=("country", "category"), scope="cov
     return chosen.drop("__n", "__fill")
 
 
-def diverse_sample(df: DataFrame, per_group=2, total=12, group="country", key="article_key", time="published_at") -> DataFrame:
+def diverse_sample(df: DataFrame, per_group: int, total: int, group="country", key="article_key", time="published_at") -> DataFrame:
     """Newest rows with at most ``per_group`` of each group and distinct keys."""
     one = latest_per_key(df, [key], [time])
     return top_per_key(one, [group], [F.desc(time), F.desc(key)], per_group).orderBy(F.desc(time), F.desc(key)).limit(total)
@@ -196,7 +187,7 @@ def hazard_counts(hazards: DataFrame, types, grades=("red", "orange", "green"))
         F.count_if(F.col("alert") == g).alias(g) for g in grades])
 
 
-def historical_matches(current: DataFrame, history: DataFrame, minimum=3, limit=10, into="historical_matches") -> DataFrame:
+def historical_matches(current: DataFrame, history: DataFrame, limit: int, minimum=3, into="historical_matches") -> DataFrame:
     """How many of the newest ``limit`` stored headlines of the country share at least three words.
 
     History is cut to ``limit`` rows per country first, so one small array per country is joined.

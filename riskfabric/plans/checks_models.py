@@ -53,7 +53,7 @@ def ppmi_prototypes(spark, folder):
     return semantic.prototypes(semantic.train(docs(spark, folder)), SEEDS).withColumn("value", F.round("value", 6))
 
 
-@check("ppmi_document_scores", """
+SCORES_SQL = """
 WITH tf AS (SELECT doc_id, word, count(*) AS n FROM h_words GROUP BY ALL), known AS (SELECT * FROM tf WHERE word IN (SELECT word FROM h_ppmi)),
 sz AS (SELECT doc_id, sum(n)::DOUBLE AS size FROM known GROUP BY 1),
 dv AS (SELECT k.doc_id, p.context, sum(k.n * p.pmi) / max(sz.size) AS v FROM known k JOIN h_ppmi p USING (word) JOIN sz USING (doc_id) GROUP BY ALL),
@@ -62,7 +62,10 @@ dots AS (SELECT doc_id, prototype, sum(v * value) AS d FROM dv JOIN h_proto USIN
 cs AS (SELECT doc_id, prototype, round(d / (nd.nrm * np.nrm), 4) AS c FROM dots JOIN nd USING (doc_id) JOIN np USING (prototype)),
 cov AS (SELECT doc_id, round(count(*) FILTER (WHERE word IN (SELECT word FROM h_ppmi)) / count(*)::DOUBLE, 4) AS coverage FROM tf GROUP BY 1)
 SELECT d.doc_id, coalesce(cov.coverage, 0.0) AS coverage, coalesce(max(c) FILTER (WHERE prototype = 'disruption'), 0.0) AS disruption, coalesce(max(c) FILTER (WHERE prototype = 'severity'), 0.0) AS severity,
-  coalesce(max(c) FILTER (WHERE prototype = 'transport'), 0.0) AS transport FROM documents d LEFT JOIN cov USING (doc_id) LEFT JOIN cs USING (doc_id) WHERE d.text <> '' GROUP BY d.doc_id, cov.coverage""")
+  coalesce(max(c) FILTER (WHERE prototype = 'transport'), 0.0) AS transport FROM documents d LEFT JOIN cov USING (doc_id) LEFT JOIN cs USING (doc_id) WHERE d.text <> '' GROUP BY d.doc_id, cov.coverage"""
+
+
+@check("ppmi_document_scores", SCORES_SQL)
 def ppmi_document_scores(spark, folder):
     from riskfabric.session import cut
     model = cut(semantic.train(docs(spark, folder)))  # the model table is read by several branches
@@ -75,6 +78,15 @@ def ppmi_trained(spark, folder):
     return semantic.trained(d, semantic.prototypes(semantic.train(d), SEEDS), SEEDS)
 
 
+@check("risk_corpus_bonus", f"""
+SELECT doc_id, CAST(CASE WHEN coverage >= 0.25 THEN least(12, round_even(greatest(0.0, disruption - 0.12::DOUBLE) * 18, 0) + round_even(greatest(0.0, transport - 0.12::DOUBLE) * 10, 0)
+  + round_even(greatest(0.0, severity - 0.15::DOUBLE) * 8, 0)) ELSE 0 END AS BIGINT) AS bonus FROM ({SCORES_SQL})""")
+def risk_corpus_bonus(spark, folder):
+    """The bonus from the scores of a model trained on the documents themselves."""
+    scores = ppmi_document_scores(spark, folder)
+    return scores.select("doc_id", scoring.semantic_bonus(F.col("coverage"), F.col("disruption"), F.col("transport"), F.col("severity")).alias("bonus"))
+
+
 @check("risk_semantic_bonus", """
 SELECT event_id, CAST(CASE WHEN cov >= 0.25 THEN least(12, round_even(greatest(0.0, d - 0.12::DOUBLE) * 18, 0) + round_even(greatest(0.0, t - 0.12::DOUBLE) * 10, 0) + round_even(greatest(0.0, s - 0.15::DOUBLE) * 8, 0)) ELSE 0 END AS BIGINT) AS bonus
 FROM (SELECT event_id, (event_id % 101) / 100.0::DOUBLE AS cov, (event_id * 7 % 97) / 100.0::DOUBLE AS d, (event_id * 11 % 89) / 100.0::DOUBLE AS t, (event_id * 13 % 83) / 100.0::DOUBLE AS s FROM events)""")

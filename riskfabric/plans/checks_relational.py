@@ -116,7 +116,7 @@ SELECT article_id, country FROM (SELECT *, row_number() OVER (PARTITION BY count
 ORDER BY published_at DESC, sha1(url) DESC LIMIT 12""")
 def diverse_sample(spark, folder):
     a = B.articles(spark, folder).withColumn("article_key", text.article_key(F.col("url"), F.col("country"), F.col("headline")))
-    return relational.diverse_sample(a).select("article_id", "country")
+    return relational.diverse_sample(a, 2, 12).select("article_id", "country")
 
 
 @check("refresh_targets", f"""
@@ -148,7 +148,7 @@ FROM b_articles a LEFT JOIN h ON h.country = a.country WHERE a.published_at >= {
 def historical_similarity(spark, folder):
     a = B.articles(spark, folder)
     cut = B.as_of() - F.make_dt_interval(F.lit(7))
-    return relational.historical_matches(a.filter(F.col("published_at") >= cut), a.filter(F.col("published_at") < cut)).select("article_id", "historical_matches")
+    return relational.historical_matches(a.filter(F.col("published_at") >= cut), a.filter(F.col("published_at") < cut), 10).select("article_id", "historical_matches")
 
 
 # ------------------------------------------------------------------ flights
