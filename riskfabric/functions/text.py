@@ -1,5 +1,7 @@
 """Text expressions: tokens, story keys, entity context, summaries, identities."""
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,10 +128,20 @@ def strip_markup(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(blank(text), "<[^>]+>", " "), r"\s+", " "))
 
 
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+[0-9]*);"
+
+
 def unescape_markup(text: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references decoded once: numbers by their code point, names by the standard table; unknown ones stay."""
+    named = lookup({f"&{name};": chr(point) for name, point in {**name2codepoint, "apos": 39, "nbsp": 32}.items()})
+    hexed = lambda e: F.when(F.lower(F.substring(e, 3, 1)) == "x", F.regexp_extract(e, "[xX]([0-9a-fA-F]+)", 1)).otherwise(F.hex(F.regexp_extract(e, "#([0-9]+)", 1).cast("bigint")))
+    valid = lambda e: F.conv(hexed(e), 16, 10).cast("bigint").between(1, 0x10FFFF) & ~F.conv(hexed(e), 16, 10).cast("bigint").between(0xD800, 0xDFFF)
+    point = lambda e: F.when(valid(e), F.decode(F.unhex(F.lpad(hexed(e), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    one = lambda e: F.when(F.substring(e, 2, 1) == "#", point(e)).otherwise(F.coalesce(F.try_element_at(named, e), e))
+    between = F.split(text, _ENTITY, -1)
+    decoded = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)), one)
+    whole = F.array_join(F.zip_with(between, decoded, lambda t, e: F.concat(t, F.coalesce(e, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def summary_text(country, category, headline, publisher, description) -> Column:

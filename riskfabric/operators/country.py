@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 
 from riskfabric import vocabulary as V
 from riskfabric.functions.scoring import risk_band, severity_score
-from riskfabric.functions.text import half_even, phrase, word_set
+from riskfabric.functions.text import half_even, hits, phrase, word_set
+from riskfabric.operators.scoring import transport_mode
+from riskfabric.operators.store import top_per_key
 from riskfabric.session import cut
 
 
+def newest_events(articles: DataFrame, size=10, time="published_at", tie="url") -> DataFrame:
+    """The newest ``size`` events per country, before they are scored."""
+    return top_per_key(articles, ["country"], [F.desc(time), F.desc(tie)], size)
+
+
 def scoring_window(articles: DataFrame, size=10, time="published_at", tie="url") -> DataFrame:
     """Newest ``size`` scored events per country with their recency weight."""
     rank = F.row_number().over(W.partitionBy("country").orderBy(F.desc(time), F.desc(tie)))
@@ -47,7 +54,7 @@ def select_sensor(corroborated: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("id", "source", "title", "severity", "confidence", "support_count", "best_overlap", F.col("summary").alias("sensor_summary")),
                     F.struct((F.col("support_count") > 0).alias("s"), severity_score(F.col("severity")).alias("v"), F.col("best_overlap").alias("o"),
                              F.col("observed_at").alias("t"), F.col("id").alias("i")))
-    strongest = F.max_by(F.struct("id", "source", "title", "severity", "confidence"),
+    strongest = F.max_by(F.struct("id", "source", "title", "severity", "confidence", F.col("summary").alias("sensor_summary")),
                          F.struct(severity_score(F.col("severity")).alias("v"), F.col("observed_at").alias("t"), F.col("id").alias("i")))
     return (corroborated.groupBy(F.col("matched_country").alias("country"))
             .agg(best.alias("sensor"), strongest.alias("strongest_sensor"), F.count("*").alias("sensor_count"))
@@ -143,12 +150,14 @@ def assess(countries: DataFrame, window: DataFrame, signals: DataFrame, exposure
                 .when(has_sensor, F.concat(F.col("strongest_sensor.source"), F.lit(" reports "), F.col("strongest_sensor.title"), F.lit(
                     ". This is a provisional operational signal because no independent country reporting currently corroborates it.")))
                 .otherwise("No fresh country-specific reporting is stored. Refresh this country before treating the low marker as an assessment."))
+    said = word_set(phrase(F.col("strongest_sensor.title"), F.col("strongest_sensor.sensor_summary")))
+    sensor_mode = transport_mode(F.size(hits(said, V.MARITIME)) > 0, F.size(hits(said, V.AVIATION)) > 0)
     model = (F.when(~has_events & has_sensor, "Provisional sensor only").when(~has_events, "Insufficient evidence")
               .when(F.col("exposure_index").isNull(), "Generic hybrid (company exposure not configured)").otherwise("Exposure-aware hybrid"))
     return df.select(
         "country", level.alias("level"), "score", "confidence", F.greatest(F.lit(0), low).cast("bigint").alias("confidence_low"),
         F.least(F.lit(100), high).cast("bigint").alias("confidence_high"),
-        F.when(has_events, mode_rollup(F.col("modes"))).otherwise("Insufficient evidence").alias("mode"), summary.alias("summary"),
+        F.when(has_events, mode_rollup(F.col("modes"))).when(has_sensor, sensor_mode).otherwise("Insufficient evidence").alias("mode"), summary.alias("summary"),
         F.coalesce("window_size", "sensor_count", F.lit(0)).cast("bigint").alias("evidence_count"), "sensor_status",
         F.when(F.col("sensor_status") == "Corroborated", 25).when(F.col("sensor_status") == "Provisional", F.when(has_events, 5).otherwise(0)).otherwise(0).cast("bigint").alias("sensor_weight"),
         F.when(has_events, reason).otherwise("").alias("escalation"), model.alias("model"), "credible_event", "likelihood",

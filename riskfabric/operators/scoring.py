@@ -150,6 +150,11 @@ def semantic_bonus(coverage: Column, disruption: Column, transport: Column, seve
     return F.coalesce(F.when(coverage >= .25, bonus), F.lit(0)).cast("bigint")
 
 
+def transport_mode(sea: Column, air: Column) -> Column:
+    """Mode of a text that names maritime or aviation terms."""
+    return F.when(sea & air, "Maritime and aviation").when(sea, "Maritime").when(air, "Aviation").otherwise("Multimodal / indirect")
+
+
 def with_risk(df: DataFrame, as_of: Column, time="published_at") -> DataFrame:
     """Add the ``risk`` struct. Needs ``with_tokens``; uses ``semantic_bonus`` and ``exposure_index`` when present."""
     staged = df if "connection" in df.columns else with_connection(df, as_of, time)
@@ -194,7 +199,7 @@ def with_risk(df: DataFrame, as_of: Column, time="published_at") -> DataFrame:
         F.when(touches(t, V.EFFECT_HAZARD_TERMS), V.EFFECT_HAZARD), F.when(touches(t, V.EFFECT_SECURITY_TERMS), V.EFFECT_SECURITY)))
     result = F.struct(
         F.col("__score").alias("score"), risk_band(F.col("__score")).alias("level"),
-        F.when(sea & air, "Maritime and aviation").when(sea, "Maritime").when(air, "Aviation").otherwise("Multimodal / indirect").alias("mode"),
+        transport_mode(sea, air).alias("mode"),
         F.col("__conf").cast("bigint").alias("confidence"), F.greatest(F.lit(0), F.col("__conf") - F.col("__unc")).cast("bigint").alias("confidence_low"),
         F.least(F.lit(100), F.col("__conf") + F.col("__unc")).cast("bigint").alias("confidence_high"),
         F.when(F.size(effects) > 0, effects).otherwise(F.array(F.lit(V.EFFECT_NONE))).alias("effects"),
@@ -205,12 +210,6 @@ def with_risk(df: DataFrame, as_of: Column, time="published_at") -> DataFrame:
     return stage(staged.withColumn("risk", result).drop(*helper), "risk")
 
 
-def with_sentiment(df: DataFrame) -> DataFrame:
-    """Tone and country-targeted sentiment of the article text."""
-    return (df.withColumn("tone", tone.tone(None, tokens=F.col("tokens")) if "tokens" in df.columns else tone.tone(phrase(F.col("headline"), F.col("summary"))))
-              .withColumn("sentiment", tone.country_sentiment(phrase(F.col("headline"), F.col("summary")), F.col("country"))))
-
-
 def decision_relevant(tokens="tokens", lowered="lowered") -> Column:
     """Whether a scored story belongs on the decision surface."""
     risk = F.col("risk")
@@ -219,7 +218,7 @@ def decision_relevant(tokens="tokens", lowered="lowered") -> Column:
     return risk["level"].isin("Moderate", "Critical") | evidence | hazard
 
 
-def historical_brief(stories: DataFrame, minimum=22, limit=10) -> DataFrame:
+def historical_brief(stories: DataFrame, limit: int, minimum=22) -> DataFrame:
     """Newest stored stories with a risk of at least ``minimum`` per country."""
     from riskfabric.operators.store import top_per_key
     return top_per_key(stories.filter(F.col("risk.score") >= minimum), ["country"], [F.desc("published_at"), F.desc("url")], limit)

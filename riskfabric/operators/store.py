@@ -25,9 +25,10 @@ def latest_per_key(df: DataFrame, keys, order) -> DataFrame:
     return df.groupBy(*keys).agg(packed.alias("__row")).select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def top_per_key(df: DataFrame, keys, order, n: int, rank_column: str = None) -> DataFrame:
-    """First ``n`` rows of each key by ``order`` (sort expressions)."""
-    ranked = df.withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("__rank") <= n)
+def top_per_key(df: DataFrame, keys, order, n: int = None, rank_column: str = None) -> DataFrame:
+    """First ``n`` rows of each key by ``order`` (sort expressions); all rows, ranked, without ``n``."""
+    ranked = df.withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    ranked = ranked if n is None else ranked.filter(F.col("__rank") <= n)
     return ranked.withColumnRenamed("__rank", rank_column) if rank_column else ranked.drop("__rank")
 
 
@@ -82,34 +83,36 @@ def latest_entities(df: DataFrame, key: str, limit: int = None, area: str = None
     return newest.orderBy(F.desc(time), F.desc(key)).limit(limit) if limit else newest
 
 
-def entity_history(df: DataFrame, key: str, value=None, limit=100, time="observed_at", tie=None) -> DataFrame:
+def entity_history(df: DataFrame, key: str, value=None, limit: int = None, time="observed_at", tie=None) -> DataFrame:
     """Newest observations of one entity, or of every entity when ``value`` is None."""
     order = [F.desc(time)] + ([F.desc(tie)] if tie else [])
     if value is not None:
-        return df.filter(F.col(key) == value).orderBy(*order).limit(limit)
+        rows = df.filter(F.col(key) == value).orderBy(*order)
+        return rows if limit is None else rows.limit(limit)
     return top_per_key(df, [key], order, limit)
 
 
-def recent_per_source(df: DataFrame, as_of: Column, per_source=100, max_age_days=7, tie="id") -> DataFrame:
+def recent_per_source(df: DataFrame, as_of: Column, per_source: int = None, max_age_days=7, tie="id") -> DataFrame:
     recent = df.filter(F.col("observed_at") >= as_of - F.make_dt_interval(F.lit(max_age_days)))
     return top_per_key(recent, ["source"], [F.desc("observed_at"), F.desc(tie)], per_source)
 
 
-def present_hazards(signals: DataFrame, runs: DataFrame, provider="GDACS", grace_hours=3, limit=600) -> DataFrame:
+def present_hazards(signals: DataFrame, runs: DataFrame, provider="GDACS", grace_hours=3, limit: int = None) -> DataFrame:
     """Signals still present in the feed: collected within the grace period of the newest live run."""
     newest = runs.filter((F.col("provider") == provider) & (F.col("status") == "live")).agg(F.max("collected_at").alias("__newest"))
     rank = F.when(F.col("severity") == "Critical", 3).when(F.col("severity") == "High", 2).otherwise(1)
     cutoff = F.col("__newest") - F.make_dt_interval(hours=F.lit(grace_hours))
     live = (signals.filter(F.col("source") == provider).crossJoin(F.broadcast(newest))  # one-row aggregate
             .filter(F.col("collected_at") >= cutoff).drop("__newest"))
-    return live.orderBy(rank.desc(), F.desc("collected_at"), F.desc("id")).limit(limit)
+    ordered = live.orderBy(rank.desc(), F.desc("collected_at"), F.desc("id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def newest_articles(df: DataFrame, per_group=5, groups=("country", "category"), tie="url") -> DataFrame:
+def newest_articles(df: DataFrame, per_group: int = None, groups=("country", "category"), tie="url") -> DataFrame:
     return top_per_key(df, list(groups), [F.desc("published_at"), F.desc(tie)], per_group)
 
 
-def latest_stories(history: DataFrame, limit=10, tie="url") -> DataFrame:
+def latest_stories(history: DataFrame, limit: int = None, tie="url") -> DataFrame:
     """Latest observation of each distinct story, newest ``limit`` stories per country."""
     one = latest_per_key(history, ["country", "story_key"], ["observed_at", tie])
     when = F.coalesce(F.col("published_at"), F.col("observed_at"))
@@ -120,13 +123,13 @@ def pattern_candidates(patterns: DataFrame, as_of: Column, days=30) -> DataFrame
     return patterns.filter(F.col("last_seen") >= as_of - F.make_dt_interval(F.lit(days)))
 
 
-def ranked_patterns(patterns: DataFrame, as_of: Column, limit=12, max_age_days=30, tie="pattern_id") -> DataFrame:
+def ranked_patterns(patterns: DataFrame, as_of: Column, limit: int = None, max_age_days=30, tie="pattern_id") -> DataFrame:
     recent = pattern_candidates(patterns, as_of, max_age_days)
     return top_per_key(recent, ["country"], [F.desc("early_warning_score"), F.desc("anomaly_score"), F.desc("persistence_score"),
                                              F.desc("last_seen"), F.desc(tie)], limit, "rank")
 
 
-def alerts(patterns: DataFrame, as_of: Column, limit=10, max_age_days=30, minimum=25, tie="pattern_id") -> DataFrame:
+def alerts(patterns: DataFrame, as_of: Column, limit: int = None, max_age_days=30, minimum=25, tie="pattern_id") -> DataFrame:
     recent = pattern_candidates(patterns, as_of, max_age_days).filter(F.col("early_warning_score") >= minimum)
     return top_per_key(recent, ["country"], [F.desc("early_warning_score"), F.desc("alert_confidence"), F.desc("last_seen"),
                                              F.desc(tie)], limit, "rank")

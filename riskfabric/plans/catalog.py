@@ -40,17 +40,9 @@ def check(name: str, sql: str = None):
     return register
 
 
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
-
 def table(spark, folder, name):
-    """A driver table. Text tables that come as fewer files than cores are spread by key, so that text work runs in
-    parallel on small inputs; a table of many files is left as its splits are."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and len(df.inputFiles()) < cores:
-        return df.repartition(cores, TEXT_TABLES[name])
-    return df
+    """A driver table. How a small table is split is set by the session (``spark.sql.files.maxPartitionBytes``, ``openCostInBytes``)."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def text_list(values) -> str:

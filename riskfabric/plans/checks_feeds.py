@@ -19,7 +19,7 @@ def polls(rows, struct, key="event_id", into="x"):
 @check("feed_earthquakes", """
 SELECT 'usgs-' || event_id AS id, CASE WHEN m >= 6 THEN 'Critical' WHEN m >= 5 THEN 'High' ELSE 'Watch' END AS severity, coalesce(nullif(country, 'Iran'), 'Unknown') AS location, epoch_us(ts) // 1000 AS observed_ms,
   'USGS recorded a magnitude ' || printf('%.1f', m) || ' earthquake near ' || coalesce(nullif(country, 'Iran'), 'the reported location') || '.' AS summary
-FROM (SELECT *, 4.5::DOUBLE + (event_id % 25) / 10.0::DOUBLE AS m, row_number() OVER (PARTITION BY event_id // 50 ORDER BY event_id) AS rn FROM b_events) WHERE rn <= 20""")
+FROM (SELECT *, 4.5::DOUBLE + (event_id % 25) / 10.0::DOUBLE AS m FROM b_events)""")
 def feed_earthquakes(spark, folder):
     e = B.events(spark, folder)
     item = F.struct(F.col("event_id").cast("string").alias("id"), F.struct((4.5 + (F.col("event_id") % 25) / 10.0).alias("mag"), F.when(F.col("country") != "Iran", F.col("country")).otherwise("").alias("place"),
@@ -43,14 +43,14 @@ def feed_hazards(spark, folder):
 
 @check("feed_conflict_events", f"""
 WITH x AS (SELECT event_id, country, user_id, ts, CAST(10 + event_id % 11 AS INT) AS root, event_id % 5 AS quad, event_id % 9 AS sources, (event_id * 7919) % 1000 AS articles FROM b_events WHERE event_id % 17 <> 0),
-b AS (SELECT *, row_number() OVER (PARTITION BY country, root ORDER BY articles DESC, CAST(event_id AS VARCHAR) DESC) AS rn FROM x WHERE root >= 12)
+b AS (SELECT *, row_number() OVER (PARTITION BY event_id // 200, country, root ORDER BY articles DESC, CAST(event_id AS VARCHAR) DESC) AS rn FROM x WHERE root >= 12)
 SELECT 'gdelt-' || event_id AS id, CASE WHEN quad = 4 AND articles >= 20 THEN 'Critical' WHEN quad >= 3 THEN 'High' ELSE 'Watch' END AS severity, CAST(least(97, 65 + sources * 3) AS INT) AS confidence, country AS location, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS observed_s
-FROM b WHERE rn = 1 ORDER BY articles DESC, CAST(event_id AS VARCHAR) DESC LIMIT 20""")
+FROM b WHERE rn = 1""")
 def feed_conflict_events(spark, folder):
     k = F.col("event_id")
     cells = {0: k.cast("string"), 28: (10 + k % 11).cast("string"), 29: (k % 5).cast("string"), 31: F.lit(""), 32: (k % 9).cast("string"), 33: (k * 7919 % 1000).cast("string"), 52: F.col("country"),
              56: F.when(k % 17 == 0, "").otherwise("1.5"), 57: F.lit("2.5"), 59: F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"), 60: F.lit("https://www.site.test/a")}
-    lines = B.events(spark, folder).select(F.array_join(F.array(*[cells.get(i, F.lit("")) for i in range(61)]), "\t").alias("value"))
+    lines = B.events(spark, folder).select(B.div(k, 200).alias("export"), F.array_join(F.array(*[cells.get(i, F.lit("")) for i in range(61)]), "\t").alias("value"))
     return landed.conflict_events(lines, B.as_of()).select("id", "severity", "confidence", "location", F.unix_seconds("observed_at").alias("observed_s"))
 
 

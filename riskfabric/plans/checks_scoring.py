@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from riskfabric import vocabulary as V
 from riskfabric.operators import country, relational, scoring, store, volume
 from riskfabric.plans import bindings as B
-from riskfabric.plans.catalog import VIEWS, check, sql_any, sql_tokens, text_list
+from riskfabric.plans.catalog import VIEWS, check, sql_any, sql_hits, sql_tokens, text_list
 from riskfabric.plans.checks_text import SUFFIX_SQL, key_words_sql, mention_case_sql
 from riskfabric.plans.checks_relational import NAMES
 from riskfabric.plans.checks_volume import scored_windows
@@ -98,8 +98,8 @@ SELECT *, CASE WHEN gate THEN raw_conn ELSE least(raw_conn, 59) END AS conn_scor
    FROM f_conn0)))"""
 
 
-def connected(spark, folder):
-    a = B.articles(spark, folder).join(exposures(spark, folder), "country", "left")
+def connected(spark, folder, articles=None):
+    a = (B.articles(spark, folder) if articles is None else articles).join(exposures(spark, folder), "country", "left")
     return scoring.with_connection(scoring.with_tokens(a), B.as_of())
 
 
@@ -137,8 +137,8 @@ FROM (SELECT *, CAST(CASE WHEN capped >= 70 AND source_count < 2 AND primary_sou
         armed3 AND (sea > 0 OR air > 0) AND (len(routes) > 0 OR carrier) AS inferred FROM f_risk0)))))))"""
 
 
-def risky(spark, folder):
-    return scoring.with_risk(connected(spark, folder), B.as_of())
+def risky(spark, folder, articles=None):
+    return scoring.with_risk(connected(spark, folder, articles), B.as_of())
 
 
 @check("risk_article", f"""
@@ -160,8 +160,8 @@ def risk_decision_filter(spark, folder):
 @check("risk_historical_brief", f"""
 SELECT country, article_id, score FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY published_at DESC, url DESC) AS rn FROM f_risk WHERE published_at < {AS_OF} - INTERVAL 7 DAY AND score >= 22) WHERE rn <= 10""")
 def risk_historical_brief(spark, folder):
-    old = risky(spark, folder).filter(F.col("published_at") < B.as_of() - F.make_dt_interval(F.lit(7)))
-    return scoring.historical_brief(old).select("country", "article_id", F.col("risk.score").alias("score"))
+    old = risky(spark, folder, B.articles(spark, folder).filter(F.col("published_at") < B.as_of() - F.make_dt_interval(F.lit(7))))
+    return scoring.historical_brief(old, 10).select("country", "article_id", F.col("risk.score").alias("score"))
 
 
 # ------------------------------------------------------------------ countries
@@ -175,12 +175,14 @@ SELECT s.id, s.mc, s.severity, s.confidence, s.source, s.title, s.observed_at, C
   FROM g_signals s LEFT JOIN g_window a ON a.country = s.mc) s GROUP BY ALL"""
 VIEWS["g_sensor"] = """
 SELECT mc AS country, CAST(count(*) AS BIGINT) AS sensor_count, max_by(severity, (support_count > 0, sv, best_overlap, observed_at, id)) AS severity, max_by(id, (support_count > 0, sv, best_overlap, observed_at, id)) AS id,
-  max_by(support_count, (support_count > 0, sv, best_overlap, observed_at, id)) AS support_count, max_by(severity, (sv, observed_at, id)) AS strongest_severity, max_by(confidence, (sv, observed_at, id)) AS strongest_confidence
+  max_by(support_count, (support_count > 0, sv, best_overlap, observed_at, id)) AS support_count, max_by(severity, (sv, observed_at, id)) AS strongest_severity, max_by(title, (sv, observed_at, id)) AS strongest_title, max_by(confidence, (sv, observed_at, id)) AS strongest_confidence
 FROM (SELECT *, CASE severity WHEN 'Critical' THEN 85 WHEN 'High' THEN 62 WHEN 'Watch' THEN 34 ELSE 20 END AS sv FROM g_support) GROUP BY mc"""
 
 
 def window(spark, folder):
-    return country.scoring_window(risky(spark, folder).filter(F.col("country") != "Norway"))
+    # The window orders by time and url, so it is cut before anything is scored.
+    newest = country.newest_events(B.articles(spark, folder).filter(F.col("country") != "Norway"))
+    return country.scoring_window(risky(spark, folder, newest))
 
 
 def sensors(spark, folder):
@@ -207,7 +209,7 @@ SELECT country, CAST(count(*) AS BIGINT) AS window_size, CAST(count(*) FILTER (W
   max_by(len(terms) > 0 OR inferred, (credible, score, -pos)) AS s_operational, list({'s': score, 'c': credible} ORDER BY score DESC, pos)[1:3] AS top3,
   array_to_string(list(headline ORDER BY pos)[1:3], '; ') AS heads FROM g_window GROUP BY country"""
 VIEWS["g_joined"] = """
-SELECT c.country, s.* EXCLUDE country, g.sensor_count, g.severity AS sensor_severity, g.support_count, g.strongest_severity, g.strongest_confidence, x.exposure_index, coalesce(v.anomaly_index, 0) AS anomaly,
+SELECT c.country, s.* EXCLUDE country, g.sensor_count, g.severity AS sensor_severity, g.support_count, g.strongest_severity, g.strongest_confidence, g.strongest_title, x.exposure_index, coalesce(v.anomaly_index, 0) AS anomaly,
   CASE WHEN g.country IS NULL THEN 'None' WHEN g.support_count > 0 THEN 'Corroborated' ELSE 'Provisional' END AS sensor_status
 FROM b_country c LEFT JOIN g_stats s USING (country) LEFT JOIN g_sensor g USING (country) LEFT JOIN f_exposure x USING (country)
 LEFT JOIN (SELECT country, CAST(round_even(least(100.0, greatest(0.0, max(anomaly)) / 3 * 100), 0) AS BIGINT) AS anomaly_index FROM v_volume WHERE collected_at >= TIMESTAMP '2024-01-26 00:00:00' GROUP BY country) v USING (country)"""
@@ -247,11 +249,14 @@ def country_event_components(spark, folder):
     return a.select("country", "credible_count", "concurrency_bonus", "credible_event", "likelihood", "likelihood_impact", "recency_score", "credible_mean")
 
 
-@check("country_assessment", """
+@check("country_assessment", f"""
 SELECT country, final_score AS score, CASE WHEN final_score >= 70 THEN 'Critical' WHEN final_score >= 38 THEN 'Moderate' ELSE 'Low' END AS level, CAST(final_confidence AS BIGINT) AS confidence,
   CAST(greatest(0, CASE WHEN window_size IS NOT NULL THEN final_confidence - greatest(5, 15 - least(8, window_size)) WHEN sensor_count IS NOT NULL THEN final_confidence - 12 ELSE 5 END) AS BIGINT) AS confidence_low,
   CAST(least(100, CASE WHEN window_size IS NOT NULL THEN final_confidence + greatest(5, 15 - least(8, window_size)) WHEN sensor_count IS NOT NULL THEN final_confidence + 8 ELSE 30 END) AS BIGINT) AS confidence_high,
-  CASE WHEN window_size IS NULL THEN 'Insufficient evidence' WHEN list_contains(modes, 'Maritime and aviation') OR (list_contains(modes, 'Maritime') AND list_contains(modes, 'Aviation')) THEN 'Maritime and aviation'
+  CASE WHEN window_size IS NULL AND sensor_count IS NULL THEN 'Insufficient evidence'
+    WHEN window_size IS NULL THEN CASE WHEN {sql_hits(sql_tokens('strongest_title'), V.MARITIME)} > 0 AND {sql_hits(sql_tokens('strongest_title'), V.AVIATION)} > 0 THEN 'Maritime and aviation'
+      WHEN {sql_hits(sql_tokens('strongest_title'), V.MARITIME)} > 0 THEN 'Maritime' WHEN {sql_hits(sql_tokens('strongest_title'), V.AVIATION)} > 0 THEN 'Aviation' ELSE 'Multimodal / indirect' END
+    WHEN list_contains(modes, 'Maritime and aviation') OR (list_contains(modes, 'Maritime') AND list_contains(modes, 'Aviation')) THEN 'Maritime and aviation'
     WHEN list_contains(modes, 'Maritime') THEN 'Maritime' WHEN list_contains(modes, 'Aviation') THEN 'Aviation' ELSE 'Multimodal / indirect' END AS mode,
   sensor_status, CAST(coalesce(window_size, sensor_count, 0) AS BIGINT) AS evidence_count, CASE WHEN window_size IS NULL THEN '' WHEN floor_score = 75 THEN 'severe corroborated event' WHEN floor_score = 70 THEN 'concurrent high-impact events' WHEN floor_score = 72 THEN 'corroborated critical sensor' ELSE '' END AS escalation,
   CASE WHEN window_size IS NULL AND sensor_count IS NOT NULL THEN 'Provisional sensor only' WHEN window_size IS NULL THEN 'Insufficient evidence' WHEN exposure_index IS NULL THEN 'Generic hybrid (company exposure not configured)' ELSE 'Exposure-aware hybrid' END AS model FROM g_final""")

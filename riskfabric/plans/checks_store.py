@@ -76,12 +76,12 @@ def latest_vessels_area(spark, folder):
 @check("history_per_vessel", """
 SELECT mmsi, event_id FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY observed_at DESC, event_id DESC) AS rn FROM b_positions) WHERE rn <= 100""")
 def history_per_vessel(spark, folder):
-    return store.entity_history(B.positions(spark, folder), "mmsi", tie="event_id").select("mmsi", "event_id")
+    return store.entity_history(B.positions(spark, folder), "mmsi", limit=100, tie="event_id").select("mmsi", "event_id")
 
 
 @check("history_one_vessel", """SELECT mmsi, event_id, latitude, longitude FROM b_positions WHERE mmsi = '7' ORDER BY observed_at DESC, event_id DESC LIMIT 100""")
 def history_one_vessel(spark, folder):
-    return store.entity_history(B.positions(spark, folder), "mmsi", "7", tie="event_id").select("mmsi", "event_id", "latitude", "longitude")
+    return store.entity_history(B.positions(spark, folder), "mmsi", "7", limit=100, tie="event_id").select("mmsi", "event_id", "latitude", "longitude")
 
 
 @check("position_retention", """
@@ -93,7 +93,7 @@ def position_retention(spark, folder):
 @check("topn_recent_signals", f"""
 SELECT source, id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY observed_at DESC, id DESC) AS rn FROM b_signals WHERE observed_at >= {AS_OF} - INTERVAL 7 DAY) WHERE rn <= 100""")
 def topn_recent_signals(spark, folder):
-    return store.recent_per_source(B.signals(spark, folder), B.as_of()).select("source", "id")
+    return store.recent_per_source(B.signals(spark, folder), B.as_of(), 100).select("source", "id")
 
 
 VIEWS["s_runs"] = """
@@ -114,7 +114,7 @@ SELECT id, severity, CAST(epoch_us(collected_at) AS BIGINT) AS collected_us FROM
 ORDER BY CASE severity WHEN 'Critical' THEN 3 WHEN 'High' THEN 2 ELSE 1 END DESC, collected_at DESC LIMIT 600""")
 def present_hazards(spark, folder):
     s = B.signals(spark, folder).withColumn("source", F.when(F.col("source") == "click", "GDACS").otherwise(F.col("source")))
-    return store.present_hazards(s, runs(spark, folder)).select("id", "severity", F.unix_micros("collected_at").alias("collected_us"))
+    return store.present_hazards(s, runs(spark, folder), limit=600).select("id", "severity", F.unix_micros("collected_at").alias("collected_us"))
 
 
 @check("newest_articles", """
@@ -145,7 +145,7 @@ def history(spark, folder):
 SELECT country, article_id, story_key FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY coalesce(published_at, observed_at) DESC, observed_at DESC, url DESC) AS rn FROM (
   SELECT *, row_number() OVER (PARTITION BY country, story_key ORDER BY observed_at DESC, url DESC) AS kn FROM s_history) WHERE kn = 1) WHERE rn <= 10""")
 def history_latest_stories(spark, folder):
-    return store.latest_stories(history(spark, folder)).select("country", "article_id", "story_key")
+    return store.latest_stories(history(spark, folder), 10).select("country", "article_id", "story_key")
 
 
 VIEWS["s_patterns"] = """
@@ -165,14 +165,14 @@ def patterns(spark, folder):
 SELECT country, pattern_id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY early_warning_score DESC, anomaly_score DESC, persistence_score DESC, last_seen DESC, pattern_id DESC) AS rn
 FROM s_patterns WHERE last_seen >= {AS_OF} - INTERVAL 20 DAY) WHERE rn <= 12""")
 def topn_patterns(spark, folder):
-    return store.ranked_patterns(patterns(spark, folder), B.as_of(), max_age_days=20).select("country", "pattern_id", "rank")
+    return store.ranked_patterns(patterns(spark, folder), B.as_of(), 12, max_age_days=20).select("country", "pattern_id", "rank")
 
 
 @check("topn_alerts", f"""
 SELECT country, pattern_id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY early_warning_score DESC, alert_confidence DESC, last_seen DESC, pattern_id DESC) AS rn
 FROM s_patterns WHERE last_seen >= {AS_OF} - INTERVAL 30 DAY AND early_warning_score >= 25) WHERE rn <= 10""")
 def topn_alerts(spark, folder):
-    return store.alerts(patterns(spark, folder), B.as_of()).select("country", "pattern_id", "rank")
+    return store.alerts(patterns(spark, folder), B.as_of(), 10).select("country", "pattern_id", "rank")
 
 
 @check("pattern_candidates", f"""SELECT pattern_id, country FROM s_patterns WHERE last_seen >= {AS_OF} - INTERVAL 30 DAY""")

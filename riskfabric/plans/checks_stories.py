@@ -77,9 +77,6 @@ def cluster_merge_sources(spark, folder):
     return cluster.merge_sources(chosen, additions).select("article_id", F.size("sources").alias("sources"), F.size(F.col("fact_variances")).alias("variances"))
 
 
-_SYN_SOURCE = "SELECT country, category, list(headline ORDER BY article_id) AS heads FROM b_articles GROUP BY ALL"
-
-
 @check("cluster_event_wording")
 def cluster_event_wording(spark, folder):
     a = B.articles(spark, folder).select(F.col("article_id").alias("item_id"), "country", "category", "headline", "publisher", "url", "published_at", "coverage_scope", "sources", "summary")
@@ -99,7 +96,7 @@ def cluster_consolidated_stories(spark, folder):
 
 @check("risk_decision_candidates")
 def risk_decision_candidates(spark, folder):
-    return jobs.decision_candidates(stored(spark, folder), B.as_of(), max_age_days=30, fill_with_context=True).select("country", "item_id", "headline", "decision", "risk.score")
+    return jobs.decision_candidates(stored(spark, folder), B.as_of(), 15, max_age_days=30, fill_with_context=True).select("country", "item_id", "headline", "decision", "risk.score")
 
 
 @check("country_news_job")
@@ -107,7 +104,7 @@ def country_news_job(spark, folder):
     i = items(spark, folder)
     s = B.signals(spark, folder).withColumn("summary", F.lit("")).withColumn("source_url", F.lit(""))
     additions = i.select("country", "headline", "published_at", "url", "publisher", "coverage_scope", "source_type", F.concat("publisher", F.lit(".test")).alias("source_family"), F.lit("GDELT").alias("indexed_by"))
-    articles, _, _ = jobs.country_news([i], additions, s, B.COUNTRIES, B.as_of())
+    articles, _, _, _ = jobs.country_news([i], additions, s, B.COUNTRIES, B.as_of())
     return articles.select("item_id", "country", "category", "headline", "coverage_scope", "relevance_score", F.size("sources").alias("sources"), "hazard_status")
 
 
@@ -115,13 +112,13 @@ def country_news_job(spark, folder):
 def country_snapshot_job(spark, folder):
     s = B.signals(spark, folder).withColumn("summary", F.lit("")).withColumn("source_url", F.lit(""))
     one = items(spark, folder).withColumn("category", F.lit("Infrastructure and supply chains"))
-    return jobs.country_snapshot([one], s, B.COUNTRIES, B.as_of()).select("item_id", "country", "headline", "relevance_score", F.size("sources").alias("sources"), "hazard_status")
+    return jobs.country_snapshot([one], s, B.COUNTRIES, B.as_of(), limit=5)[0].select("item_id", "country", "headline", "relevance_score", F.size("sources").alias("sources"), "hazard_status")
 
 
 @check("general_news_job")
 def general_news_job(spark, folder):
     one = items(spark, folder).withColumn("category", F.lit("General news"))
-    return jobs.general_news([one]).select("item_id", "country", "headline", "category")
+    return jobs.general_news([one], limit=10).select("item_id", "country", "headline", "category")
 
 
 @check("country_risk_job")
@@ -241,7 +238,8 @@ def ranked(spark, folder):
     f = B.feedback(spark, folder).withColumn("doc_id", -F.col("rating_id") - 1).withColumn("summary", F.lit(None).cast("string"))
     short = text.summary_text(F.col("country"), F.col("category"), F.col("headline"), F.col("publisher"), F.col("summary"))  # what a story roll-up stores
     pairs = f.select("profile", "country").distinct()
-    c = (store.top_per_key(risky(spark, folder), ["country"], [F.desc("published_at"), F.desc("url")], 15).withColumn("relevance_score", F.lit(60))
+    newest = store.top_per_key(B.articles(spark, folder), ["country"], [F.desc("published_at"), F.desc("url")], 15)  # the pool of the personal selection
+    c = (risky(spark, folder, newest).withColumn("relevance_score", F.lit(60))
          .withColumn("transport_mode", F.col("risk.mode")).withColumn("doc_id", F.col("article_id")).withColumn("summary", short)
          .select("country", "doc_id", "url", "headline", "summary", "category", "transport_mode", "published_at", "relevance_score", "risk"))
     return ranking.rank_articles(c.join(pairs, "country"), f, B.as_of())
@@ -254,4 +252,4 @@ def rank_articles(spark, folder):
 
 @check("rank_personal_selection")
 def rank_personal_selection(spark, folder):
-    return ranking.personal_selection(ranked(spark, folder)).select("profile", "country", "doc_id", "rank", "position")
+    return ranking.personal_selection(ranked(spark, folder), 5).select("profile", "country", "doc_id", "rank", "position")

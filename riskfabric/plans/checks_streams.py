@@ -83,7 +83,7 @@ def stream_present_hazards(spark, folder):
     s = event_stream(spark, folder).select(F.concat(F.lit("s-"), k.cast("string")).alias("id"), F.when(F.col("event_type") == "click", "GDACS").otherwise(F.col("event_type")).alias("source"),
                                           F.when(k % 11 == 0, "Critical").otherwise("Watch").alias("severity"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("collected_at"))
     table = sinks.upserted(sinks.drain(s, "hazards", prepare=jobs.ingest_batch(["id"], ["collected_at"])), ["id"], ["collected_at"])
-    return store.present_hazards(table, runs(spark, folder), limit=1_000_000).select("id")
+    return store.present_hazards(table, runs(spark, folder)).select("id")
 
 
 @check("stream_pattern_tracker")

@@ -254,7 +254,7 @@ def hazard_evidence_status(spark, folder):
 
 
 @check("text_article_summary", """
-WITH c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS clean FROM pages)
+WITH c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS clean FROM pages)
 SELECT page_id, CASE WHEN length(clean) > 80 THEN regexp_replace(clean[1:360], ' [^ ]*$', '') || CASE WHEN length(clean) > 360 THEN '…' ELSE '' END
   ELSE 'Wire reports that ' || lower(url[1:1]) || url[2:] || '. This item is grouped under general news for France; open the source for full context.' END AS summary FROM c""".replace("\\\\s", "\\s"))
 def text_article_summary(spark, folder):

@@ -6,9 +6,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a caller must prove before a side may be hinted for broadcast.
-BROADCAST_ROW_LIMIT = 200_000
-
 
 def build_session(name="riskfabric", master=None, **conf):
     """A session with UTC times, AQE and skew-join splitting switched on."""

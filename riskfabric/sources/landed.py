@@ -27,11 +27,12 @@ def with_signal_defaults(df: DataFrame, collected_at: Column) -> DataFrame:
               .withColumn("raw_json", F.coalesce(existing("raw_json"), F.lit("{}"))))
 
 
-def earthquakes(payloads: DataFrame, collected_at: Column, limit=20) -> DataFrame:
-    """GeoJSON feed to signals; the first ``limit`` features of a poll, as the feed is newest first."""
+def earthquakes(payloads: DataFrame, collected_at: Column, limit: int = None) -> DataFrame:
+    """GeoJSON feed to signals; with ``limit`` the first features of each poll only (the feed is newest first)."""
     schema = ("features array<struct<id:string,properties:struct<mag:double,place:string,time:bigint,title:string,url:string>,"
               "geometry:struct<coordinates:array<double>>>>")
-    f = payloads.select(F.explode(F.slice(F.from_json("payload", schema)["features"], 1, limit)).alias("f")).select("f.*")
+    features = F.from_json("payload", schema)["features"]
+    f = payloads.select(F.explode(features if limit is None else F.slice(features, 1, limit)).alias("f")).select("f.*")
     p, mag = F.col("properties"), F.coalesce(F.col("properties.mag"), F.lit(0.0))
     place = F.nullif(p["place"], F.lit(""))
     rows = f.select(
@@ -71,19 +72,21 @@ def hazards(payloads: DataFrame, collected_at: Column) -> DataFrame:
     return with_signal_defaults(latest_per_key(rows, ["id"], ["sequence", "at"]).drop("sequence", "at"), collected_at)
 
 
-def conflict_events(lines: DataFrame, collected_at: Column, limit=20) -> DataFrame:
-    """Tab-separated event export (column ``value``) to signals.
+def conflict_events(lines: DataFrame, collected_at: Column, limit: int = None, export="export") -> DataFrame:
+    """Tab-separated event exports (columns ``value`` and the name of the ``export``) to signals.
 
-    Most reported row per (place, root code); then the ``limit`` most reported rows: a top-k of the feature itself.
+    Most reported row per export, place and root code; with ``limit`` the most reported ones of each export only.
     """
     c = F.split(F.col("value"), "\t", -1)
     at = lambda i: F.get(c, F.lit(i))
     whole = lambda i: F.coalesce(F.nullif(at(i), F.lit("")).try_cast("int"), F.lit(0))
     df = lines.filter(F.size(c) > 60).select(
-        at(0).alias("event_id"), at(28).alias("root"), whole(28).alias("root_n"), whole(29).alias("quad"), whole(31).alias("mentions"), whole(32).alias("sources"), whole(33).alias("articles"),
+        F.col(export).alias("export"), at(0).alias("event_id"), at(28).alias("root"), whole(28).alias("root_n"), whole(29).alias("quad"), whole(31).alias("mentions"), whole(32).alias("sources"), whole(33).alias("articles"),
         at(52).alias("place"), at(56).try_cast("double").alias("latitude"), at(57).try_cast("double").alias("longitude"), at(59).alias("added"), at(60).alias("url"))
     df = df.filter((F.col("url") != "") & F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & (F.col("root_n") >= 12))
-    best = latest_per_key(df, ["place", "root"], ["articles", "event_id"]).orderBy(F.desc("articles"), F.desc("event_id")).limit(limit)
+    best = latest_per_key(df, ["export", "place", "root"], ["articles", "event_id"])
+    if limit is not None:
+        best = top_per_key(best, ["export"], [F.desc("articles"), F.desc("event_id")], limit)
     kind = F.coalesce(F.element_at(lookup(V.CONFLICT_ROOTS), F.col("root")), F.concat(F.lit("Event "), "root"))
     place = F.coalesce(F.nullif("place", F.lit("")), F.lit("Unknown location"))
     host = F.regexp_replace(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), r"www\.", "")

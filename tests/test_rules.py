@@ -136,15 +136,21 @@ def preferences(spark):
     return spark.createDataFrame(rows, "profile string, doc_id long, updated_at timestamp, features array<struct<idx:bigint,value:double>>, target double, importance double")
 
 
-def test_sliced_training_equals_one_pass(spark):
-    rows = preferences(spark).filter("profile = 'a'")
-    ranking_epochs, ranking.EPOCHS = ranking.EPOCHS, 2
-    try:
-        whole = ranking.train_preferences(rows).first()
-        sliced = ranking.train_preferences(rows, chunk=15).first()
-    finally:
-        ranking.EPOCHS = ranking_epochs
-    assert np.allclose(whole["weights"], sliced["weights"]) and np.isclose(whole["bias"], sliced["bias"])
+def test_training_equals_a_plain_loop(spark):
+    rows = preferences(spark)
+    got = {r["profile"]: r for r in ranking.train_preferences(rows).collect()}
+    assert set(got) == {"a", "b"}
+    weights, bias = [0.0] * ranking.DIMENSIONS, 0.0
+    examples = sorted(rows.filter("profile = 'a'").collect(), key=lambda r: (r["updated_at"], r["doc_id"]), reverse=True)
+    for epoch in range(ranking.EPOCHS):
+        rate = ranking.RATE / (1.0 + epoch * ranking.RATE_DECAY)
+        for r in examples:
+            margin = max(-30.0, min(30.0, bias + sum(weights[f["idx"]] * f["value"] for f in r["features"])))
+            error = (r["target"] - 1 / (1 + np.exp(-margin))) * r["importance"]
+            bias += rate * error
+            for f in r["features"]:
+                weights[f["idx"]] = weights[f["idx"]] * (1 - rate * ranking.WEIGHT_DECAY) + rate * error * f["value"]
+    assert np.allclose(got["a"]["weights"], weights) and np.isclose(got["a"]["bias"], bias)
 
 
 def test_diversity_pins_critical_and_keeps_every_story(spark):
