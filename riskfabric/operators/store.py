@@ -161,6 +161,11 @@ def save_feedback(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, new.withColumn("feedback", sign), ["profile", "article_key"], order=["updated_at"])
 
 
+def save_routes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Route store: the newest check of a callsign replaces what is stored, but for the destination's IATA code."""
+    return upsert(old, new, ["callsign"], keep_old=["destination_iata"], order=["checked_at"])
+
+
 def clear_profile(feedback: DataFrame, profile: str) -> DataFrame:
     return feedback.filter(~F.col("profile").eqNullSafe(profile))
 

@@ -54,6 +54,31 @@ def feed_conflict_events(spark, folder):
     return landed.conflict_events(lines, B.as_of()).select("id", "severity", "confidence", "location", F.unix_seconds("observed_at").alias("observed_s"))
 
 
+@check("feed_ais_frames", """
+WITH f AS (SELECT event_id AS sequence, event_id % 500 + 1 AS mmsi, event_id % 5 AS k, event_id, ts FROM b_events WHERE event_id % 23 <> 0),
+p AS (SELECT * FROM f WHERE k < 3),
+s AS (SELECT * FROM f WHERE k >= 3),
+j AS (SELECT p.sequence, p.mmsi, p.event_id, max(s.sequence) FILTER (WHERE s.sequence < p.sequence) AS before, max(s.sequence) AS final, p.sequence = max(p.sequence) OVER (PARTITION BY p.mmsi) AS newest
+  FROM p LEFT JOIN s ON s.mmsi = p.mmsi GROUP BY p.sequence, p.mmsi, p.event_id),
+c AS (SELECT *, CASE WHEN newest THEN final ELSE before END AS st FROM j)
+SELECT sequence, CAST(mmsi AS VARCHAR) AS mmsi, CASE WHEN st IS NOT NULL THEN 'SHIP ' || st WHEN event_id % 4 = 0 THEN 'Own ' || event_id ELSE 'MMSI ' || mmsi END AS ship_name,
+  CASE WHEN st % 5 = 3 THEN 'Cargo' WHEN newest AND before % 5 = 3 AND st % 5 = 4 THEN 'Cargo' ELSE '' END AS vessel_type,
+  CASE WHEN st % 5 = 3 THEN '05/03 10:00 UTC' WHEN newest AND before % 5 = 3 AND st % 5 = 4 THEN '05/03 10:00 UTC' ELSE '' END AS eta,
+  (event_id % 90)::DOUBLE AS latitude, (event_id % 30) / 2.0::DOUBLE AS speed_knots FROM c""")
+def feed_ais_frames(spark, folder):
+    """Frames of all five message types, as their stream carries them."""
+    e = B.events(spark, folder)
+    k = F.col("event_id")
+    kind = B.pick([*landed.POSITION_KINDS, *landed.STATIC_KINDS], k % 5)
+    meta = F.struct(F.when(k % 23 != 0, (k % 500 + 1)).alias("MMSI"), F.when((k % 5 < 3) & (k % 4 == 0), F.concat(F.lit("Own "), k.cast("string"))).alias("ShipName"))
+    position = F.struct((k % 90).cast("double").alias("Latitude"), F.lit(5.0).alias("Longitude"), ((k % 30) / 2.0).alias("Sog"))
+    full = F.struct(F.concat(F.lit("SHIP "), k.cast("string"), F.lit("  ")).alias("Name"), F.lit(70).alias("Type"), F.struct(F.lit(3).alias("Month"), F.lit(5).alias("Day"), F.lit(10).alias("Hour"), F.lit(0).alias("Minute")).alias("Eta"))
+    short = F.struct(F.concat(F.lit("SHIP "), k.cast("string")).alias("Name"))
+    body = F.struct(*[F.when(k % 5 == i, part).alias(name) for i, (name, part) in enumerate(zip([*landed.POSITION_KINDS, *landed.STATIC_KINDS], [position] * 3 + [full, short]))])
+    frames = e.select(k.alias("sequence"), F.to_json(F.struct(kind.alias("MessageType"), meta.alias("MetaData"), body.alias("Message"))).alias("payload"))
+    return landed.merge_frames(landed.ais_frames(frames, B.as_of())).select("sequence", "mmsi", "ship_name", "vessel_type", "eta", "latitude", "speed_knots")
+
+
 @check("feed_article_list", f"""
 SELECT article_id, CASE WHEN article_id % 4 = 0 THEN 'Untitled report' ELSE headline END AS headline, publisher || '.test' AS publisher, CAST(epoch(CASE WHEN article_id % 5 = 0 THEN {AS_OF} ELSE published_at END) AS BIGINT) AS published_s FROM b_articles""")
 def feed_article_list(spark, folder):

@@ -252,6 +252,18 @@ def feedback_clear_profile(spark, folder):
     return store.clear_profile(feedback_rows(spark, folder), "profile-1").select("profile", "rating_id")
 
 
+@check("route_upsert", """
+WITH o AS (SELECT 'CS' || event_id % 900 AS callsign, 'old' AS airline, max(event_id) % 50 AS destination_iata, max(event_id) AS checked_at FROM events WHERE event_id % 3 = 0 GROUP BY ALL),
+n AS (SELECT 'CS' || event_id % 1000 AS callsign, 'new' AS airline, max(event_id) % 70 AS destination_iata, max(event_id) AS checked_at FROM events WHERE event_id % 3 <> 0 GROUP BY ALL)
+SELECT coalesce(n.callsign, o.callsign) AS callsign, coalesce(n.airline, o.airline) AS airline, coalesce(o.destination_iata, n.destination_iata) AS destination_iata, coalesce(n.checked_at, o.checked_at) AS checked_at
+FROM o FULL JOIN n ON o.callsign = n.callsign""")
+def route_upsert(spark, folder):
+    e, k = table(spark, folder, "events"), F.col("event_id")
+    rows = lambda part, calls, name, places: e.filter(part).select(F.concat(F.lit("CS"), (k % calls).cast("string")).alias("callsign"), F.lit(name).alias("airline"), (k % places).alias("destination_iata"), k.alias("checked_at"))
+    old = store.latest_per_key(rows(k % 3 == 0, 900, "old", 50), ["callsign"], ["checked_at"])
+    return store.save_routes(old, rows(k % 3 != 0, 1000, "new", 70))
+
+
 @check("exposure_upsert", f"""
 SELECT profile, country, {", ".join(f"CAST(least(100, greatest(0, {f})) AS BIGINT) AS {f}" for f in B.EXPOSURE_FIELDS)} FROM b_exposure""")
 def exposure_upsert(spark, folder):

@@ -5,6 +5,7 @@ A payload is the answer of one poll, so its size is bounded by the provider; par
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskfabric import vocabulary as V
@@ -231,6 +232,52 @@ def aircraft_states(payloads: DataFrame, collected_at: Column, area: Column, pro
         collected_at.alias("collected_at"), "monitor_country", F.lit(provider).alias("source"))
 
 
+STATIC_KINDS = ("ShipStaticData", "StaticDataReport")
+POSITION_KINDS = ("PositionReport", "StandardClassBPositionReport", "ExtendedClassBPositionReport")
+
+
+def ais_frames(frames: DataFrame, collected_at: Column) -> DataFrame:
+    """Raw AIS stream frames (``payload``, ``sequence``) as static and position rows, ready for ``merge_frames``.
+
+    A frame is static by its message type or because it carries a static message. Frames without a vessel, and positions without a place, mean nothing.
+    """
+    v = F.try_parse_json("payload")
+    under = lambda kinds, *fields: [f"$.Message.{kind}.{field}" for kind in kinds for field in fields]
+    meta = lambda *fields: [f"$.{group}.{field}" for group in ("MetaData", "Metadata") for field in fields]
+    text = lambda *paths: F.trim(blank(_first(v, *paths)))
+    number = lambda *paths: _first(v, *paths, kind="double")
+    static = F.coalesce(_first(v, "$.MessageType").isin(*STATIC_KINDS), F.lit(False)) | (_first(v, *[f"$.Message.{kind}" for kind in STATIC_KINDS]).isNotNull())
+    part = lambda name: _first(v, *under(STATIC_KINDS, f"Eta.{name}"), kind="int")
+    rows = frames.select(
+        "sequence", F.when(static, "static").otherwise("position").alias("kind"),
+        F.when(static, text(*meta("MMSI"), *under(STATIC_KINDS, "UserID"))).otherwise(text(*meta("MMSI"), *under(POSITION_KINDS, "UserID"))).alias("mmsi"),
+        F.when(static, text(*under(STATIC_KINDS, "Name"), *meta("ShipName"))).otherwise(text(*meta("ShipName"))).alias("ship_name"),
+        feeds.ais_class(F.when(static, _first(v, *under(STATIC_KINDS, "Type"), *meta("ShipType"))).otherwise(_first(v, *meta("ShipType"), *under(POSITION_KINDS, "ShipType")))).alias("vessel_type"),
+        text(*under(STATIC_KINDS, "ImoNumber")).alias("imo"), text(*under(STATIC_KINDS, "CallSign")).alias("call_sign"), text(*under(STATIC_KINDS, "Destination")).alias("destination"),
+        feeds.ais_eta_parts(part("Month"), part("Day"), part("Hour"), part("Minute")).alias("eta"), number(*under(STATIC_KINDS, "MaximumPresentStaticDraught")).alias("draught_m"),
+        number(*under(POSITION_KINDS, "Latitude"), *meta("latitude", "Latitude")).alias("latitude"), number(*under(POSITION_KINDS, "Longitude"), *meta("longitude", "Longitude")).alias("longitude"),
+        *[F.coalesce(number(*under(POSITION_KINDS, n)), F.lit(0.0)).alias(a) for n, a in (("Sog", "speed_knots"), ("Cog", "course"), ("TrueHeading", "heading"))],
+        F.coalesce(F.try_to_timestamp(_first(v, *meta("time_utc"))), collected_at).alias("observed_at"))
+    return rows.filter((F.col("mmsi") != "") & ((F.col("kind") == "static") | (F.col("latitude").isNotNull() & F.col("longitude").isNotNull())))
+
+
+def merge_frames(rows: DataFrame) -> DataFrame:
+    """Position rows with the static fields their vessel last sent before them; the newest position of a vessel also takes a later static frame."""
+    names = ["ship_name", "vessel_type", "imo", "call_sign", "destination", "eta"]
+    full = lambda n: F.nullif(F.col(n), F.lit("")) if n in names else F.col(n)
+    fields = F.when(F.col("kind") == "static", F.struct(*[full(n).alias(n) for n in [*names, "draught_m"]]))
+    upto = W.partitionBy("mmsi").orderBy("sequence").rowsBetween(W.unboundedPreceding, 0)
+    whole = W.partitionBy("mmsi").orderBy("sequence").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    last = F.max(F.when(F.col("kind") == "position", F.col("sequence"))).over(whole)
+    df = rows.withColumn("__static", F.last(fields, ignorenulls=True).over(upto)).withColumn("__final", F.last(fields, ignorenulls=True).over(whole)).withColumn("__newest", F.col("sequence") == last)
+    df = df.filter("kind = 'position'")
+    # A later static frame is laid over what the position already took.
+    taken = lambda n: F.coalesce(F.when(F.col("__newest"), F.col(f"__final.{n}")), F.col(f"__static.{n}"), F.col(n))
+    own = F.coalesce(F.nullif(F.col("ship_name"), F.lit("")), F.concat(F.lit("MMSI "), "mmsi"))
+    df = df.withColumn("ship_name", own)
+    return df.withColumns({n: taken(n) for n in [*names, "draught_m"]}).drop("__static", "__final", "__newest", "kind")
+
+
 def benchmark_rows(spark: SparkSession, path: str, schema="country string, text string, label string") -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
 
@@ -238,4 +285,4 @@ def benchmark_rows(spark: SparkSession, path: str, schema="country string, text
 def write_results(rows: DataFrame, path: str, kind="csv") -> None:
     """Evaluation results as CSV or JSON files."""
     writer = rows.write.mode("overwrite")
-    writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
+    writer.option("header", True).option("escape", '"').csv(path) if kind == "csv" else writer.json(path)
