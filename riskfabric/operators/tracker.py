@@ -1,7 +1,9 @@
 """Story patterns across refresh windows."""
 
 from dataclasses import asdict, dataclass, fields, replace
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskfabric.functions.text import entity_context, story_key
 from riskfabric.operators import volume
-from riskfabric.operators.match import JACCARD, sequence_ratio_at_least
+from riskfabric.operators.match import JACCARD, LETTERS, RATIO, sequence_ratio_at_least
 from riskfabric.session import stage
 
 SOURCE = "struct<publisher:string,url:string>"
@@ -18,10 +20,19 @@ PATTERN = (f"country string, category string, collected_at timestamp, pattern_id
 LIFE = pd.Timedelta(days=30)
 
 
+@lru_cache(maxsize=100_000)
+def _facts(key: str) -> tuple[frozenset, np.ndarray]:
+    """Words of a story key and how often it holds each letter, the space, and any other character."""
+    return frozenset(key.split()), np.bincount([LETTERS.find(c) + 1 for c in key], minlength=len(LETTERS) + 1)
+
+
 def key_matches(left: str, right: str) -> bool:
-    a, b = set(left.split()), set(right.split())
-    union = a | b
-    return (len(a & b) / len(union) if union else 0.0) >= JACCARD or sequence_ratio_at_least(left, right)
+    """Word Jaccard, or the sequence ratio where the letters that both keys hold allow it."""
+    (a, x), (b, y) = _facts(left), _facts(right)
+    shared = len(a & b)
+    if shared and shared / (len(a) + len(b) - shared) >= JACCARD:
+        return True
+    return 2 * int(np.minimum(x, y).sum()) >= RATIO * (len(left) + len(right)) - 1e-9 and sequence_ratio_at_least(left, right)
 
 
 @dataclass(frozen=True)

@@ -40,9 +40,16 @@ def check(name: str, sql: str = None):
     return register
 
 
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+#: Session setting: partitions that text tables are dealt to. Unset, a table keeps the splits of its files; a file of one row group cannot be split.
+SPREAD = "spark.riskfabric.textPartitions"
+
+
 def table(spark, folder, name):
-    """A driver table. How a small table is split is set by the session (``spark.sql.files.maxPartitionBytes``, ``openCostInBytes``)."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A driver table; text tables are dealt out by key where the session asks for it."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    parts = spark.conf.get(SPREAD, None)
+    return df.repartition(int(parts), TEXT_TABLES[name]) if parts and name in TEXT_TABLES else df
 
 
 def text_list(values) -> str:
