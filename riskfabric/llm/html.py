@@ -31,12 +31,15 @@ WORDS = frozenset("ad ads adbox advert adverts advertisement advertising banner
                   "menu modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing "
                   "shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar tracking widget widgets".split())
 
+CONTENT = frozenset("article body content entry main post story text".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(script|style|textarea|xmp)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_DIGITS = re.compile("[0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、！？；：]")
 
 
@@ -54,7 +57,8 @@ def _says_no(tag: str, attributes: str, inside: bool) -> bool:
             if value.strip().lower() in ROLES:
                 return True
         elif tag not in ("html", "body", "article", "main") or "comment" in value.lower():
-            if not WORDS.isdisjoint(p.lower() for p in _PIECES.findall(value)):
+            pieces = {p.lower() for p in _PIECES.findall(value)}
+            if pieces & WORDS or "header" in pieces and not inside and not pieces & CONTENT:
                 return True
     return False
 
@@ -130,7 +134,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         out = bool(stack and stack[-1][2]) or _says_no(tag, attributes, any(t in ("article", "main") for t, _, _ in stack))
         if out and not (stack and stack[-1][2]) and tag in INLINE:
             words(" ")
-        names = "".join(f".{''.join(v)}" for k, *v in _NAMES.findall(attributes) if k.lower() == "class") if attributes else ""
+        names = "".join(f".{_DIGITS.sub('', ''.join(v))}" for k, *v in _NAMES.findall(attributes) if k.lower() != "role") if attributes else ""
         stack.append((tag, tag + names, out))
         state["in_link"] += tag == "a"
     words(page[at:])

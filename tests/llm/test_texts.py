@@ -68,6 +68,10 @@ def test_main_text_of_pages():
     assert html.main_text(PAGE) == "Title & more\nFirst words\nSecond one, with lines.\nitem a\nitem b\nThird."
     plain = PAGE.replace("<article>", '<div class="text">').replace("</article>", "</div>")
     assert html.main_text(plain) == html.main_text(PAGE)
+    named = '<div id=header><a href=/>Site</a></div><div id=content><h1>Head</h1><p>One, two and three. Four.</p><p>Short</p></div><div id=sidebar><p>Other, long text here.</p></div>'
+    assert html.main_text(named) == "Head\nOne, two and three. Four.\nShort"
+    nested = "<article><h1>Head<p>one<section class='reader-comments'><article class=comment><p>Not this, dear.</p></article></section><p>two</article>"
+    assert html.main_text(nested) == "Head\none\ntwo"
     assert html.main_text(None) == "" and html.main_text("") == "" and html.main_text("<p></p>") == "" and html.main_text("just text") == "just text"
     assert html.main_text("<p>a < b & c > d</p>") == "a < b & c > d"
     assert html.main_text("<article><p title='a>b'>kept</p>" + "<div>" * 5000 + "deep</article>").startswith("kept")
