@@ -7,6 +7,7 @@ lie flat in the file, so a memory map gives every sequence and mask without copy
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,34 +19,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ids in a sequence, sequences in a record batch, and words whose ids a worker remembers.
-LENGTH, BATCH, REMEMBERED = 2048, 128, 300_000
-# The characters of Unicode's White_Space property.
+#: Ids in a sequence, sequences in a record batch, words whose ids a worker remembers, and characters of text that are encoded together.
+LENGTH, BATCH, REMEMBERED, TOGETHER = 2048, 128, 1_000_000, 1 << 20
+# The characters of Unicode's White_Space property; the ASCII characters that are no letters, digits or white space; common letters.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNIT = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+_MARKS = r"!-/:-@\[-`{-~"
+_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_UNIT = re.compile(f"[{_WHITE}]*[{_LETTERS}]+(?=[{_WHITE}{_MARKS}]|\\Z)|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
 
-class Encoder(dict):
-    """Ids of a text as bytes. The byte-level pre-tokenizer always cuts where white space follows another character, so the words between
-    such places are encoded on their own, and a word that was met before is looked up."""
+class Encoder:
+    """Ids of texts as bytes. The byte-level pre-tokenizer always cuts where white space follows another character, and where a letter ends a run of
+    letters; the words between such places are encoded on their own by the library, and a word that was met before is looked up."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, self.dtype).tobytes()
-        self[unit] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _UNIT.findall(text)))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        units = [_UNIT.findall(text) for text in texts]
+        words = set().union(*units)
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known.clear()
+        new = list(words - self.known.keys())
+        self.known.update(zip(new, [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
+        return [b"".join(map(self.known.__getitem__, found)) for found in units]
 
 
 @lru_cache(maxsize=2)
@@ -53,6 +56,20 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _together(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of a batch in runs of about TOGETHER characters."""
+    keys, texts, size = [], [], 0
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        keys.append(key)
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= TOGETHER:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -112,12 +129,13 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end: int = 2, key:
         name = f"part-{task.partitionId():06d}.arrow"
         draft, count, tail = f"{root}/_{name}.{task.taskAttemptId()}", 0, np.array([end], coder.dtype).tobytes()
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for keys, texts in _together(batch):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     writer = _Writer(store.open_output_stream(draft), coder.dtype, length)
-                writer.add(k, np.frombuffer(coder.encode(t.as_py() or "") + tail, coder.dtype))
-                count += 1
+                for k, ids in zip(keys, coder.encode(texts)):
+                    writer.add(k, np.frombuffer(ids + tail, coder.dtype))
+                count += len(keys)
         if writer is not None:
             writer.close()
             store.move(draft, f"{root}/{name}")

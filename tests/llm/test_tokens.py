@@ -48,8 +48,9 @@ def test_bpe_edges(spark):
 def test_words_encoded_alone_equal_the_library():
     coder, library = tokenfile.Encoder(FILE), Tokenizer.from_file(FILE)
     library.encode_special_tokens = True
-    for text in _texts(4000, 3):
-        assert np.frombuffer(coder.encode(text), coder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    texts = _texts(6000, 3) + ["don't", "it's-a", "x'll y'RE", "a1b", "a²", "ÀÖ÷ø", "aÀ", "word\u0301 next", "a,b c"]
+    for text, ids in zip(texts, coder.encode(texts)):
+        assert np.frombuffer(ids, coder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_op6_equals_the_library(spark):
