@@ -28,7 +28,7 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def leader_clusters(items: DataFrame, block, item="item_id", time="published_at", tie="url", headline="headline", days=7,
-                    first_batch=64) -> DataFrame:
+                    first_batch=64, ratio=True) -> DataFrame:
     """Assign every item to the earliest matching seed, newest items first: (item, seed).
 
     The result equals the sequential rule "join the first cluster whose seed describes the same event within
@@ -38,7 +38,7 @@ def leader_clusters(items: DataFrame, block, item="item_id", time="published_at"
     * per round, the next rows in order of every block form a small batch whose seeds are found exactly;
     * all undecided rows are matched with the new seeds and leave when they match.
 
-    Rounds end when nothing is undecided. No row, pair or partner is dropped.
+    Rounds end when nothing is undecided. No row, pair or partner is dropped. ``ratio=False`` leaves the sequence ratio out of the rule.
     """
     block = list(block)
     span = None if days is None else days * 86_400_000_000
@@ -58,13 +58,13 @@ def leader_clusters(items: DataFrame, block, item="item_id", time="published_at"
         earlier = batch.select(*block, F.col("rank").alias("rank_b"), F.col("f").alias("b"), F.col("t").alias("t_b"))
         later = batch.select(*block, "rep", "rank", F.col("f").alias("a"), F.col("t").alias("t_a"))
         pairs = later.join(earlier, block).filter(F.col("rank_b") < F.col("rank"))  # at most size² / 2 per block
-        edges = matched_pairs(_near(pairs, span)).groupBy("rep").agg(F.collect_list("rank_b").alias("earlier"))
+        edges = matched_pairs(_near(pairs, span), ratio=ratio).groupBy("rep").agg(F.collect_list("rank_b").alias("earlier"))
         nodes = batch.select(*block, "rep", "rank").join(edges, "rep", "left").withColumn("earlier", F.coalesce("earlier", F.array().cast("array<int>")))
         kind = items.schema[item].dataType.simpleString()
         seeds = nodes.groupBy(*block).applyInPandas(_greedy, f"rep {kind}")
         seeds = cut(batch.join(seeds, "rep", "left_semi").select(*block, F.col("rep").alias("seed"), F.col("o").alias("o_b"), F.col("t").alias("t_b"), F.col("f").alias("b")))
         star = _paired(undecided.select(*block, "rep", "o", F.col("t").alias("t_a"), F.col("f").alias("a")), seeds, block, span).filter(F.col("o_b") > F.col("o"))
-        hits = matched_pairs(_near(star, span)).groupBy("rep").agg(F.max_by("seed", "o_b").alias("seed"))
+        hits = matched_pairs(_near(star, span), ratio=ratio).groupBy("rep").agg(F.max_by("seed", "o_b").alias("seed"))
         own = seeds.select(F.col("seed").alias("rep"), "seed")
         step = cut(hits.join(own.select("rep"), "rep", "left_anti").unionByName(own))
         decided.append(step)
@@ -128,7 +128,7 @@ def _matched_sentence() -> Column:
     return F.concat(F.lit(" This update was matched across "), n.cast("string"), F.lit(" reporting "), plural(n, "source"), F.lit("."))
 
 
-def merge_sources(stories: DataFrame, additions: DataFrame, key="article_id", block=("country",), days=7) -> DataFrame:
+def merge_sources(stories: DataFrame, additions: DataFrame, key="article_id", block=("country",), days=7, ratio=True) -> DataFrame:
     """Append sources of the same event from new families, newest addition per family.
 
     ``stories`` is the short selected list per country, so additions meet a bounded number of stories.
@@ -139,7 +139,7 @@ def merge_sources(stories: DataFrame, additions: DataFrame, key="article_id", bl
     s = with_event_features(stories).select(*block, key, F.col("headline").alias("__head"), F.col("f").alias("a"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("t_a"),
                                             F.transform("sources", lambda x: x["source_family"]).alias("__seen"))
     pairs = _paired(s, a, list(block), span).filter(~F.array_contains("__seen", F.col("__added.source_family")))
-    hits = matched_pairs(_near(pairs, span)).withColumn("__family", F.col("__added.source_family"))
+    hits = matched_pairs(_near(pairs, span), ratio=ratio).withColumn("__family", F.col("__added.source_family"))
     one = hits.groupBy(key, "__family").agg(F.max_by(F.struct("__added", "__head"), F.struct("t_b", "__u")).alias("x"))
     fresh = one.withColumn("__variance", fact_variance(F.col("x.__head"), F.col("x.__added.headline")))
     element = stories.schema["sources"].dataType.elementType
@@ -208,13 +208,13 @@ def _case(column: Column, mapping: dict) -> Column:
     return result
 
 
-def consolidate(rows: DataFrame, item="item_id", time="published_at", tie="url") -> DataFrame:
+def consolidate(rows: DataFrame, item="item_id", time="published_at", tie="url", ratio=True) -> DataFrame:
     """Merge same-event rows of a country across categories: newest row, merged sources, synthesised wording.
 
     ``rows`` carry country, sources and relevance_score.
     """
     rows = cut(rows)  # the filtered candidates are read by the clustering and by the roll-up
-    clusters = leader_clusters(rows, ["country"], item, time, tie, days=None)
+    clusters = leader_clusters(rows, ["country"], item, time, tie, days=None, ratio=ratio)
     joined = rows.join(clusters, item)
     flat = joined.select("seed", F.col(time).alias("__t"), F.col(tie).alias("__u"), F.posexplode("sources").alias("__i", "s"))
     flat = flat.withColumn("__family", F.coalesce(F.nullif(F.col("s.source_family"), F.lit("")), F.col("s.publisher"))).filter(F.col("__family").isNotNull())

@@ -88,10 +88,12 @@ def same_story(pairs: DataFrame, left="left_key", right="right_key", into="same_
     return pairs.withColumn(into, near | tested)
 
 
-def matched_pairs(pairs: DataFrame, later="a", seed="b") -> DataFrame:
-    """Keep pairs of features that describe the same event. Native tests first, the ratio only for what is left."""
+def matched_pairs(pairs: DataFrame, later="a", seed="b", ratio=True) -> DataFrame:
+    """Keep pairs of features that describe the same event. Native tests first, the ratio (unless switched off) only for what is left."""
     a, b = F.col(later), F.col(seed)
     native = (jaccard(a["tokens"], b["tokens"]) >= JACCARD) | anchors_agree(a, b)
+    if not ratio:
+        return pairs.filter(native)
     possible = ratio_possible(a["key"], b["key"]) & letters_allow(a, b)
     marked = pairs.withColumn("__native", native).filter(F.col("__native") | possible)
     tested = ratio_matches(F.when(~F.col("__native"), a["key"]), F.when(~F.col("__native"), b["key"]))

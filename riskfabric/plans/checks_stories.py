@@ -50,7 +50,15 @@ def match_same_story(spark, folder):
     return match.same_story(a.join(seeds, "country")).select("article_id", "seed_id", "same_story")
 
 
-@check("dup_document_leaders")
+@check("dup_document_leaders", f"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, list_distinct({sql_tokens('text')}) AS t FROM documents),
+u AS (SELECT n, len(t) AS size, unnest(t) AS word FROM w),
+c AS (SELECT a.n AS x, b.n AS y, count(*) AS shared, max(a.size) AS p, max(b.size) AS q FROM u a JOIN u b ON a.word = b.word AND b.n < a.n GROUP BY a.n, b.n),
+e AS (SELECT x, list(y) AS hits FROM (SELECT x, y FROM c WHERE shared / (p + q - shared)::DOUBLE >= 0.48 UNION ALL SELECT a.n, b.n FROM w a JOIN w b ON len(a.t) = 0 AND len(b.t) = 0 AND b.n < a.n) GROUP BY x),
+st AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS leaders
+  UNION ALL SELECT w.n, CASE WHEN list_has_any(coalesce(e.hits, []), st.leaders) THEN st.leaders ELSE list_append(st.leaders, w.n) END FROM st JOIN w ON w.n = st.n + 1 LEFT JOIN e ON e.x = w.n),
+f AS (SELECT max_by(leaders, n) AS leaders FROM st)
+SELECT w.doc_id, l.doc_id AS leader FROM w CROSS JOIN f LEFT JOIN e ON e.x = w.n JOIN w l ON l.n = coalesce(list_min(list_intersect(e.hits, f.leaders)), w.n)""")
 def dup_document_leaders(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", text.word_set(F.col("text")).alias("tokens"))
     return match.near_duplicate_leaders(docs)
@@ -61,6 +69,51 @@ def cluster_story_leaders(spark, folder):
     return cluster.leader_clusters(items(spark, folder), ["country", "category"])
 
 
+def leaders_sql(block, near=""):
+    """Greedy leaders without the sequence ratio: items newest first, each joins the first leader it matches."""
+    same = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in block.split(", "))
+    return f"""
+WITH RECURSIVE o AS (SELECT *, list_filter(t, lambda w: length(w) >= 5 AND NOT list_contains({text_list(_GENERAL)}, w) AND NOT regexp_full_match(w, '[0-9]+')) AS sp,
+    row_number() OVER (PARTITION BY {block} ORDER BY published_at DESC, url DESC, article_id DESC) AS n FROM m_features),
+x AS (SELECT b.article_id, a.n, list_intersect(a.t, b.t) AS sh, a.t AS ta, b.t AS tb, a.armed AND b.armed AS armed, len(list_intersect(a.sp, b.sp)) > 0 AS near
+  FROM o b JOIN o a ON {same('a', 'b')} AND a.n < b.n{near}),
+e AS (SELECT article_id, list(n ORDER BY n) AS hits FROM x WHERE len(sh) / greatest(1, len(ta) + len(tb) - len(sh))::DOUBLE >= 0.48
+  OR (near AND (list_has_any(sh, {text_list(V.THREAT_TERMS)}) OR (armed AND list_has_any(ta, ['strike', 'attack']) AND list_has_any(tb, ['strike', 'attack']))))
+  OR (list_has_any(sh, {text_list(V.EVENT_ACTIONS)}) AND list_has_any(sh, {text_list(V.EVENT_TARGETS)}) AND (list_has_any(sh, {text_list(V.EVENT_ACTORS)}) OR list_has_any(sh, {text_list(V.EVENT_ROUTES)})) AND len(sh) >= 3)
+  GROUP BY article_id),
+st AS (SELECT DISTINCT {block}, 0::BIGINT AS n, []::BIGINT[] AS leaders FROM o
+  UNION ALL SELECT {', '.join('o.' + c for c in block.split(', '))}, o.n, CASE WHEN list_has_any(coalesce(e.hits, []), st.leaders) THEN st.leaders ELSE list_append(st.leaders, o.n) END
+  FROM st JOIN o ON {same('o', 'st')} AND o.n = st.n + 1 LEFT JOIN e ON e.article_id = o.article_id),
+f AS (SELECT {block}, max_by(leaders, n) AS leaders FROM st GROUP BY ALL)
+SELECT o.article_id AS item_id, s.article_id AS seed FROM o JOIN f USING ({block}) LEFT JOIN e USING (article_id)
+  JOIN o s ON {same('s', 'o')} AND s.n = coalesce(list_min(list_intersect(e.hits, f.leaders)), o.n)"""
+
+
+VIEWS["c_seeds"] = leaders_sql("country, category", " AND abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 604800000000")
+VIEWS["c_events"] = leaders_sql("country")
+
+
+@check("cluster_story_leaders_words", "SELECT item_id, seed FROM c_seeds")
+def cluster_story_leaders_words(spark, folder):
+    """The clustering rule without its sequence ratio."""
+    return cluster.leader_clusters(items(spark, folder), ["country", "category"], ratio=False)
+
+
+@check("cluster_story_rollup_words", r"""
+WITH j AS (SELECT s.seed, a.article_id, a.country, a.category, a.headline, a.url, a.published_at, a.coverage_scope, regexp_replace(lower(regexp_extract(a.url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\.', '') AS host,
+    CASE WHEN regexp_matches(lower(a.publisher), '\breuters\b') THEN 'reuters' WHEN regexp_matches(lower(a.publisher), '\bagence france-presse\b|\bafp\b') THEN 'afp' END AS wire FROM c_seeds s JOIN b_articles a ON a.article_id = s.item_id),
+k AS (SELECT *, coalesce(wire, CASE WHEN contains(host, '.') THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END) AS family FROM j),
+l AS (SELECT seed, family, max_by(coverage_scope, (published_at, url)) AS scope FROM k GROUP BY ALL),
+n AS (SELECT seed, count(*) AS sources, CASE WHEN count(DISTINCT scope) > 1 THEN 'Local + international' ELSE min(scope) END AS coverage_scope FROM l GROUP BY seed),
+m AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY published_at DESC, url DESC) AS rn FROM k)
+SELECT m.article_id AS item_id, m.country, m.category, m.headline, n.coverage_scope, CAST(n.sources AS INTEGER) AS sources FROM m JOIN n USING (seed) WHERE m.rn = 1""")
+def cluster_story_rollup_words(spark, folder):
+    """Stories of the clusters found without the sequence ratio."""
+    i = items(spark, folder)
+    out = cluster.roll_up(i, cluster.leader_clusters(i, ["country", "category"], ratio=False))
+    return out.select("item_id", "country", "category", "headline", "coverage_scope", F.size("sources").alias("sources"))
+
+
 @check("cluster_story_rollup")
 def cluster_story_rollup(spark, folder):
     i = items(spark, folder)
@@ -68,13 +121,32 @@ def cluster_story_rollup(spark, folder):
     return out.select("item_id", "country", "category", "headline", "coverage_scope", F.size("sources").alias("sources"))
 
 
+@check("cluster_merge_sources_words", f"""
+WITH o AS (SELECT *, list_filter(t, lambda w: length(w) >= 5 AND NOT list_contains({text_list(_GENERAL)}, w) AND NOT regexp_full_match(w, '[0-9]+')) AS sp FROM m_features),
+c AS (SELECT o.*, b.sources, row_number() OVER (PARTITION BY o.country, o.category ORDER BY o.published_at DESC, o.url DESC) AS rn FROM o JOIN b_articles b USING (article_id)),
+x AS (SELECT c.article_id, p.publisher || '.test' AS family, list_intersect(c.t, a.t) AS sh, c.t AS ta, a.t AS tb, c.armed AND a.armed AS armed, len(list_intersect(c.sp, a.sp)) > 0 AS near
+  FROM c JOIN o a ON a.country = c.country AND abs(epoch_us(a.published_at) - epoch_us(c.published_at)) <= 604800000000 JOIN b_articles p ON p.article_id = a.article_id
+  WHERE c.rn <= 2 AND NOT coalesce(list_contains(list_transform(c.sources, lambda s: s.source_family), p.publisher || '.test'), false)),
+h AS (SELECT DISTINCT article_id, family FROM x WHERE len(sh) / greatest(1, len(ta) + len(tb) - len(sh))::DOUBLE >= 0.48
+  OR (near AND (list_has_any(sh, {text_list(V.THREAT_TERMS)}) OR (armed AND list_has_any(ta, ['strike', 'attack']) AND list_has_any(tb, ['strike', 'attack']))))
+  OR (list_has_any(sh, {text_list(V.EVENT_ACTIONS)}) AND list_has_any(sh, {text_list(V.EVENT_TARGETS)}) AND (list_has_any(sh, {text_list(V.EVENT_ACTORS)}) OR list_has_any(sh, {text_list(V.EVENT_ROUTES)})) AND len(sh) >= 3))
+SELECT c.article_id, CAST(len(c.sources) + count(h.family) AS BIGINT) AS sources FROM c LEFT JOIN h USING (article_id) WHERE c.rn <= 2 GROUP BY c.article_id, c.sources""")
+def cluster_merge_sources_words(spark, folder):
+    """Merged sources by the rule without its sequence ratio."""
+    return merged_sources(spark, folder, ratio=False).select("article_id", F.size("sources").cast("bigint").alias("sources"))
+
+
 @check("cluster_merge_sources")
 def cluster_merge_sources(spark, folder):
+    return merged_sources(spark, folder).select("article_id", F.size("sources").alias("sources"), F.size(F.col("fact_variances")).alias("variances"))
+
+
+def merged_sources(spark, folder, ratio=True):
     a = B.articles(spark, folder)
     chosen = store.newest_articles(a.drop("summary"), 2)
     additions = a.select("country", "headline", "published_at", "url", "publisher", "coverage_scope", F.lit("GDELT-indexed news").alias("source_type"),
                          F.concat("publisher", F.lit(".test")).alias("source_family"), F.lit("GDELT").alias("indexed_by"))
-    return cluster.merge_sources(chosen, additions).select("article_id", F.size("sources").alias("sources"), F.size(F.col("fact_variances")).alias("variances"))
+    return cluster.merge_sources(chosen, additions, ratio=ratio)
 
 
 @check("cluster_event_wording")
@@ -89,6 +161,17 @@ def stored(spark, folder):
     return B.articles(spark, folder).withColumnRenamed("article_id", "item_id").withColumn("relevance_score", F.lit(60).cast("bigint"))
 
 
+@check("cluster_consolidated_members_words", """
+WITH j AS (SELECT e.seed, a.* FROM c_events e JOIN b_articles a ON a.article_id = e.item_id),
+f AS (SELECT seed, count(DISTINCT family) AS sources FROM (SELECT seed, unnest(list_transform(sources, lambda s: coalesce(nullif(s.source_family, ''), s.publisher))) AS family FROM j) WHERE family IS NOT NULL GROUP BY seed),
+m AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY published_at DESC, url DESC) AS rn, count(*) OVER (PARTITION BY seed) AS members FROM j)
+SELECT article_id AS item_id, country, members, coalesce(f.sources, 0)::BIGINT AS sources FROM m LEFT JOIN f USING (seed) WHERE rn = 1""")
+def cluster_consolidated_members_words(spark, folder):
+    """Consolidated stories without the sequence ratio: newest row, members and merged sources."""
+    out = cluster.consolidate(stored(spark, folder).drop("summary"), ratio=False)
+    return out.select("item_id", "country", "members", F.size("sources").cast("bigint").alias("sources"))
+
+
 @check("cluster_consolidated_stories")
 def cluster_consolidated_stories(spark, folder):
     return cluster.consolidate(stored(spark, folder).drop("summary")).select("item_id", "country", "headline", "summary", "members", F.size("sources").alias("sources"))
@@ -228,7 +311,22 @@ def preference_rows(spark, folder):
                                                          ranking.feedback_weight(F.col("updated_at"), B.as_of()).alias("importance"))
 
 
-@check("rank_preference_model")
+@check("rank_preference_model", f"""
+WITH RECURSIVE t AS (SELECT profile, rating_id, updated_at, CASE WHEN feedback = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS target,
+    exp(-ln(2.0::DOUBLE) * greatest(0.0, (epoch_us({AS_OF}) - epoch_us(updated_at)) / 1000000.0 / 86400) / 90) AS importance,
+    list_filter(regexp_extract_all(lower(headline || ' ' || summary || ' ' || category || ' ' || country), '[a-z][a-z0-9-]{{2,}}'), lambda w: NOT list_contains({text_list(V.RANKING_STOPWORDS)}, w)) AS terms FROM b_feedback),
+e AS (SELECT profile, rating_id, len(f) AS total, sha1(unnest(f)) AS h FROM (SELECT *, list_concat(terms, list_transform(range(1, len(terms)), lambda i: terms[i] || '_' || terms[i + 1])) AS f FROM t)),
+x AS (SELECT profile, rating_id, CAST(('0x' || h[1:8])::BIGINT % 192 AS BIGINT) AS idx, sum(CASE WHEN ('0x' || h[9:10])::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END / total) AS value FROM e GROUP BY ALL),
+r AS (SELECT d.profile, d.rating_id, list(coalesce(x.value, 0.0::DOUBLE) ORDER BY i) AS v, list(x.value IS NOT NULL ORDER BY i) AS m
+  FROM (SELECT DISTINCT profile, rating_id FROM x) d CROSS JOIN (SELECT unnest(range(192)) AS i) LEFT JOIN x ON x.profile = d.profile AND x.rating_id = d.rating_id AND x.idx = i GROUP BY ALL),
+o AS (SELECT r.*, t.target, t.importance, row_number() OVER (PARTITION BY profile ORDER BY updated_at DESC, rating_id DESC) - 1 AS at, count(*) OVER (PARTITION BY profile) AS n FROM r JOIN t USING (profile, rating_id)),
+g AS (SELECT profile, max(n) AS n FROM o GROUP BY profile HAVING count(*) >= 4 AND count(DISTINCT target) = 2),
+s AS (SELECT profile, n, 0::BIGINT AS k, 0.0::DOUBLE AS bias, list_transform(range(192), lambda i: 0.0::DOUBLE) AS w FROM g
+  UNION ALL SELECT z.profile, z.n, z.k + 1, z.bias + z.rate * z.err, list_transform(range(1, 193), lambda i: CASE WHEN z.m[i] THEN z.w[i] * (1.0::DOUBLE - z.rate * 0.001::DOUBLE) + z.rate * z.err * z.v[i] ELSE z.w[i] END)
+  FROM (SELECT s.*, o.v, o.m, 0.35::DOUBLE / (1.0::DOUBLE + (s.k // s.n) * 0.12::DOUBLE) AS rate,
+      (o.target - 1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(-30.0::DOUBLE, least(30.0::DOUBLE, s.bias + list_dot_product(s.w, o.v)))))) * o.importance AS err
+    FROM s JOIN o ON o.profile = s.profile AND o.at = s.k % s.n WHERE s.k < 18 * s.n) z)
+SELECT profile, round(bias, 6) AS bias, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS idx, round(unnest(w), 6) AS w FROM s WHERE k = 18 * n""")
 def rank_preference_model(spark, folder):
     m = ranking.train_preferences(preference_rows(spark, folder))
     return m.select("profile", F.round("bias", 6).alias("bias"), F.posexplode("weights").alias("idx", "w")).withColumn("w", F.round("w", 6))
