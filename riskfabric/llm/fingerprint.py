@@ -75,12 +75,13 @@ def compare(rows: DataFrame, key: str, first: str, others: list[str], size: int
     """key, and for each other set of digests: `<other>_alone` (of the first), `<other>_new` (of the other): the digests that peeling recovered.
 
     `first` and `others` are arrays of distinct digests; `key` is unique. Each try subtracts sketches of one size and hands what did not peel to the
-    next, `growth` times larger, until nothing is left. Rows are partitioned by key once per try, and only those still open.
+    next, `growth` times larger, until nothing is left. Rows are partitioned by key once per try, and only those still open; what a try writes
+    are its findings, not the sets.
     """
     number = {name: i for i, name in enumerate(others)}
-    open_rows, done, width = rows.select(key, first, *others, F.array(*[F.lit(i) for i in number.values()]).alias("_open")), [], size
+    sets, done, width = rows.select(key, first, *others), [], size
+    spread = sets.withColumn("_open", F.array(*[F.lit(i) for i in number.values()])).repartition(F.col(key))
     while True:
-        spread = open_rows.repartition(F.col(key))
         version = [_tagged(first, -1)]
         version += [F.when(F.array_contains("_open", i), _tagged(name, i)).otherwise(
             F.array().cast("array<struct<v:int,digest:bigint>>")) for name, i in number.items()]
@@ -93,13 +94,15 @@ def compare(rows: DataFrame, key: str, first: str, others: list[str], size: int
             F.count_if(~F.col("found")).alias("left"), F.collect_list(F.when(F.col("found") & (F.col("n") > 0), F.col("cell"))).alias("alone"),
             F.collect_list(F.when(F.col("found") & (F.col("n") < 0), F.col("cell"))).alias("new"))
         ends = ends.groupBy(key).agg(F.collect_list(F.struct("side", "left", "alone", "new")).alias("_ends"))
-        tried = written(spread.join(ends, key, "left").withColumn("_ends", F.coalesce("_ends", F.array().cast("array<struct<side:int,left:bigint,alone:array<bigint>,new:array<bigint>>>"))), "peeled")
+        tried = written(spread.select(key, "_open").join(ends, key, "left").withColumn("_ends", F.coalesce("_ends", F.array().cast("array<struct<side:int,left:bigint,alone:array<bigint>,new:array<bigint>>>"))), "peeled")
         failed = F.transform(F.filter("_ends", lambda e: e["left"] > 0), lambda e: e["side"])
         closed = F.array_except("_open", failed)
         done.append(tried.select(key, F.explode(closed).alias("side"), "_ends").select(key, "side", F.get(F.filter("_ends", lambda e: e["side"] == F.col("side")), F.lit(0)).alias("e")))
-        open_rows = tried.where(F.size(failed) > 0).select(key, first, *others, failed.alias("_open"))
-        if open_rows.isEmpty():
+        still_open = tried.where(F.size(failed) > 0).select(key, failed.alias("_open"))
+        if still_open.isEmpty():
             break
+        # Merged by key, so the rows are partitioned for the next try.
+        spread = sets.hint("merge").join(still_open, key)
         width *= growth
     ended = done[0]
     for more in done[1:]:
