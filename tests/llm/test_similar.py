@@ -124,6 +124,20 @@ def test_vectors_equal_brute_force_over_several_passes(spark):
     assert got == sorted([(k, n, c, k == c) for k, n, c in brute_vectors(rows, 0.95)], key=str)
 
 
+def test_dense_group_over_many_blocks(spark):
+    rnd = np.random.default_rng(11)
+    centre, rows = rnd.standard_normal(32), []
+    for i in range(700):
+        rows.append((i + 1, (centre + (0.17 if i % 7 else 0.24) * rnd.standard_normal(32)).astype(np.float32).tolist()))
+    rows += [(1000 + i, rnd.standard_normal(32).astype(np.float32).tolist()) for i in range(700)] + [(3000, rows[0][1])] * 3
+    want = brute_vectors(rows, 0.95)
+    assert sum(n for _, n, _ in want) > 200_000
+    got = _near(spark, rows, block=16)
+    assert sum(r[1] for r in got) == sum(n for _, n, _ in want)
+    assert got == sorted([(k, n, c, k == c) for k, n, c in want], key=str)
+    assert _near(spark, rows, block=16, cell=100) == got
+
+
 def test_vector_edges(spark):
     got = _near(spark, [(None, [1.0, 0.0]), (5, [1.0, 0.01]), (None, [0.0, 1.0]), (9, [-1.0, 0.0])])
     assert got == sorted([(None, 1, 5, False), (5, 1, 5, True), (None, 0, None, True), (9, 0, 9, True)], key=str)
