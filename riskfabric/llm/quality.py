@@ -1,7 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 A text's score is the sum of the weights of its hashed features; ordered thresholds turn it into probabilities of the grades: P(grade <= k) = logistic(threshold[k] - score).
-All grades share the weights. Features are the distinct words of the whole text and the shares of word shapes (letter case, symbols, digits) and of repeated words in it.
+All grades share the weights. Features are the distinct words of the whole text, the beginnings of its words with their share of them, and the shares of word shapes
+(letter case, symbols, digits) and of repeated words in it. Rare features are tamed by the ridge and by how clearly grades differ in holding them, not by a least count.
 """
 
 from __future__ import annotations
@@ -17,11 +18,15 @@ from pyspark.sql import functions as F
 
 from riskfabric.llm import words
 
-#: Labelled rows that a model is fitted on at most (those of the smallest hashes), hashed features, and documents a feature must occur in to get a weight.
-SAMPLE, FEATURES, LEAST = 20_000, 1 << 18, 12
-#: Steps, step size and ridge of the fit; weight of a share among the features.
-STEPS, RATE, RIDGE, SCALE = 300, 0.1, 3e-4, 4.0
+#: Labelled rows that a model is fitted on at most (those of the smallest hashes), and hashed features.
+SAMPLE, FEATURES = 20_000, 1 << 18
+#: Steps and ridge of the fit; weight of a share among the features; standard errors between grades at which a feature counts half.
+STEPS, RIDGE, SCALE, CLEAR = 150, 3e-4, 4.0, 12.0
+#: Feature values that are added up at once.
+SLICE = 1 << 21
 SHAPES = 64
+#: Bytes of the word beginnings that are features, and the weight of the root of their share of a text's words.
+BEGINNINGS, PART = (4, 5, 6, 7, 8), 40.0
 
 _KIND = np.zeros((4, 256), dtype=np.int64)  # capitals, small letters (and all bytes of other scripts), digits, symbols
 _KIND[0, 0x41:0x5B] = 1
@@ -39,6 +44,13 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         plain = words.Words(data, offsets, space=words.NO_WORD)
         number = (plain.hashes % np.uint64(FEATURES - SHAPES - 1)).astype(np.int64)
         distinct = np.unique(np.repeat(np.arange(len(counts)), np.diff(plain.offsets)) * FEATURES + number)
+        holder = np.repeat(np.arange(len(counts)), np.diff(plain.offsets))
+        starts = []
+        for size in BEGINNINGS:
+            at, hashes = plain.beginnings(size)
+            starts.append(holder[at] * FEATURES + (hashes % np.uint64(FEATURES - SHAPES - 1)).astype(np.int64))
+        starts, often = np.unique(np.concatenate(starts), return_counts=True)
+        often = PART * np.sqrt(often / np.maximum(np.diff(plain.offsets), 1)[starts // FEATURES])
         kinds = []
         for table in _KIND:
             sums = np.concatenate([[0], np.cumsum(table[data])])
@@ -50,8 +62,8 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         again = 1 - np.minimum(np.bincount(distinct // FEATURES, minlength=len(counts)) / np.maximum(counts, 1), 1)
         row, column = np.nonzero(shares)
         full = np.flatnonzero(counts)
-        keys = np.concatenate([distinct, row * FEATURES + FEATURES - SHAPES - 1 + column, full * FEATURES + FEATURES - 1])
-        values = np.concatenate([np.ones(len(distinct)), SCALE * shares[row, column], SCALE * again[full]])
+        keys = np.concatenate([distinct, starts, row * FEATURES + FEATURES - SHAPES - 1 + column, full * FEATURES + FEATURES - 1])
+        values = np.concatenate([np.ones(len(distinct)), often, SCALE * shares[row, column], SCALE * again[full]])
         order = np.argsort(keys, kind="stable")
         keys, values = keys[order], values[order]
         yield np.searchsorted(keys, np.arange(len(counts) + 1) * FEATURES), keys % FEATURES, values.astype(np.float32)
@@ -66,38 +78,85 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def descend(loss, state: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
+    """The state after at most `steps` steps of L-BFGS down a loss that gives its value and gradient."""
+    value, gradient = loss(state)
+    moves: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        way, held = -gradient, []
+        for move, change, inverse in reversed(moves):
+            held.append(inverse * float(move @ way))
+            way = way - held[-1] * change
+        way *= 1 / (moves[-1][2] * float(moves[-1][1] @ moves[-1][1])) if moves else 1 / max(1.0, float(np.sqrt(gradient @ gradient)))
+        for (move, change, inverse), part in zip(moves, reversed(held)):
+            way = way + (part - inverse * float(change @ way)) * move
+        slope, size = float(gradient @ way), 1.0
+        while size > 1e-10:
+            after, turned = loss(state + size * way)
+            if after <= value + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        move, change = size * way, turned - gradient
+        if (bend := float(move @ change)) > 1e-12:
+            moves = [*moves[1 - memory :], (move, change, 1 / bend)]
+        state, value, gradient = state + move, after, turned
+        if np.abs(gradient).max() < 1e-6:
+            break
+    return state
+
+
+def evidence(held: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """0 to 1 per feature: how clearly the rows of some neighbouring grades differ in holding it (shares, which all texts hold, count whole)."""
+    z = np.zeros(held.shape[1])
+    for low, high, n, m in zip(held, held[1:], rows, rows[1:]):
+        both = (low + high) / (n + m)
+        z = np.maximum(z, np.abs(low / n - high / m) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n + 1 / m)))
+    z[FEATURES - SHAPES - 1 :] = np.inf
+    return 1 / (1 + (CLEAR / np.maximum(z, 1e-9)) ** 2)
+
+
 def fit_arrays(offsets: np.ndarray, numbers: np.ndarray, values: np.ndarray, grades: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of the cumulative-link model with grades 0 to `top` that fit best, by Adam on all rows at once."""
+    """Weights and thresholds of the cumulative-link model with grades 0 to `top` that fit best, on all rows at once."""
     n, width = len(grades), FEATURES
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    common = np.bincount(numbers, minlength=width) >= min(LEAST, max(1, n // 50))
-    used = common[numbers]
-    owner, numbers, values = owner[used], numbers[used], values[used].astype(np.float64)
-    offsets = np.searchsorted(owner, np.arange(n + 1))
-    below = np.clip(np.cumsum(np.bincount(grades, minlength=top + 1))[:-1] / max(n, 1), 1e-3, 1 - 1e-3)
+    # Row ranges of about SLICE values: only these are ever expanded.
+    ends = np.unique(np.searchsorted(offsets, np.arange(0, offsets[-1] + SLICE, SLICE), side="left").clip(0, n))
+    parts = [(low, high, slice(offsets[low], offsets[high])) for low, high in zip([0, *ends], [*ends, n]) if high > low]
+    rows = np.bincount(grades, minlength=top + 1)
+    held = np.zeros((top + 1, width))
+    for low, high, at in parts:
+        grade = np.repeat(grades[low:high], np.diff(offsets[low : high + 1]))
+        for g in range(top + 1):
+            held[g] += np.bincount(numbers[at][grade == g], minlength=width)
+    scale = evidence(held, np.maximum(rows, 1))
+    below = np.clip(np.cumsum(rows)[:-1] / max(n, 1), 1e-3, 1 - 1e-3)
     cuts = np.log(below / (1 - below))
     cuts = cuts[0] + np.concatenate([[0], np.cumsum(np.maximum(np.diff(cuts), 1e-2))])
     state = np.concatenate([np.zeros(width), cuts[:1], np.log(np.diff(cuts))])
-    mean, square = np.zeros_like(state), np.zeros_like(state)
-    for step in range(1, STEPS + 1):
+
+    def loss(state: np.ndarray) -> tuple[float, np.ndarray]:
         weights, first, gaps = state[:width], state[width : width + 1], np.exp(state[width + 1 :])
         cuts = np.concatenate([first, first + np.cumsum(gaps)])
-        score = _sums(offsets, weights[numbers] * values)
+        scaled, slopes = weights * scale, np.zeros(width)
+        score = np.concatenate([_sums(offsets[low : high + 1] - offsets[low], scaled[numbers[at]] * values[at]) for low, high, at in parts])
         bounds = np.concatenate([[-np.inf], cuts, [np.inf]])
         high, low = _logistic(bounds[grades + 1] - score), _logistic(bounds[grades] - score)
         chance = np.maximum(high - low, 1e-12)
         slope_high, slope_low = high * (1 - high) / chance, low * (1 - low) / chance
         by_score = (slope_high - slope_low) / n
         gradient = np.empty_like(state)
-        gradient[:width] = np.bincount(numbers, weights=by_score[owner] * values, minlength=width) + RIDGE * weights
+        for low, high, at in parts:
+            slopes += np.bincount(numbers[at], np.repeat(by_score[low:high], np.diff(offsets[low : high + 1])) * values[at], minlength=width)
+        gradient[:width] = slopes * scale + RIDGE * weights
         by_cut = np.bincount(grades, -slope_high, top + 1)[:-1] / n + np.bincount(grades, slope_low, top + 1)[1:] / n
         after = np.cumsum(by_cut[::-1])[::-1]
         gradient[width] = after[0]
         gradient[width + 1 :] = after[1:] * gaps
-        mean += 0.1 * (gradient - mean)
-        square += 0.001 * (gradient * gradient - square)
-        state -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    state[:width][~common] = 0
+        return RIDGE / 2 * float(weights @ weights) - float(np.log(chance).mean()), gradient
+
+    state = descend(loss, state, STEPS)
+    state[:width] *= scale
     first, gaps = state[width : width + 1], np.exp(state[width + 1 :])
     return state[:width].astype(np.float32), np.concatenate([first, first + np.cumsum(gaps)])
 

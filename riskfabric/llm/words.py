@@ -69,6 +69,13 @@ class Words:
         np.cumsum((_LOWER if lower else _PLAIN)[data] * powers[:n], out=sums[1:])
         self.hashes = mix64((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
         self.offsets = np.searchsorted(self.starts, offsets)
+        self._sums, self._inverse = sums, inverse
+
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the words of at least `size` bytes, and hashes of their first `size` bytes."""
+        at = np.flatnonzero(self.ends - self.starts >= size)
+        low = self.starts[at]
+        return at, mix64((self._sums[low + size] - self._sums[low]) * self._inverse[low] + np.uint64(size))
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of `width` consecutive words and their offsets per text. A text of fewer words gives one shingle of all its words, one without words none."""

@@ -135,6 +135,16 @@ def test_scores_equal_plain_python_and_grades_are_learned(spark):
     assert model.thresholds[0] < model.thresholds[1]
 
 
+def test_toxic_texts_are_told_apart_by_word_beginnings(spark):
+    labels, docs = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("labels", "documents"))
+    grades = quality.grades(labels)
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    rows = quality.rate(docs, quality.fit(docs, grades.where(~held))).join(grades, "doc_id").where(held).collect()
+    share = lambda grade, lang: np.mean([r.tail >= 0.6 for r in rows if r.grade == grade and lang in (r.lang, None)])
+    assert share(1, None) < 0.25 and share(1, "de") < 0.3 and share(1, "fr") < 0.3
+    assert share(2, None) > 0.98 and share(0, None) < 0.02
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "!!! ???", "x"), (3, "!!! ???", "x"), (None, "a", "x")], "doc_id long, text string, tail string")
     none = spark.createDataFrame([], "doc_id long, grade int")
