@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfabric.llm import bpe, chat, fingerprint, html, jaccard, licenses, mixing, neardup, quality, shared, tokenfile
+from riskfabric.llm import bpe, chat, fingerprint, html, jaccard, licenses, mixing, neardup, quality, resample, shared, tokencount, tokenfile, whitening
 from riskfabric.llm.license_texts import LICENSES
 
 MIX_SEED, MIX_TEMPERATURE = 17, 0.5
@@ -141,6 +141,23 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
                                            alike("edited").alias("near_edited"), alike("next").alias("near_next"))
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights, scores and draw of all documents by how they resemble the benchmark texts."""
+    rows = resample.importance(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings on their first eight principal components, at unit variance."""
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of all documents, and whether they exceed 512 tokens."""
+    rows = tokencount.count(read(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 #: name -> (query, SQL or None)
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
@@ -153,5 +170,8 @@ QUERIES = {
     "op8_page_text": (op8_page_text, None),
     "op9_license_scan": (op9_license_scan, None),
     "op10_fingerprints": (op10_fingerprints, None),
+    "op11_importance_resampling": (op11_importance_resampling, None),
+    "op12_embedding_whitening": (op12_embedding_whitening, None),
+    "op13_token_counts": (op13_token_counts, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

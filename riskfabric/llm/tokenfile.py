@@ -7,11 +7,9 @@ lie flat in the file, so a memory map gives every sequence and mask without copy
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,55 +17,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ids in a sequence, sequences in a record batch, words whose ids a worker remembers, and characters of text that are encoded together.
-LENGTH, BATCH, REMEMBERED, TOGETHER = 2048, 128, 1_000_000, 1 << 20
-# The characters of Unicode's White_Space property; the ASCII characters that are no letters, digits or white space; common letters.
-_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_MARKS = r"!-/:-@\[-`{-~"
-_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_UNIT = re.compile(f"[{_WHITE}]*[{_LETTERS}]+(?=[{_WHITE}{_MARKS}]|\\Z)|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-
-
-class Encoder:
-    """Ids of texts as bytes. The byte-level pre-tokenizer always cuts where white space follows another character, and where a letter ends a run of
-    letters; the words between such places are encoded on their own by the library, and a word that was met before is looked up."""
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.known: dict[str, bytes] = {}
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        units = [_UNIT.findall(text) for text in texts]
-        words = set().union(*units)
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        new = list(words - self.known.keys())
-        self.known.update(zip(new, [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
-        return [b"".join(map(self.known.__getitem__, found)) for found in units]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
-def _together(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    """Keys and texts of a batch in runs of about TOGETHER characters."""
-    keys, texts, size = [], [], 0
-    for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-        keys.append(key)
-        texts.append(text.as_py() or "")
-        size += len(texts[-1])
-        if size >= TOGETHER:
-            yield keys, texts
-            keys, texts, size = [], [], 0
+from riskfabric.llm import pieces
+
+#: Ids in a sequence, and sequences in a record batch.
+LENGTH, BATCH = 2048, 128
+
+
+def _encoded(batch: pa.RecordBatch, coder: pieces.Coder) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Every key of a batch with the ids of its text, in parts where the text is long."""
+    keys, row, parts = batch.column(0).to_pylist(), 0, []
+    for rows, data, offsets in pieces.blocks(batch.column(1)):
+        ids, bounds = coder.encode(data, offsets)
+        for r, low, high in zip(rows.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            if r != row:
+                yield keys[row], parts
+                row, parts = r, []
+            parts.append(ids[low:high])
     if keys:
-        yield keys, texts
+        yield keys[row], parts
 
 
 def _filesystem(uri: str):
@@ -86,10 +53,11 @@ class _Writer:
         self.file = pa.ipc.new_file(sink, self.schema)
         self.parts, self.stops, self.keys, self.held, self.total = [], [], [], 0, 0
 
-    def add(self, key, ids: np.ndarray) -> None:
-        self.parts.append(ids)
-        self.held += len(ids)
-        self.total += len(ids)
+    def add(self, key, parts: list[np.ndarray]) -> None:
+        size = sum(map(len, parts))
+        self.parts += parts
+        self.held += size
+        self.total += size
         self.stops.append(self.held - 1)
         self.keys.append(key)
         if self.held >= BATCH * self.length:
@@ -117,25 +85,25 @@ class _Writer:
 
 
 def write(documents: DataFrame, folder: str, tokenizer: str, end: int = 2, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Encodes whole texts, ends each with `end`, and writes them in ascending order of the key; returns a row per file: number, file, documents, ids.
+    """Encodes whole texts as the library's plain call does (strings of added tokens become these tokens), ends each with `end`, and writes them in ascending
+    order of the key; returns a row per file: number, file, documents, ids.
 
     Each task writes one range of keys under a name of its own attempt and renames the finished file, so a repeated or speculative task replaces a file
     by the same content. Missing keys come first; rows of equal keys are ordered by text. A missing text is empty: its document is the end id
     alone. Other columns are not read. An empty table has no files. The key is an integer. `folder` must be reachable by all executors.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, writer = encoder(tokenizer), TaskContext.get(), None
+        coder, task, writer = pieces.coder(tokenizer), TaskContext.get(), None
         store, root = _filesystem(folder)
         name = f"part-{task.partitionId():06d}.arrow"
-        draft, count, tail = f"{root}/_{name}.{task.taskAttemptId()}", 0, np.array([end], coder.dtype).tobytes()
+        draft, count, tail = f"{root}/_{name}.{task.taskAttemptId()}", 0, np.array([end], coder.dtype)
         for batch in batches:
-            for keys, texts in _together(batch):
+            for k, parts in _encoded(batch, coder):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     writer = _Writer(store.open_output_stream(draft), coder.dtype, length)
-                for k, ids in zip(keys, coder.encode(texts)):
-                    writer.add(k, np.frombuffer(ids + tail, coder.dtype))
-                count += len(keys)
+                writer.add(k, [*parts, tail])
+                count += 1
         if writer is not None:
             writer.close()
             store.move(draft, f"{root}/{name}")
