@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +21,8 @@ from riskfabric.llm import words
 SAMPLE, FEATURES = 20_000, 1 << 18
 #: Steps and ridge of the fit; weight of a share among the features; standard errors between grades at which a feature counts half.
 STEPS, RIDGE, SCALE, CLEAR = 150, 3e-4, 4.0, 12.0
-#: Feature values that are added up at once.
-SLICE = 1 << 21
+#: Feature values that are added up at once, and bytes of text whose features are formed at once.
+SLICE, BLOCK = 1 << 21, 1 << 19
 SHAPES = 64
 #: Bytes of the word beginnings that are features, and the weight of the root of their share of a text's words.
 BEGINNINGS, PART = (4, 5, 6, 7, 8), 40.0
@@ -37,7 +36,7 @@ _KIND[3, 0x21:0x7F] = 1 - _KIND[:3, 0x21:0x7F].sum(axis=0)
 
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(offsets per text, feature numbers, values) of consecutive blocks of texts."""
-    for _, data, offsets in words.blocks(texts):
+    for _, data, offsets in words.blocks(texts, BLOCK):
         found = words.Words(data, offsets)
         counts = np.diff(found.offsets)
         owner = np.repeat(np.arange(len(counts)), counts)
@@ -161,6 +160,16 @@ def fit_arrays(offsets: np.ndarray, numbers: np.ndarray, values: np.ndarray, gra
     return state[:width].astype(np.float32), np.concatenate([first, first + np.cumsum(gaps)])
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts behind each other; each is let go as soon as it is copied."""
+    out, at = np.empty(sum(map(len, parts)), parts[0].dtype), 0
+    for k, part in enumerate(parts):
+        out[at : at + len(part)] = part
+        at += len(part)
+        parts[k] = None
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray
@@ -198,14 +207,17 @@ def fit(documents: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str
                     low += len(cut) - 1
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches([b for b in batches if b.num_rows], schema=pa.schema([("grade", pa.int32()), ("numbers", pa.list_(pa.int32())), ("parts", pa.list_(pa.float32()))]))
-        if not len(table):
+        # Copied out of every batch, so that one copy of the sample is held while fitting and none afterwards.
+        held = [(b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy()), b.column(1).flatten().to_numpy().copy(), b.column(2).flatten().to_numpy().copy()) for b in batches if b.num_rows]
+        if not held:
             weights, thresholds = np.zeros(FEATURES, np.float32), -np.log(np.arange(top, 0, -1) / np.arange(1, top + 1))
         else:
-            numbers = table.column(1).combine_chunks()
-            grades = np.clip(table.column(0).to_numpy(), 0, top)
-            sizes = np.diff(numbers.offsets.to_numpy())
-            weights, thresholds = fit_arrays(np.concatenate([[0], np.cumsum(sizes)]), numbers.flatten().to_numpy(), table.column(2).combine_chunks().flatten().to_numpy(), grades, top)
+            rated, sizes, numbers, values = (list(column) for column in zip(*held))
+            del held
+            numbers, values = _joined(numbers), _joined(values)
+            weights, thresholds = fit_arrays(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), numbers, values, np.clip(np.concatenate(rated), 0, top), top)
+            del numbers, values
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_pydict({"weights": [weights.astype("<f4").tobytes()], "thresholds": [thresholds.tolist()]})
 
     # All rows of the sample, ordered so that repeated runs add up in one order.
@@ -223,10 +235,10 @@ def rate(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     shared = documents.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
-    @F.pandas_udf("expected_grade double, tail double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        chances = Model(*shared.value).probabilities(Model(*shared.value).score(pa.array(texts, pa.large_string(), from_pandas=True)))
-        return pd.DataFrame({"expected_grade": chances.sum(axis=1), "tail": chances[:, -1]})
+    @F.arrow_udf("struct<expected_grade: double, tail: double>")
+    def run(texts: pa.Array) -> pa.Array:
+        chances = Model(*shared.value).probabilities(Model(*shared.value).score(texts))
+        return pa.StructArray.from_arrays([pa.array(chances.sum(axis=1)), pa.array(chances[:, -1])], ["expected_grade", "tail"])
 
     rated = documents.drop("expected_grade", "tail").withColumn("_rated", run(F.col(text).cast("string")))
     return rated.select(*documents.drop("expected_grade", "tail").columns, "_rated.expected_grade", "_rated.tail")

@@ -15,7 +15,7 @@ def test_stages_and_names():
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "source_mixture", "byte_level_bpe"]
     names = list(__spark_entry__.queries())
     assert [n for n in names if n.startswith("op") and n[2].isdigit()] == [n for n in queries.QUERIES if n != "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_equals_plain_python(spark):
