@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters, or token ids, that a leaf holds at most, and the first window on each side of a border.
-LEAF, WINDOW = 8192, 64
+LEAF, WINDOW = 512, 64
 _BLANK = " \n\t\r"
 
 
