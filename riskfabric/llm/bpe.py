@@ -10,16 +10,19 @@ Decoding concatenates up the same kind of tree.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters, or token ids, that a leaf holds at most, and the first window on each side of a border.
-LEAF, WINDOW = 512, 64
+from riskfabric.llm.shared import release
+
+#: Characters, or token ids, that a leaf holds at most, the first window on each side of a border, and values that are made at once.
+LEAF, WINDOW, RUN = 512, 64, 256
 _BLANK = " \n\t\r"
 
 
@@ -85,25 +88,34 @@ def decode_tree(ids: np.ndarray, tokens: list[bytes], leaf: int = LEAF) -> bytes
     return decode_tree(ids[:mid], tokens, leaf) + decode_tree(ids[mid:], tokens, leaf)
 
 
+def _values(made: Iterator[bytes]) -> pa.Array:
+    """Binary values as they are made, in runs, so that they are not held twice."""
+    runs = [pa.array(run, pa.binary()) for run in iter(lambda: list(islice(made, RUN)), [])]
+    out = pa.concat_arrays(runs) if runs else pa.array([], pa.binary())
+    del runs
+    release()
+    return out
+
+
 def encode(documents: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", leaf: int = LEAF) -> DataFrame:
     """All columns plus `ids`: the token ids of the whole text as little-endian unsigned 32-bit integers, in one binary value.
 
     Equal to encoding each match of the pattern by the ranks, without special tokens. A missing or empty text has no tokens. A column of the name of
     `ids` is replaced; rows are neither moved nor joined, so ties, repeated rows and empty tables need no rule.
     """
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
         encoder, _ = load(vocabulary, pattern)
-        return pd.Series([encode_tree(t, encoder.encode_ordinary, leaf).astype("<u4").tobytes() if t else b"" for t in texts], dtype=object)
+        return _values(encode_tree(t.as_py(), encoder.encode_ordinary, leaf).astype("<u4").tobytes() if t.is_valid else b"" for t in texts)
 
     return documents.withColumn(ids, run(F.col(text).cast("string")))
 
 
 def decode(documents: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", decoded: str = "decoded", leaf: int = LEAF) -> DataFrame:
     """All columns plus `decoded`: the bytes of the ids that `encode` writes; missing ids have none."""
-    @F.pandas_udf("binary")
-    def run(values: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def run(values: pa.Array) -> pa.Array:
         _, tokens = load(vocabulary, pattern)
-        return pd.Series([decode_tree(np.frombuffer(v, "<u4"), tokens, leaf) if v else b"" for v in values], dtype=object)
+        return _values(decode_tree(np.frombuffer(v.as_buffer(), "<u4"), tokens, leaf) if v.is_valid else b"" for v in values)
 
     return documents.withColumn(decoded, run(F.col(ids)))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from riskfabric.llm import words
 from riskfabric.llm.components import Forest, components, groups
-from riskfabric.llm.shared import written
+from riskfabric.llm.shared import release, written
 
 #: Chance to miss a pair at the threshold, hashes in a band, children of a node, and classes in one tree.
 MISS, ROWS, FANOUT, TREE = 1e-12, 5, 8, 1024
@@ -138,6 +138,7 @@ def features(documents: DataFrame, key: str, text: str, width: int, threshold: f
                         keys.append(band_keys(items, count, rows) if len(items) else [])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                                                  names=["key", "n", "digest", "bands"])
+        release()
 
     return documents.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "key long, n long, digest binary, bands array<long>")
 
@@ -156,6 +157,7 @@ def _joined(rows: DataFrame, keys: list[str], share: tuple[int, int], width: int
             if edges:
                 a, b = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+        release()
 
     return rows.select(*keys, "side", "label", "node", "text").repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "a long, b long")
 

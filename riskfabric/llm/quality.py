@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskfabric.llm import words
+from riskfabric.llm.shared import release
 
 #: Labelled rows that a model is fitted on at most (those of the smallest hashes), and hashed features.
 SAMPLE, FEATURES = 20_000, 1 << 18
 #: Steps and ridge of the fit; weight of a share among the features; standard errors between grades at which a feature counts half.
 STEPS, RIDGE, SCALE, CLEAR = 150, 3e-4, 4.0, 12.0
-#: Feature values that are added up at once, and bytes of text whose features are formed at once.
-SLICE, BLOCK = 1 << 21, 1 << 19
+#: Feature values that are added up at once.
+SLICE = 1 << 21
 SHAPES = 64
 #: Bytes of the word beginnings that are features, and the weight of the root of their share of a text's words.
 BEGINNINGS, PART = (4, 5, 6, 7, 8), 40.0
@@ -36,7 +37,7 @@ _KIND[3, 0x21:0x7F] = 1 - _KIND[:3, 0x21:0x7F].sum(axis=0)
 
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(offsets per text, feature numbers, values) of consecutive blocks of texts."""
-    for _, data, offsets in words.blocks(texts, BLOCK):
+    for _, data, offsets in words.blocks(texts):
         found = words.Words(data, offsets)
         counts = np.diff(found.offsets)
         owner = np.repeat(np.arange(len(counts)), counts)
@@ -205,6 +206,7 @@ def fit(documents: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(cut) - 1), pa.ListArray.from_arrays(cut, pa.array(numbers.astype(np.int32))),
                                                       pa.ListArray.from_arrays(cut, pa.array(values))], names=["grade", "numbers", "parts"])
                     low += len(cut) - 1
+        release()
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Copied out of every batch, so that one copy of the sample is held while fitting and none afterwards.
@@ -217,7 +219,7 @@ def fit(documents: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str
             numbers, values = _joined(numbers), _joined(values)
             weights, thresholds = fit_arrays(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), numbers, values, np.clip(np.concatenate(rated), 0, top), top)
             del numbers, values
-        pa.default_memory_pool().release_unused()
+        release()
         yield pa.RecordBatch.from_pydict({"weights": [weights.astype("<f4").tobytes()], "thresholds": [thresholds.tolist()]})
 
     # All rows of the sample, ordered so that repeated runs add up in one order.
@@ -238,6 +240,7 @@ def rate(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.arrow_udf("struct<expected_grade: double, tail: double>")
     def run(texts: pa.Array) -> pa.Array:
         chances = Model(*shared.value).probabilities(Model(*shared.value).score(texts))
+        release()
         return pa.StructArray.from_arrays([pa.array(chances.sum(axis=1)), pa.array(chances[:, -1])], ["expected_grade", "tail"])
 
     rated = documents.drop("expected_grade", "tail").withColumn("_rated", run(F.col(text).cast("string")))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed together; a longer text is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
