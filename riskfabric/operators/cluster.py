@@ -9,7 +9,7 @@ from riskfabric import vocabulary as V
 from riskfabric.functions import places, tone
 from riskfabric.functions.text import (blank, contains_any, fact_variance, labels_present, numbers, phrase, plural, sentence_case,
                                        story_words, summary_text)
-from riskfabric.operators.match import matched_pairs, with_event_features
+from riskfabric.operators.match import matches, with_event_features
 from riskfabric.operators.store import latest_per_key, top_per_key
 from riskfabric.session import cut
 
@@ -36,7 +36,7 @@ def leader_clusters(items: DataFrame, block, item="item_id", time="published_at"
 
     * items with the same event features (and time) are one candidate, however many copies exist;
     * per round, the next rows in order of every block form a small batch whose seeds are found exactly;
-    * all undecided rows are matched with the new seeds and leave when they match.
+    * all undecided rows are matched with the new seeds through an index of words and anchors (see ``match.matches``) and leave when they match.
 
     Rounds end when nothing is undecided. No row, pair or partner is dropped. ``ratio=False`` leaves the sequence ratio out of the rule.
     """
@@ -48,8 +48,9 @@ def leader_clusters(items: DataFrame, block, item="item_id", time="published_at"
     rows = rows.withColumn("__sig", F.sha2(F.concat_ws("\u0001", F.col("f.key"), F.col("f.armed").cast("string"),
                                                       *([blank(F.col("__t").cast("string"))] if span is not None else [])), 256))
     order = F.struct(F.coalesce(F.col("__t"), F.lit(-(2 ** 62))).alias("t"), blank(F.col(tie)).alias("tie"), F.col(item).alias("id"))
+    rows = cut(rows.select(*block, F.col(item), F.col(tie), "__t", "__sig", "f"))  # headlines are turned into features once
     reps = rows.groupBy(*block, "__sig").agg(F.max_by(F.struct(F.col(item).alias("rep"), order.alias("o"), F.col("__t").alias("t"), "f"), order).alias("r"))
-    undecided = cut(reps.select(*block, "__sig", "r.rep", "r.o", "r.t", "r.f"))
+    reps = undecided = cut(reps.select(*block, "__sig", "r.rep", "r.o", "r.t", "r.f"))
     decided, size = [], first_batch
     while True:
         batch = cut(top_per_key(undecided, block, [F.desc("o")], size, "rank"))
@@ -57,14 +58,15 @@ def leader_clusters(items: DataFrame, block, item="item_id", time="published_at"
             break
         earlier = batch.select(*block, F.col("rank").alias("rank_b"), F.col("f").alias("b"), F.col("t").alias("t_b"))
         later = batch.select(*block, "rep", "rank", F.col("f").alias("a"), F.col("t").alias("t_a"))
-        pairs = later.join(earlier, block).filter(F.col("rank_b") < F.col("rank"))  # at most size² / 2 per block
-        edges = matched_pairs(_near(pairs, span), ratio=ratio).groupBy("rep").agg(F.collect_list("rank_b").alias("earlier"))
+        edges = matches(later, earlier, block, span, ratio, where=F.col("rank_b") < F.col("rank"))  # a bounded batch per block
+        edges = edges.groupBy("rep").agg(F.collect_list("rank_b").alias("earlier"))
         nodes = batch.select(*block, "rep", "rank").join(edges, "rep", "left").withColumn("earlier", F.coalesce("earlier", F.array().cast("array<int>")))
         kind = items.schema[item].dataType.simpleString()
         seeds = nodes.groupBy(*block).applyInPandas(_greedy, f"rep {kind}")
         seeds = cut(batch.join(seeds, "rep", "left_semi").select(*block, F.col("rep").alias("seed"), F.col("o").alias("o_b"), F.col("t").alias("t_b"), F.col("f").alias("b")))
-        star = _paired(undecided.select(*block, "rep", "o", F.col("t").alias("t_a"), F.col("f").alias("a")), seeds, block, span).filter(F.col("o_b") > F.col("o"))
-        hits = matched_pairs(_near(star, span), ratio=ratio).groupBy("rep").agg(F.max_by("seed", "o_b").alias("seed"))
+        open_items = undecided.select(*block, "rep", "o", F.col("t").alias("t_a"), F.col("f").alias("a"))
+        star = matches(open_items, seeds, block, span, ratio, where=F.col("o_b") > F.col("o"))
+        hits = star.groupBy("rep").agg(F.max_by("seed", "o_b").alias("seed"))
         own = seeds.select(F.col("seed").alias("rep"), "seed")
         step = cut(hits.join(own.select("rep"), "rep", "left_anti").unionByName(own))
         decided.append(step)
@@ -75,31 +77,10 @@ def leader_clusters(items: DataFrame, block, item="item_id", time="published_at"
     assigned = decided[0]
     for step in decided[1:]:
         assigned = assigned.unionByName(step)
-    keyed = reps.select(*block, "__sig", F.col("r.rep").alias("rep")).join(assigned, "rep").select(*block, "__sig", "seed")
+    keyed = reps.select(*block, "__sig", "rep").join(assigned, "rep").select(*block, "__sig", "seed")
     return rows.select(*block, "__sig", F.col(item)).join(keyed, block + ["__sig"]).select(item, "seed")
 
 
-def _near(pairs: DataFrame, span) -> DataFrame:
-    if span is None:
-        return pairs
-    return pairs.filter(F.col("t_a").isNull() | F.col("t_b").isNull() | (F.abs(F.col("t_a") - F.col("t_b")) <= span))
-
-
-def _paired(items: DataFrame, seeds: DataFrame, block, span) -> DataFrame:
-    """Items (time ``t_a``) and seeds (``t_b``) of a block that can lie within ``span`` of each other.
-
-    The key is the block and the span-wide slot of the seed's time, in which and beside which an item must lie. Rows without a time are near
-    everything and meet their block.
-    """
-    if span is None:
-        return items.join(seeds, block)
-    slot = lambda t: F.floor(F.col(t) / span)
-    timed = items.filter("t_a IS NOT NULL").withColumn("__slot", F.explode(F.array(slot("t_a") - 1, slot("t_a"), slot("t_a") + 1)))
-    slotted = timed.join(seeds.filter("t_b IS NOT NULL").withColumn("__slot", slot("t_b")), [*block, "__slot"]).drop("__slot")
-    free = items.join(seeds.filter("t_b IS NULL"), block).unionByName(items.filter("t_a IS NULL").join(seeds.filter("t_b IS NOT NULL"), block))
-    return slotted.unionByName(free)
-
-
 def roll_up(items: DataFrame, clusters: DataFrame, block=("country", "category"), item="item_id", time="published_at", tie="url") -> DataFrame:
     """One story per cluster: newest item, one source per family (newest first), scope label, summary."""
     joined = items.join(clusters, item)
@@ -131,15 +112,15 @@ def _matched_sentence() -> Column:
 def merge_sources(stories: DataFrame, additions: DataFrame, key="article_id", block=("country",), days=7, ratio=True) -> DataFrame:
     """Append sources of the same event from new families, newest addition per family.
 
-    ``stories`` is the short selected list per country, so additions meet a bounded number of stories.
+    Stories and additions meet on shared words and anchors, and, for the sequence ratio, in their block and time slot.
     """
     span = days * 86_400_000_000
     a = with_event_features(additions.withColumn("__added", F.struct("publisher", "url", "coverage_scope", "source_type", "source_family", "indexed_by", "headline")))
     a = a.select(*block, "__added", F.col("f").alias("b"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("t_b"), F.col("url").alias("__u"))
     s = with_event_features(stories).select(*block, key, F.col("headline").alias("__head"), F.col("f").alias("a"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("t_a"),
                                             F.transform("sources", lambda x: x["source_family"]).alias("__seen"))
-    pairs = _paired(s, a, list(block), span).filter(~F.array_contains("__seen", F.col("__added.source_family")))
-    hits = matched_pairs(_near(pairs, span), ratio=ratio).withColumn("__family", F.col("__added.source_family"))
+    unseen = ~F.array_contains("__seen", F.col("__added.source_family"))
+    hits = matches(s, a, block, span, ratio, where=unseen).withColumn("__family", F.col("__added.source_family"))
     one = hits.groupBy(key, "__family").agg(F.max_by(F.struct("__added", "__head"), F.struct("t_b", "__u")).alias("x"))
     fresh = one.withColumn("__variance", fact_variance(F.col("x.__head"), F.col("x.__added.headline")))
     element = stories.schema["sources"].dataType.elementType

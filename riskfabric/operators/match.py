@@ -2,6 +2,7 @@
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +28,34 @@ def with_event_features(df: DataFrame, headline="headline", into="f") -> DataFra
     t = F.col("__f.tokens")
     keep = lambda words: F.array_intersect(t, F.lit(list(words)))
     specific = F.filter(t, lambda w: (F.length(w) >= 5) & ~w.isin(sorted(general)) & ~w.rlike("^[0-9]+$"))
-    return (df.withColumn("__f", event_features(F.col(headline)))
-              .withColumn(into, F.struct(t.alias("tokens"), F.array_join(t, " ").alias("key"), letter_counts(F.array_join(t, " ")).alias("letters"), F.col("__f.armed").alias("armed"), specific.alias("specific"),
+    base = df.withColumn("__f", event_features(F.col(headline))).withColumn("__g", F.struct(t.alias("tokens"), F.array_join(t, " ").alias("key"), letter_counts(F.array_join(t, " ")).alias("letters"), F.col("__f.armed").alias("armed"), specific.alias("specific"),
                                          keep(V.THREAT_TERMS).alias("threats"), keep(["strike", "attack"]).alias("blows"), keep(V.EVENT_ACTORS).alias("actors"),
                                          keep(V.EVENT_ACTIONS).alias("actions"), keep(V.EVENT_TARGETS).alias("targets"), keep(V.EVENT_ROUTES).alias("routes")))
-              .drop("__f"))
+    return base.withColumn(into, F.struct("__g.*", event_keys(F.col("__g")).alias("keys"))).drop("__f", "__g")
+
+
+def key_features(key: Column) -> Column:
+    """Features of a story key for ``matches`` with ``native=near_tokens``."""
+    tokens = F.filter(F.array_distinct(F.split(key, " ")), lambda w: w != "")
+    return F.struct(tokens.alias("tokens"), key.alias("key"), letter_counts(key).alias("letters"), prefix_keys(tokens).alias("keys"))
+
+
+def prefix_keys(tokens: Column, threshold=JACCARD) -> Column:
+    """Words of which two sets share one when their Jaccard similarity reaches the threshold: the first of each set in one fixed order, words of many headlines last."""
+    common = sorted(set(V.GENERIC_EVENT_WORDS + V.EVENT_ACTORS + V.EVENT_ACTIONS + V.EVENT_TARGETS))
+    ordered = F.array_sort(F.transform(tokens, lambda w: F.struct(w.isin(common).alias("common"), (-F.length(w)).alias("length"), w.alias("word"))))
+    size = F.size(tokens)
+    return F.transform(F.slice(ordered, F.lit(1), F.greatest(F.lit(0), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)), lambda e: F.concat(F.lit("w|"), e["word"]))
+
+
+def event_keys(f: Column) -> Column:
+    """Index keys of event features: every pair that ``near_event`` accepts has one in common."""
+    pairs = lambda mark, x, y: F.flatten(F.transform(x, lambda p: F.transform(y, lambda q: F.concat_ws("|", F.lit(mark), p, q))))
+    none = F.array().cast("array<string>")
+    armed = F.when(f["armed"] & (F.size(f["blows"]) > 0), F.transform(f["specific"], lambda w: F.concat(F.lit("a|"), w))).otherwise(none)
+    acts = pairs("r", f["actions"], f["targets"])
+    roles = F.flatten(F.transform(acts, lambda p: F.transform(F.concat(f["actors"], f["routes"]), lambda q: F.concat_ws("|", p, q))))
+    return F.array_distinct(F.concat(prefix_keys(f["tokens"]), pairs("t", f["specific"], f["threats"]), armed, roles))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -58,7 +82,8 @@ def letter_counts(key: Column) -> Column:
 
 def letters_allow(a: Column, b: Column, threshold=RATIO) -> Column:
     """Character bound of the sequence ratio on features: matching blocks hold no more of a letter than both texts do."""
-    common = F.aggregate(F.zip_with(a["letters"], b["letters"], lambda x, y: F.least(x, y)), F.lit(0), lambda acc, n: acc + n)
+    least = [F.least(a["letters"][i], b["letters"][i]) for i in range(len(LETTERS) + 1)]  # written out: stays in generated code
+    common = sum(least[1:], least[0])
     return 2 * common >= threshold * (F.length(a["key"]) + F.length(b["key"])) - 1e-9
 
 
@@ -73,10 +98,59 @@ def sequence_ratio_at_least(left, right, threshold=RATIO) -> bool:
     return matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold
 
 
+LONGEST = 64  # characters of keys whose common subsequence is counted: a bit each
+
+
+def _coded(texts: list[str]) -> np.ndarray:
+    """A row of character codes per text of at most LONGEST characters; other characters than ASCII fold onto ASCII, which can only raise the bounds below."""
+    codes = np.full((len(texts), LONGEST), 128, np.uint8)
+    for i, text in enumerate(texts):
+        codes[i, :len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % 128
+    return codes
+
+
+def common_subsequences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of coded texts, row by row, a bit per character and all rows at once."""
+    rows, one = np.arange(len(a)), np.uint64(1)
+    places = np.zeros((len(a), 129), np.uint64)
+    for i in range(int((a < 128).sum(axis=1).max(initial=0))):
+        places[rows, a[:, i]] |= one << np.uint64(i)
+    places[:, 128] = 0
+    open_ = np.full(len(a), ~np.uint64(0))
+    for j in range(int((b < 128).sum(axis=1).max(initial=0))):
+        hit = open_ & places[rows, b[:, j]]
+        open_ = (open_ + hit) | (open_ - hit)
+    return np.bitwise_count(~open_).astype(int)
+
+
+def ratios_at_least(pairs: list[tuple[str, str]], threshold=RATIO) -> list[bool]:
+    """The sequence ratio test of distinct pairs. Matching blocks form a common subsequence and hold no more of a letter than both texts do, so letter counts and then the
+    common subsequence rule most pairs out."""
+    texts = [t for t in dict.fromkeys(t for pair in pairs for t in pair) if len(t) <= LONGEST]
+    number, codes = {t: i for i, t in enumerate(texts)}, _coded(texts)
+    letters = np.zeros((len(texts), 129), np.int16)
+    np.add.at(letters, (np.arange(len(texts))[:, None], codes), 1)
+    letters[:, 128] = 0
+    size = letters.sum(axis=1)
+    short = [i for i, (a, b) in enumerate(pairs) if a in number and b in number]
+    able = np.ones(len(pairs), bool)
+    for low in range(0, len(short), 4096):
+        at = np.array(short[low:low + 4096])
+        x, y = (np.array([number[pairs[i][side]] for i in at]) for side in (0, 1))
+        least = threshold * (size[x] + size[y]) - 1e-9
+        able[at] = 2 * np.minimum(letters[x], letters[y]).sum(axis=1) >= least
+        left = able[at]
+        able[at[left]] = 2 * common_subsequences(codes[x[left]], codes[y[left]]) >= least[left]
+    return [bool(able[i]) and sequence_ratio_at_least(a, b, threshold) for i, (a, b) in enumerate(pairs)]
+
+
 @F.pandas_udf(T.BooleanType())
 def ratio_matches(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Sequence ratio test of (later item, seed); NULL input is not tested."""
-    return pd.Series([a is not None and b is not None and sequence_ratio_at_least(a, b) for a, b in zip(left, right)], dtype=bool)
+    """Sequence ratio test of (later item, seed), once per distinct pair; NULL input is not tested."""
+    pairs = list(zip(left, right))
+    distinct = [p for p in dict.fromkeys(pairs) if p[0] is not None and p[1] is not None]
+    found = dict(zip(distinct, ratios_at_least(distinct)))
+    return pd.Series([found.get(p, False) for p in pairs], dtype=bool)
 
 
 def same_story(pairs: DataFrame, left="left_key", right="right_key", into="same_story") -> DataFrame:
@@ -88,16 +162,53 @@ def same_story(pairs: DataFrame, left="left_key", right="right_key", into="same_
     return pairs.withColumn(into, near | tested)
 
 
-def matched_pairs(pairs: DataFrame, later="a", seed="b", ratio=True) -> DataFrame:
-    """Keep pairs of features that describe the same event. Native tests first, the ratio (unless switched off) only for what is left."""
-    a, b = F.col(later), F.col(seed)
-    native = (jaccard(a["tokens"], b["tokens"]) >= JACCARD) | anchors_agree(a, b)
+def near_tokens(a: Column, b: Column) -> Column:
+    return jaccard(a["tokens"], b["tokens"]) >= JACCARD
+
+
+def near_event(a: Column, b: Column) -> Column:
+    return near_tokens(a, b) | anchors_agree(a, b)
+
+
+def near_in_time(pairs: DataFrame, span) -> DataFrame:
+    if span is None:
+        return pairs
+    return pairs.filter(F.col("t_a").isNull() | F.col("t_b").isNull() | (F.abs(F.col("t_a") - F.col("t_b")) <= span))
+
+
+def paired(items: DataFrame, seeds: DataFrame, block, span) -> DataFrame:
+    """Items (time ``t_a``) and seeds (``t_b``) of a block that can lie within ``span`` of each other.
+
+    The key is the block and the span-wide slot of the seed's time, in which and beside which an item must lie. Rows without a time are near
+    everything and meet their block.
+    """
+    if span is None:
+        return items.join(seeds, block)
+    slot = lambda t: F.floor(F.col(t) / span)
+    timed = items.filter("t_a IS NOT NULL").withColumn("__slot", F.explode(F.array(slot("t_a") - 1, slot("t_a"), slot("t_a") + 1)))
+    slotted = timed.join(seeds.filter("t_b IS NOT NULL").withColumn("__slot", slot("t_b")), [*block, "__slot"]).drop("__slot")
+    free = items.join(seeds.filter("t_b IS NULL"), block).unionByName(items.filter("t_a IS NULL").join(seeds.filter("t_b IS NOT NULL"), block))
+    return near_in_time(slotted.unionByName(free), span)
+
+
+def matches(items: DataFrame, seeds: DataFrame, block, span=None, ratio=True, native=near_event, where=None) -> DataFrame:
+    """Pairs of items (features ``a``, time ``t_a``) and seeds (``b``, ``t_b``) of a block that describe the same event, without their features. A pair may come twice.
+
+    Words and anchors are looked up in an inverted index: items and seeds meet on their index keys, and a pair counts at the smallest key it shares. The
+    sequence ratio has no such key, since its matching blocks may be single characters: there, the keys of items and seeds of a block (and time slot) meet, lengths, then
+    letter counts and the common subsequence rule pairs out, and the ratio itself decides the rest; a distinct pair of keys is tested once a batch.
+    ``where`` is a further condition on pairs; it does not read features.
+    """
+    block, a, b = list(block), F.col("a"), F.col("b")
+    ok = F.lit(True) if where is None else where
+    keyed = paired(items.withColumn("__k", F.explode("a.keys")), seeds.withColumn("__k", F.explode("b.keys")), [*block, "__k"], span)
+    keyed = keyed.filter(ok & (F.col("__k") == F.array_min(F.array_intersect(a["keys"], b["keys"])))).filter(native(a, b)).drop("__k", "a", "b")
     if not ratio:
-        return pairs.filter(native)
-    possible = ratio_possible(a["key"], b["key"]) & letters_allow(a, b)
-    marked = pairs.withColumn("__native", native).filter(F.col("__native") | possible)
-    tested = ratio_matches(F.when(~F.col("__native"), a["key"]), F.when(~F.col("__native"), b["key"]))
-    return marked.withColumn("__hit", F.col("__native") | tested).filter("__hit").drop("__native", "__hit")
+        return keyed
+    slim = lambda df, f, name: df.withColumn(name, F.col(f"{f}.key")).drop(f)
+    left, right = F.col("__left"), F.col("__right")
+    tested = paired(slim(items, "a", "__left"), slim(seeds, "b", "__right"), block, span).filter(ok & ratio_possible(left, right))
+    return keyed.unionByName(tested.filter(ratio_matches(left, right)).drop("__left", "__right"))
 
 
 # ------------------------------------------------------------------ near copies in a corpus

@@ -165,10 +165,10 @@ def risk_historical_brief(spark, folder):
 
 
 # ------------------------------------------------------------------ countries
-VIEWS["g_window"] = "SELECT *, power(0.9::DOUBLE, pos - 1) AS w FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY published_at DESC, url DESC) AS pos FROM f_risk WHERE country <> 'Norway') WHERE pos <= 10"
+VIEWS["g_window"] = "SELECT *, power(0.9::DOUBLE, pos - 1) AS w FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY published_at DESC, url DESC) AS pos FROM f_risk) WHERE pos <= 10"
 VIEWS["g_signals"] = f"""
 SELECT id, event_type, title, severity, confidence, source, observed_at, arg_min(name, (-length(name), name)) AS mc FROM (
-  SELECT s.*, n.name FROM b_signals s JOIN {NAMES} n ON {mention_case_sql("(s.country || ' ' || s.location)", 'n.name')} WHERE s.country <> 'Finland') GROUP BY ALL"""
+  SELECT s.*, n.name FROM b_signals s JOIN {NAMES} n ON {mention_case_sql("(s.country || ' ' || s.location)", 'n.name')}) GROUP BY ALL"""
 VIEWS["g_support"] = f"""
 SELECT s.id, s.mc, s.severity, s.confidence, s.source, s.title, s.observed_at, CAST(count(*) FILTER (WHERE n >= 2) AS BIGINT) AS support_count, CAST(coalesce(max(n) FILTER (WHERE n >= 2), 0) AS BIGINT) AS best_overlap FROM (
   SELECT s.*, len(list_intersect(list_filter(list_distinct({sql_tokens("s.event_type || ' ' || s.title || ' '")}), lambda x: NOT list_contains({text_list(V.SIGNAL_STOPWORDS)}, x) AND NOT list_contains({sql_tokens('s.mc')}, x)), list_distinct({sql_tokens("a.headline")}))) AS n
@@ -181,12 +181,12 @@ FROM (SELECT *, CASE severity WHEN 'Critical' THEN 85 WHEN 'High' THEN 62 WHEN '
 
 def window(spark, folder):
     # The window orders by time and url, so it is cut before anything is scored.
-    newest = country.newest_events(B.articles(spark, folder).filter(F.col("country") != "Norway"))
+    newest = country.newest_events(B.articles(spark, folder))
     return country.scoring_window(risky(spark, folder, newest))
 
 
 def sensors(spark, folder):
-    s = B.signals(spark, folder).filter(F.col("country") != "Finland").withColumn("summary", F.lit(""))
+    s = B.signals(spark, folder).withColumn("summary", F.lit(""))
     return relational.locate_signals(s, B.COUNTRIES).filter("matched_country IS NOT NULL")
 
 

@@ -117,12 +117,18 @@ def present_hazards(spark, folder):
     return store.present_hazards(s, runs(spark, folder), limit=600).select("id", "severity", F.unix_micros("collected_at").alias("collected_us"))
 
 
-@check("newest_articles", """
-SELECT country, category, article_id FROM (SELECT *, row_number() OVER (PARTITION BY country, category ORDER BY published_at DESC, url DESC) AS rn FROM b_articles) WHERE rn <= 5""")
+@check("newest_articles", "SELECT country, category, article_id FROM b_articles")
 def newest_articles(spark, folder):
     return store.newest_articles(B.articles(spark, folder)).select("country", "category", "article_id")
 
 
+@check("newest_articles_of_group", """
+SELECT country, category, article_id FROM (SELECT *, row_number() OVER (PARTITION BY country, category ORDER BY published_at DESC, url DESC) AS rn FROM b_articles) WHERE rn <= 5""")
+def newest_articles_of_group(spark, folder):
+    """The five newest articles of every country and category (the number is the feature)."""
+    return store.newest_articles(B.articles(spark, folder), 5).select("country", "category", "article_id")
+
+
 @check("newest_articles_overall", """SELECT article_id, country FROM b_articles ORDER BY published_at DESC, url DESC LIMIT 750""")
 def newest_articles_overall(spark, folder):
     return (B.articles(spark, folder).select("article_id", "country", "published_at", "url")

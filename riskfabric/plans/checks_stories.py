@@ -12,6 +12,7 @@ from riskfabric.plans.checks_text import key_words_sql
 from riskfabric.session import cut
 
 AS_OF = B.AS_OF_SQL
+BLOCK, WEEK = ["country", "category"], 7 * 86_400_000_000
 
 
 def items(spark, folder):
@@ -25,29 +26,36 @@ def items(spark, folder):
 _NORM = f"list_sort(list_distinct(list_transform({key_words_sql('headline')}, lambda w: coalesce({sql_case('w', V.EVENT_EQUIVALENTS)}, w))))"
 _GENERAL = V.GENERIC_EVENT_WORDS + V.EVENT_ACTORS + V.EVENT_ACTIONS + V.EVENT_TARGETS
 VIEWS["m_features"] = f"SELECT article_id, country, category, published_at, url, {_NORM} AS t, contains(lower(headline), 'drone') OR contains(lower(headline), 'missile') AS armed FROM b_articles"
-VIEWS["m_pairs"] = f"""
+VIEWS["m_pairs"] = """
 SELECT a.article_id, s.article_id AS seed_id, a.t AS a_t, s.t AS st, a.armed AND s.armed AS armed, list_intersect(a.t, s.t) AS sh FROM m_features a
-JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY published_at DESC, url DESC) AS rn FROM m_features) WHERE rn <= 3) s ON s.country = a.country WHERE s.article_id <> a.article_id"""
+JOIN m_features s ON s.country = a.country AND s.category = a.category AND abs(epoch_us(a.published_at) - epoch_us(s.published_at)) <= 604800000000
+WHERE (a.published_at, a.url, a.article_id) < (s.published_at, s.url, s.article_id)"""
 
 
 @check("match_event_pairs", f"""
-SELECT article_id, seed_id, round(len(sh) / CAST(len(a_t) + len(st) - len(sh) AS DOUBLE), 9) AS jaccard,
+SELECT * FROM (SELECT article_id, seed_id, round(len(sh) / CAST(len(a_t) + len(st) - len(sh) AS DOUBLE), 9) AS jaccard,
   (len(sp) > 0 AND (list_has_any(sh, {text_list(V.THREAT_TERMS)}) OR (armed AND list_has_any(a_t, ['strike', 'attack']) AND list_has_any(st, ['strike', 'attack']))))
   OR (list_has_any(sh, {text_list(V.EVENT_ACTIONS)}) AND list_has_any(sh, {text_list(V.EVENT_TARGETS)}) AND (list_has_any(sh, {text_list(V.EVENT_ACTORS)}) OR list_has_any(sh, {text_list(V.EVENT_ROUTES)})) AND len(sh) >= 3) AS anchors
-FROM (SELECT *, list_filter(sh, lambda w: length(w) >= 5 AND NOT list_contains({text_list(_GENERAL)}, w) AND NOT regexp_full_match(w, '[0-9]+')) AS sp FROM m_pairs)""")
+FROM (SELECT *, list_filter(sh, lambda w: length(w) >= 5 AND NOT list_contains({text_list(_GENERAL)}, w) AND NOT regexp_full_match(w, '[0-9]+')) AS sp FROM m_pairs)) WHERE jaccard >= 0.48 OR anchors""")
 def match_event_pairs(spark, folder):
-    a = match.with_event_features(B.articles(spark, folder).select("article_id", "country", "published_at", "url", "headline"))
-    seeds = store.top_per_key(a, ["country"], [F.desc("published_at"), F.desc("url")], 3).select("country", F.col("article_id").alias("seed_id"), F.col("f").alias("b"))
-    pairs = a.select("article_id", "country", F.col("f").alias("a")).join(seeds, "country").filter(F.col("article_id") != F.col("seed_id"))
-    return pairs.select("article_id", "seed_id", F.round(match.jaccard(F.col("a.tokens"), F.col("b.tokens")), 9).alias("jaccard"), match.anchors_agree(F.col("a"), F.col("b")).alias("anchors"))
-
+    """Articles of a country and category with every newer one of the same event (by words or anchors) within a week."""
+    rows = cut(match.with_event_features(B.articles(spark, folder).select("article_id", *BLOCK, "published_at", "url", "headline")))
+    when, order = F.unix_micros("published_at"), F.struct("published_at", "url", "article_id")
+    items = rows.select(*BLOCK, "article_id", F.col("f").alias("a"), when.alias("t_a"), order.alias("o_a"))
+    seeds = rows.select(*BLOCK, F.col("article_id").alias("seed_id"), F.col("f").alias("b"), when.alias("t_b"), order.alias("o_b"))
+    pairs = match.matches(items, seeds, BLOCK, WEEK, ratio=False, where=F.col("o_a") < F.col("o_b")).select("article_id", "seed_id")
+    both = pairs.join(rows.select("article_id", F.col("f").alias("a")), "article_id").join(rows.select(F.col("article_id").alias("seed_id"), F.col("f").alias("b")), "seed_id")
+    return both.select("article_id", "seed_id", F.round(match.jaccard(F.col("a.tokens"), F.col("b.tokens")), 9).alias("jaccard"), match.anchors_agree(F.col("a"), F.col("b")).alias("anchors"))
 
 
 @check("match_same_story")
 def match_same_story(spark, folder):
-    a = B.articles(spark, folder).select("article_id", "country", "published_at", "url", text.story_key(F.col("headline")).alias("left_key"))
-    seeds = store.top_per_key(a, ["country"], [F.desc("published_at"), F.desc("url")], 3).select("country", F.col("article_id").alias("seed_id"), F.col("left_key").alias("right_key"))
-    return match.same_story(a.join(seeds, "country")).select("article_id", "seed_id", "same_story")
+    """Articles of a country and category with every newer one of the same story (by its key) within a week."""
+    rows = cut(B.articles(spark, folder).select("article_id", *BLOCK, "published_at", "url", match.key_features(text.story_key(F.col("headline"))).alias("f")))
+    when, order = F.unix_micros("published_at"), F.struct("published_at", "url", "article_id")
+    items = rows.select(*BLOCK, "article_id", F.col("f").alias("a"), when.alias("t_a"), order.alias("o_a"))
+    seeds = rows.select(*BLOCK, F.col("article_id").alias("seed_id"), F.col("f").alias("b"), when.alias("t_b"), order.alias("o_b"))
+    return match.matches(items, seeds, BLOCK, WEEK, native=match.near_tokens, where=F.col("o_a") < F.col("o_b")).select("article_id", "seed_id").distinct()
 
 
 @check("dup_document_leaders", f"""
@@ -123,14 +131,14 @@ def cluster_story_rollup(spark, folder):
 
 @check("cluster_merge_sources_words", f"""
 WITH o AS (SELECT *, list_filter(t, lambda w: length(w) >= 5 AND NOT list_contains({text_list(_GENERAL)}, w) AND NOT regexp_full_match(w, '[0-9]+')) AS sp FROM m_features),
-c AS (SELECT o.*, b.sources, row_number() OVER (PARTITION BY o.country, o.category ORDER BY o.published_at DESC, o.url DESC) AS rn FROM o JOIN b_articles b USING (article_id)),
+c AS (SELECT o.*, b.sources FROM o JOIN b_articles b USING (article_id)),
 x AS (SELECT c.article_id, p.publisher || '.test' AS family, list_intersect(c.t, a.t) AS sh, c.t AS ta, a.t AS tb, c.armed AND a.armed AS armed, len(list_intersect(c.sp, a.sp)) > 0 AS near
   FROM c JOIN o a ON a.country = c.country AND abs(epoch_us(a.published_at) - epoch_us(c.published_at)) <= 604800000000 JOIN b_articles p ON p.article_id = a.article_id
-  WHERE c.rn <= 2 AND NOT coalesce(list_contains(list_transform(c.sources, lambda s: s.source_family), p.publisher || '.test'), false)),
+  WHERE NOT coalesce(list_contains(list_transform(c.sources, lambda s: s.source_family), p.publisher || '.test'), false)),
 h AS (SELECT DISTINCT article_id, family FROM x WHERE len(sh) / greatest(1, len(ta) + len(tb) - len(sh))::DOUBLE >= 0.48
   OR (near AND (list_has_any(sh, {text_list(V.THREAT_TERMS)}) OR (armed AND list_has_any(ta, ['strike', 'attack']) AND list_has_any(tb, ['strike', 'attack']))))
   OR (list_has_any(sh, {text_list(V.EVENT_ACTIONS)}) AND list_has_any(sh, {text_list(V.EVENT_TARGETS)}) AND (list_has_any(sh, {text_list(V.EVENT_ACTORS)}) OR list_has_any(sh, {text_list(V.EVENT_ROUTES)})) AND len(sh) >= 3))
-SELECT c.article_id, CAST(len(c.sources) + count(h.family) AS BIGINT) AS sources FROM c LEFT JOIN h USING (article_id) WHERE c.rn <= 2 GROUP BY c.article_id, c.sources""")
+SELECT c.article_id, CAST(len(c.sources) + count(h.family) AS BIGINT) AS sources FROM c LEFT JOIN h USING (article_id) GROUP BY c.article_id, c.sources""")
 def cluster_merge_sources_words(spark, folder):
     """Merged sources by the rule without its sequence ratio."""
     return merged_sources(spark, folder, ratio=False).select("article_id", F.size("sources").cast("bigint").alias("sources"))
@@ -143,7 +151,7 @@ def cluster_merge_sources(spark, folder):
 
 def merged_sources(spark, folder, ratio=True):
     a = B.articles(spark, folder)
-    chosen = store.newest_articles(a.drop("summary"), 2)
+    chosen = a.drop("summary")
     additions = a.select("country", "headline", "published_at", "url", "publisher", "coverage_scope", F.lit("GDELT-indexed news").alias("source_type"),
                          F.concat("publisher", F.lit(".test")).alias("source_family"), F.lit("GDELT").alias("indexed_by"))
     return cluster.merge_sources(chosen, additions, ratio=ratio)
@@ -152,9 +160,9 @@ def merged_sources(spark, folder, ratio=True):
 @check("cluster_event_wording")
 def cluster_event_wording(spark, folder):
     a = B.articles(spark, folder).select(F.col("article_id").alias("item_id"), "country", "category", "headline", "publisher", "url", "published_at", "coverage_scope", "sources", "summary")
-    top = store.top_per_key(a, ["country", "category"], [F.desc("published_at"), F.desc("url")], 6)
-    heads = top.groupBy("country", "category").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "headline"))), lambda h: h["headline"]).alias("headlines"))
-    return cluster.synthesize(heads).select("country", "category", "event_headline", "event_summary")
+    seeds = cluster.leader_clusters(a, BLOCK)
+    heads = a.join(seeds, "item_id").groupBy("seed").agg(F.first("country").alias("country"), F.transform(F.array_sort(F.collect_list(F.struct("item_id", "headline"))), lambda h: h["headline"]).alias("headlines"))
+    return cluster.synthesize(heads).select("seed", "country", "event_headline", "event_summary")
 
 
 def stored(spark, folder):
@@ -258,8 +266,8 @@ def rank_hashed_features(spark, folder):
 
 _DOC = "trim(headline || ' ' || category || ' ' || country)"
 VIEWS["j_docs"] = f"""
-SELECT 'p' || doc_number AS doc_id, pp.profile, NULL::BIGINT AS feedback, NULL::DOUBLE AS weight, doc FROM (SELECT article_id AS doc_number, country, {_DOC} AS doc, row_number() OVER (PARTITION BY country ORDER BY published_at DESC, url DESC) AS rn FROM b_articles) c
-  JOIN (SELECT DISTINCT profile, country FROM b_feedback) pp ON pp.country = c.country WHERE rn <= 3
+SELECT 'p' || doc_number AS doc_id, pp.profile, NULL::BIGINT AS feedback, NULL::DOUBLE AS weight, doc FROM (SELECT article_id AS doc_number, country, {_DOC} AS doc FROM b_articles) c
+  JOIN (SELECT DISTINCT profile, country FROM b_feedback) pp ON pp.country = c.country
 UNION ALL SELECT 'f' || rating_id, profile, feedback, exp(-ln(2.0::DOUBLE) * greatest(0.0, (epoch_us({AS_OF}) - epoch_us(updated_at)) / 1000000.0 / 86400) / 90), {_DOC} FROM b_feedback"""
 
 
@@ -267,7 +275,7 @@ def ranking_documents(spark, folder):
     doc = lambda: F.concat_ws(" ", "headline", "category", "country")
     f = B.feedback(spark, folder)
     pairs = f.select("profile", "country").distinct()
-    c = store.top_per_key(B.articles(spark, folder).select("article_id", "country", "published_at", "url", "headline", "category"), ["country"], [F.desc("published_at"), F.desc("url")], 3)
+    c = B.articles(spark, folder).select("article_id", "country", "headline", "category")
     candidates = c.join(pairs, "country").select("profile", F.concat(F.lit("p"), F.col("article_id").cast("string")).alias("doc_id"), doc().alias("text"))
     rated = f.select("profile", F.concat(F.lit("f"), F.col("rating_id").cast("string")).alias("doc_id"), doc().alias("text"), "feedback", ranking.feedback_weight(F.col("updated_at"), B.as_of()).alias("weight"))
     return candidates, rated

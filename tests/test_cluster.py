@@ -7,15 +7,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskfabric import vocabulary as V
-from riskfabric.operators import cluster, match
+from riskfabric.operators import cluster, match, tracker
 from riskfabric.plans import bindings as B
 
 
 def event_match(a, b):
     """Reference rule on feature rows, written out for single pairs."""
+    return match.sequence_ratio_at_least(a["key"], b["key"]) or event_match_by_words(a, b)
+
+
+def event_match_by_words(a, b):
     ta, tb = set(a["tokens"]), set(b["tokens"])
     shared, union = ta & tb, ta | tb
-    if (len(shared) / len(union) if union else 0) >= 0.48 or match.sequence_ratio_at_least(a["key"], b["key"]):
+    if (len(shared) / len(union) if union else 0) >= 0.48:
         return True
     general = set(V.GENERIC_EVENT_WORDS + V.EVENT_ACTORS + V.EVENT_ACTIONS + V.EVENT_TARGETS)
     specific = {w for w in shared - general if len(w) >= 5 and not w.isdigit()}
@@ -62,6 +66,45 @@ def test_leader_clusters_equal_the_sequential_rule(spark):
         assert len(set(want.values())) > 4
 
 
+def reworded(spark, n=120):
+    rnd = random.Random(8)
+    words = ["missile", "attack", "closes", "odesa", "cargo", "port", "ports", "strike", "drone", "refinery", "delays", "hormuz", "suez", "canal", "navy", "army", "tanker", "talks"]
+    rows = [(k, rnd.choice("XY"), " ".join(rnd.sample(words, rnd.randrange(1, 7))) if k % 11 else None, None if k % 13 == 5 else datetime(2024, 1, 1) + timedelta(hours=rnd.randrange(600))) for k in range(n)]
+    return spark.createDataFrame(rows, "id long, country string, headline string, published_at timestamp")
+
+
+@pytest.mark.parametrize("span", [None, 7 * 86_400_000_000])
+@pytest.mark.parametrize("ratio", [True, False])
+def test_indexed_matches_equal_all_pairs(spark, span, ratio):
+    rows = match.with_event_features(reworded(spark)).withColumn("t", F.unix_micros("published_at"))
+    items = rows.select("country", F.col("id").alias("a_id"), F.col("f").alias("a"), F.col("t").alias("t_a"))
+    seeds = rows.select("country", F.col("id").alias("b_id"), F.col("f").alias("b"), F.col("t").alias("t_b"))
+    got = {(r.a_id, r.b_id) for r in match.matches(items, seeds, ["country"], span, ratio, where=F.col("a_id") < F.col("b_id")).collect()}
+    want, all_rows = set(), rows.collect()
+    for x in all_rows:
+        for y in all_rows:
+            near = span is None or x["t"] is None or y["t"] is None or abs(x["t"] - y["t"]) <= span
+            if x["id"] < y["id"] and x["country"] == y["country"] and near and (event_match(x["f"], y["f"]) if ratio else event_match_by_words(x["f"], y["f"])):
+                want.add((x["id"], y["id"]))
+    assert got == want and len(want) > 100
+
+
+def test_story_keys_that_match_equal_all_pairs(spark):
+    rows = reworded(spark).select("id", "country", match.key_features(F.coalesce("headline", F.lit(""))).alias("f"))
+    items = rows.select("country", F.col("id").alias("a_id"), F.col("f").alias("a"), F.lit(None).cast("long").alias("t_a"))
+    seeds = rows.select("country", F.col("id").alias("b_id"), F.col("f").alias("b"), F.lit(None).cast("long").alias("t_b"))
+    got = {(r.a_id, r.b_id) for r in match.matches(items, seeds, ["country"], native=match.near_tokens).collect()}
+    want = {(x["id"], y["id"]) for x in rows.collect() for y in rows.collect() if x["country"] == y["country"] and tracker.key_matches(x["f"]["key"], y["f"]["key"])}
+    assert got == want and len(want) > 150
+
+
+def test_ratios_of_many_pairs_equal_single_ones():
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdef é中\u0180") for _ in range(rnd.randrange(0, 90))) for _ in range(150)] + ["port strike odesa", "odesa port strikes", "Ā" * 20]
+    pairs = [(rnd.choice(texts), rnd.choice(texts)) for _ in range(9000)] + [(t, t[3:]) for t in texts]
+    assert match.ratios_at_least(pairs) == [match.sequence_ratio_at_least(a, b) for a, b in pairs]
+
+
 def brute_leaders(rows):
     want, leaders = {}, []
     for doc, tokens in rows:
