@@ -1,6 +1,6 @@
 """Story patterns across refresh windows."""
 
-from dataclasses import asdict, dataclass, fields, replace
+from dataclasses import asdict, dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskfabric.functions.text import entity_context, story_key
-from riskfabric.operators import volume
+from riskfabric.operators import match, volume
 from riskfabric.operators.match import JACCARD, LETTERS, RATIO, sequence_ratio_at_least
-from riskfabric.session import stage
+from riskfabric.session import cut, stage
 
 SOURCE = "struct<publisher:string,url:string>"
 PATTERN = (f"country string, category string, collected_at timestamp, pattern_id string, canonical_key string, story_key string, headline string, "
@@ -109,20 +109,109 @@ def window_stories(stories: DataFrame, per_window: int = None) -> DataFrame:
     return kept.filter(F.col("story_key") != "").select("country", "category", "collected_at", "place", "headline", "story_key", slim.alias("sources"))
 
 
-def track(stories: DataFrame, per_window: int = None, stored: DataFrame = None) -> DataFrame:
-    """Pattern state after every touch. A series (country, category) is read in time order and goes on from its ``stored`` patterns."""
-    rows = window_stories(stories, per_window).groupBy("country", "category")
-    if stored is None:
-        return rows.applyInPandas(lambda pdf: series_rows(pdf, [])[0], PATTERN)
-    names = [f.name for f in fields(Pattern)]
+SERIES = ["country", "category"]
+KEYS_TOGETHER = 2_000  # distinct story keys of a life that meet others in one part of the comparison
+
+
+def lives(moments: DataFrame) -> DataFrame:
+    """``life`` of every window (country, category, collected_at): a new one begins after more than 30 days without a window, since no pattern outlives such a gap."""
+    order = W.partitionBy(*SERIES).orderBy("collected_at")
+    gap = F.unix_micros("collected_at") - F.lag(F.unix_micros("collected_at")).over(order)
+    marked = moments.select(*SERIES, "collected_at").distinct().withColumn("__new", (F.coalesce(gap, F.lit(0)) > LIFE // pd.Timedelta(microseconds=1)).cast("int"))
+    return marked.withColumn("life", F.sum("__new").over(order)).drop("__new")
+
+
+def key_matches_of(rows: DataFrame, openers: DataFrame) -> DataFrame:
+    """Per story key of a life the other keys that match it and were there before its last window: (series, life, story_key, near).
 
-    def go_on(new, old):
-        if not len(new):
-            return pd.DataFrame(columns=[field.split()[0] for field in PATTERN.split(", ")])
-        known = [Pattern.load({**p, "sources": [(s["publisher"], s["url"]) for s in p["sources"]]}) for p in old.sort_values("last_seen", ascending=False)[names].to_dict("records")]
-        return series_rows(new, known)[0]
+    A life's keys are compared in parts, so that a series with many of them is spread over many tasks.
+    """
+    block = [*SERIES, "life"]
+    micros = F.unix_micros("collected_at")
+    keys = cut(rows.groupBy(*block, "story_key").agg(F.max(micros).alias("last_a")))
+    first = openers.groupBy(*block, "opener").agg(F.min("first_b").alias("first_b"))
+    sizes = keys.groupBy(*block).agg(F.ceil(F.count("*") / KEYS_TOGETHER).cast("int").alias("__parts"))
+    features = lambda key, t: [match.key_features(F.col(key)).alias("b" if t == "t_b" else "a"), F.lit(None).cast("long").alias(t)]
+    items = keys.join(sizes, block).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).select(*block, "__part", "story_key", "last_a", *features("story_key", "t_a"))
+    seeds = first.join(sizes, block).withColumn("__part", F.pmod(F.xxhash64("opener"), F.col("__parts")).cast("int")).select(*block, "__part", "opener", "first_b", *features("opener", "t_b"))
+    earlier = (F.col("first_b") <= F.col("last_a")) & (F.col("opener") != F.col("story_key"))
+    pairs = match.matches(items, seeds, [*block, "__part"], native=match.near_tokens, where=earlier)
+    return pairs.groupBy(*block, "story_key").agg(F.collect_set("opener").alias("near"))
+
+
+class Series:
+    """The living patterns of one series while its windows pass in time order. A story belongs to the first living pattern that it matches; see ``series_rows``."""
+
+    def __init__(self, name: tuple, known: list[Pattern]):
+        self.name, self.known, self.moment, self.living, self.place, self.after = name, known, None, {}, {}, {}
+
+    def close(self) -> None:
+        if self.moment is not None:
+            self.known = sorted((self.after.get(key, p) for key, p in self.living.items()), key=lambda p: p.last_seen, reverse=True)
+
+    def touch(self, moment: pd.Timestamp, key: str, near, sources: tuple) -> Pattern:
+        if moment != self.moment:
+            self.close()
+            self.moment, self.after = moment, {}
+            self.living = {p.canonical_key: p for p in self.known if p.last_seen >= moment - LIFE}
+            self.place = {name: i for i, name in enumerate(self.living)}
+        found = [name for name in (key, *near) if name in self.place]
+        if found:
+            name = min(found, key=self.place.get)
+            now = self.living[name].seen(moment, sources)
+        else:
+            name = key
+            now = Pattern(pattern_id(*self.name, key), key, moment, moment, sources=sources)
+            self.place[name], self.living[name] = len(self.place), now
+        self.after[name] = now
+        return now
+
+
+def _follow(batches):
+    """Touches of rows that are sorted by series, life, time and place; stored patterns of a life come before its stories."""
+    series, life = None, None
+    for pdf in batches:
+        out = []
+        for row in pdf.to_dict("records"):
+            sources = tuple((s["publisher"], s["url"]) for s in row["sources"])
+            if life != (row["country"], row["category"], row["life"]):
+                life, series = (row["country"], row["category"], row["life"]), Series((row["country"], row["category"]), [])
+            if row["stored"]:
+                series.known.append(Pattern(row["pattern_id"], row["story_key"], row["first_seen"], row["collected_at"], int(row["active_windows"]), int(row["observation_count"]), sources))
+                continue
+            now = series.touch(row["collected_at"], row["story_key"], row["near"], sources)
+            out.append({**asdict(now), "sources": [dict(zip(("publisher", "url"), s)) for s in now.sources], "country": row["country"], "category": row["category"],
+                        "collected_at": row["collected_at"], "story_key": row["story_key"], "headline": row["headline"], "place": row["place"]})
+        yield pd.DataFrame(out, columns=[field.split()[0] for field in PATTERN.split(", ")])
+
+
+def track(stories: DataFrame, per_window: int = None, stored: DataFrame = None) -> DataFrame:
+    """Pattern state after every touch; a series (country, category) goes on from its ``stored`` patterns. Equal to ``series_rows`` on every series.
 
-    return rows.cogroup(stored.select("country", "category", *names).groupBy("country", "category")).applyInPandas(go_on, PATTERN)
+    Which keys match is found for all stories at once, by index and in parts. The ordered step gets short lists of matching keys: it reads a life of a series as a stream and holds
+    its living patterns only. Lives of a series are independent and run in different tasks.
+    """
+    block = [*SERIES, "life"]
+    rows = cut(window_stories(stories, per_window))
+    if stored is None:
+        stored = rows.sparkSession.createDataFrame([], "country string, category string, pattern_id string, canonical_key string, first_seen timestamp, last_seen timestamp, "
+                                                   f"active_windows bigint, observation_count bigint, sources array<{SOURCE}>")
+    old = stored.withColumnRenamed("last_seen", "collected_at").withColumnRenamed("canonical_key", "story_key")
+    # A stored pattern that is older than every life of its series is in a life of its own, without stories.
+    when = cut(lives(rows.select(*SERIES, "collected_at").unionByName(old.select(*SERIES, "collected_at"))))
+    new, old = rows.join(when, [*SERIES, "collected_at"]), old.join(when, [*SERIES, "collected_at"])
+    openers = new.select(*block, F.col("story_key").alias("opener"), F.unix_micros("collected_at").alias("first_b")).unionByName(
+        old.select(*block, F.col("story_key").alias("opener"), F.unix_micros("collected_at").alias("first_b")))
+    near = key_matches_of(new, openers)
+    none = F.lit(None)
+    new = new.join(near, [*block, "story_key"], "left").select(
+        *block, "collected_at", "place", "headline", "story_key", "sources", F.coalesce("near", F.array().cast("array<string>")).alias("near"), F.lit(False).alias("stored"),
+        none.cast("string").alias("pattern_id"), none.cast("timestamp").alias("first_seen"), none.cast("bigint").alias("active_windows"), none.cast("bigint").alias("observation_count"))
+    old = old.select(*block, "collected_at", F.lit(-1).cast("bigint").alias("place"), none.cast("string").alias("headline"), "story_key", F.col("sources").cast(f"array<{SOURCE}>").alias("sources"),
+                     F.array().cast("array<string>").alias("near"), F.lit(True).alias("stored"), "pattern_id", "first_seen", F.col("active_windows").cast("bigint"), F.col("observation_count").cast("bigint"))
+    late_first = F.when(F.col("stored"), -F.unix_micros("collected_at")).otherwise(F.unix_micros("collected_at"))
+    ordered = new.unionByName(old).repartition(*block).sortWithinPartitions(*block, F.desc("stored"), late_first, "place", "pattern_id")
+    return ordered.mapInPandas(_follow, PATTERN)
 
 
 def score_patterns(touches: DataFrame, windows: DataFrame, as_of: Column = None) -> DataFrame:
