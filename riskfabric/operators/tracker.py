@@ -196,7 +196,7 @@ def track(stories: DataFrame, per_window: int = None, stored: DataFrame = None)
     if stored is None:
         stored = rows.sparkSession.createDataFrame([], "country string, category string, pattern_id string, canonical_key string, first_seen timestamp, last_seen timestamp, "
                                                    f"active_windows bigint, observation_count bigint, sources array<{SOURCE}>")
-    old = stored.withColumnRenamed("last_seen", "collected_at").withColumnRenamed("canonical_key", "story_key")
+    old = stored.select(*SERIES, "pattern_id", F.col("canonical_key").alias("story_key"), "first_seen", F.col("last_seen").alias("collected_at"), "active_windows", "observation_count", "sources")
     # A stored pattern that is older than every life of its series is in a life of its own, without stories.
     when = cut(lives(rows.select(*SERIES, "collected_at").unionByName(old.select(*SERIES, "collected_at"))))
     new, old = rows.join(when, [*SERIES, "collected_at"]), old.join(when, [*SERIES, "collected_at"])

@@ -154,13 +154,13 @@ def eval_threshold_sweep(spark, folder):
     return rounded(evaluate.threshold_sweep(eval_rows(spark, folder), [i / 100 for i in range(61)], expected="quality_label"))
 
 
-@check("eval_csv_round_trip", "SELECT source AS country, text, CASE WHEN n_chars % 2 = 0 THEN 'Positive' ELSE 'Negative' END AS label FROM documents WHERE trim(text) <> '' AND text = trim(text)")
+@check("eval_csv_round_trip", "SELECT source AS country, text, CASE WHEN n_chars % 2 = 0 THEN 'Positive' ELSE 'Negative' END AS label FROM documents")
 def eval_csv_round_trip(spark, folder):
     """A benchmark written as CSV files and scanned again."""
     from riskfabric.session import checkpoint_dir
     from riskfabric.sources import landed
     path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
-    d = table(spark, folder, "documents").filter((F.trim("text") != "") & (F.col("text") == F.trim("text")))
+    d = table(spark, folder, "documents")
     landed.write_results(d.select(F.col("source").alias("country"), "text", F.when(F.col("n_chars") % 2 == 0, "Positive").otherwise("Negative").alias("label")), path)
     return landed.benchmark_rows(spark, path)
 

@@ -278,11 +278,14 @@ def merge_frames(rows: DataFrame) -> DataFrame:
     return df.withColumns({n: taken(n) for n in [*names, "draught_m"]}).drop("__static", "__final", "__newest", "kind")
 
 
+KEPT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # outer blanks belong to a text
+
+
 def benchmark_rows(spark: SparkSession, path: str, schema="country string, text string, label string") -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
+    return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"', emptyValue="", **KEPT)
 
 
 def write_results(rows: DataFrame, path: str, kind="csv") -> None:
     """Evaluation results as CSV or JSON files."""
     writer = rows.write.mode("overwrite")
-    writer.option("header", True).option("escape", '"').csv(path) if kind == "csv" else writer.json(path)
+    writer.options(header=True, escape='"', emptyValue='""', **KEPT).csv(path) if kind == "csv" else writer.json(path)
