@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,56 @@ def test_main_text_of_pages():
     assert html.main_text("<article><p title='a>b'>kept</p>" + "<div>" * 5000 + "deep</article>").startswith("kept")
 
 
+def test_names_and_links_inside_the_article_are_no_reason_to_drop_text():
+    page = ("<article><h2 id='search-strategy'>Search</h2><h2 id='related-work'>Related</h2><section id='notice-of-meeting'><p>Notice</p></section><div class='post-content legal-news'>Legal</div>"
+            "<p data-note='the hidden port'>Port</p><ul><li><a href=/a>one</a><li><a href=/b>two</a></ul><!--><p>after</p><!-- x --><p>end <em class=notice>here</em></p>"
+            "<div class=ad>no</div><p hidden>no</p><div style='display: none'>no</div><section id=comments><p>Not this, dear. No.</p></section></article>")
+    assert html.main_text(page) == "Search\nRelated\nNotice\nLegal\nPort\none\ntwo\nafter\nend here"
+    wrapped = "<form id=aspnet><div class=sidebar-left><main><p>Text, in a wrapper.</p><label>Mail</label></main></div></form>"
+    assert html.main_text(wrapped) == "Text, in a wrapper."
+    assert html.main_text("<div class=ad>Buy this. Now, really.</div><nav><a href=/>Home</a></nav>") == ""
+    assert html.main_text("<p>kept</p><p title='never closed>rest") == "kept\nrest" and html.main_text("<p>kept</p><p title='x") == "kept"
+
+
+def test_broken_and_deep_markup_takes_time_in_proportion():
+    for part in ("<div>some text, here.", '<a "', "<!--", "<!-- x -->", "</script", "<script>", "<p><td><form>", "<b><hr>", "<a b='", "<ul><li>x", "<tr>", "<p>x</div>"):
+        started = time.time()
+        html.main_text(part * 20000)
+        assert time.time() - started < 8, part
+    assert html.main_text("<article>" + "<div>a, b." * 3000).count("a, b.") == 3000
+
+
+def _made_page(rnd, article: bool) -> tuple[str, str]:
+    """A page put together from parts that are known to be content or not, and its content."""
+    sentence = lambda: " ".join("".join(rnd.choice(list("abcdeou"), rnd.integers(2, 9))) for _ in range(rnd.integers(9, 40))) + rnd.choice([".", "!", ", so."])
+    short = lambda: "".join(rnd.choice(list("abcdeou"), rnd.integers(3, 9)))
+    links = lambda: "<ul>" + "".join(f"<li><a href=/{short()}>{short()}</a></li>" for _ in range(rnd.integers(2, 7))) + "</ul>"
+    around = [lambda: f"<nav>{links()}</nav>", lambda: f"<div class='{rnd.choice(['ad', 'ad-slot', 'cookie-banner', 'top-bar share', 'newsletter box'])}'>{sentence()}</div>",
+              lambda: f"<aside><p>{sentence()}</p></aside>", lambda: f"<footer>&copy; {sentence()}</footer>", lambda: f"<header><a href=/>{short()}</a></header>",
+              lambda: f"<script>var a = '<p>{sentence()}</p>';</script>", lambda: f"<div id='{rnd.choice(['sidebar', 'main-menu', 'breadcrumbs'])}'>{links()}</div>",
+              lambda: f"<form><p>{sentence()}</p><input name=q></form>", lambda: f"<section id=comments><div class=comment><p>{sentence()}</p></div></section>"]
+    parts, texts = [], []
+    for _ in range(rnd.integers(4, 15)):
+        if rnd.random() < 0.25:
+            parts.append(around[rnd.integers(1, 3)]())
+            continue
+        text = " ".join(sentence() for _ in range(rnd.integers(1, 4)))
+        texts.append(text)
+        first, _, rest = text.partition(" ")
+        parts.append(str(rnd.choice([f"<p>{text}</p>", f"<p>\n {first}&#32;<b>{rest}</b>", f"<p class=lead><a href=/x>{first}</a> {rest}</p>", f"<p id=note>{first}<br>{rest}</p>"])))
+    head = short()
+    tag = ("<article>", "</article>") if article else ("<div class='post-body'>", "</div>")
+    before, after = ("".join(around[i]() for i in rnd.integers(0, len(around), 3)) for _ in range(2))
+    return f"<html><head><title>{head}</title></head><body>{before}{tag[0]}<h1>{head}</h1>{''.join(parts)}{tag[1]}{after}</body></html>", "\n".join([head, *texts])
+
+
+def test_content_of_made_pages_with_and_without_article():
+    rnd = np.random.default_rng(8)
+    for i in range(400):
+        page, content = _made_page(rnd, i % 2 == 0)
+        assert html.main_text(page) == content, page
+
+
 def test_op8_takes_the_article(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
     rows = queries.op8_page_text(spark, FOLDER).collect()
