@@ -2,13 +2,14 @@
 
 A template and a stretch of text are aligned at the words that each of them holds exactly once: the longest increasing run of these anchors is kept, and the gaps between
 them are aligned the same way, where other words have become unique; a gap without any falls back to the longest common subsequence. The share of the template's words
-that are aligned is its coverage.
+that are aligned is its coverage. Where to align is told by the length of the longest common subsequence, kept as the bits of one number per template.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,24 +38,46 @@ def _longest_run(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return run[::-1]
 
 
+def _bits(a: Sequence[int]) -> dict[int, int]:
+    """The places of each word as bits."""
+    bits: dict[int, int] = {}
+    for i, word in enumerate(a):
+        bits[word] = bits.get(word, 0) | 1 << i
+    return bits
+
+
+def _steps(bits: dict[int, int], size: int, b: Iterable[int]) -> Iterator[int]:
+    """For each beginning of b a number whose bit i is 0 where word i of a makes the longest common subsequence of a's beginning longer."""
+    full = (1 << size) - 1
+    now = full
+    for word in b:
+        both = now & bits.get(word, 0)
+        if both:
+            now = (now + both | now - both) & full
+        yield now
+
+
 def _common(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """Longest common subsequence as pairs of places."""
-    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        row, below, word = size[i], size[i + 1], a[i]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if word == b[j] else max(below[j], row[j + 1])
-    i = j = 0
-    found = []
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
+    steps = list(_steps(_bits(a), len(a), b))
+    i, j, found = len(a), len(b), []
+    while i and j:
+        if steps[j - 1] >> i - 1 & 1:
+            i -= 1
+            continue
+        j -= 1
+        if not j or steps[j - 1] >> i - 1 & 1:
+            i -= 1
             found.append((i, j))
-            i, j = i + 1, j + 1
-        elif size[i + 1][j] >= size[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return found
+    return found[::-1]
+
+
+def _first_end(bits: dict[int, int], size: int, b: Iterable[int], need: int) -> int:
+    """How many words of b it takes to have `need` in common, 0 if all of them do not."""
+    for j, now in enumerate(_steps(bits, size, b), 1):
+        if size - now.bit_count() >= need:
+            return j
+    return 0
 
 
 def align(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
@@ -94,54 +117,70 @@ def _hashes(text: str) -> list[int]:
     return []
 
 
-def best_match(template: list[int], text: np.ndarray, coverage: float = COVERAGE, density: float = DENSITY) -> tuple[float, int, int, int] | None:
-    """(coverage, first word, word after the last, aligned words) of the best place of a template in a text, or None.
+def _densest(places: list[tuple[int, int]], need: int, density: float) -> tuple[int, int, int] | None:
+    """(first word, word after the last, aligned words) of the longest dense enough part of an alignment with at least `need` words, the earliest of equal ones."""
+    for count in range(len(places), need - 1, -1):
+        for i in range(len(places) - count + 1):
+            first, last = places[i][1], places[i + count - 1][1]
+            if count >= density * (last - first + 1):
+                return first, last + 1, count
+    return None
+
 
-    Places are tried around every occurrence of those template words that are rarest in the text, as many kinds as a match may miss and one, so that none can
-    be overlooked; a place reaches a template's length to both sides, stretched by what the density allows.
+def matches(template: list[int], text: np.ndarray, coverage: float = COVERAGE, density: float = DENSITY) -> list[tuple[float, int, int, int]]:
+    """(coverage, first word, word after the last, aligned words) of all places of a template in a text; places do not overlap and ascend.
+
+    A match holds some of those template words that are rarest in the text, as many kinds as a match may miss and one, and is at most the template's length stretched by
+    what the density allows. From word to word the tightest stretch is taken that has enough words in common with the template, and aligned with its surroundings; behind a
+    place that is dense enough the search goes on.
     """
+    size, need = len(template), max(int(np.ceil(coverage * len(template) - 1e-9)), 1)
+    reach = int(size / density) + 1
     kinds, counts = np.unique(text[np.isin(text, np.array(template, np.uint64))], return_counts=True)
-    reach = int(len(template) / density) + 1
-    amounts: dict[int, int] = {}
-    for w in template:
-        amounts[w] = amounts.get(w, 0) + 1
     have = dict(zip(kinds.tolist(), counts.tolist()))
-    rarest = sorted(amounts, key=lambda w: (have.get(w, 0), w))
+    amounts = Counter(template)
     missed, tried = 0, []
-    for w in rarest:
+    for w in sorted(amounts, key=lambda w: (have.get(w, 0), w)):
         tried.append(w)
         missed += amounts[w]
-        if missed > (1 - coverage) * len(template):
+        if missed > size - need:
             break
     starts = np.flatnonzero(np.isin(text, np.array(tried, np.uint64)))
-    best, done = None, -1
-    for at in starts.tolist():
-        if at < done:
+    bits, mirrored = _bits(template), _bits(template[::-1])
+    found: list[tuple[float, int, int, int]] = []
+    low = floor = 0
+    while True:
+        at = int(np.searchsorted(starts, low))
+        if at == len(starts):
+            return found
+        low = max(low, int(starts[at]) - reach)
+        window = text[low : low + 2 * reach].tolist()
+        end = _first_end(bits, size, window, need)
+        if not end:
+            low += reach
             continue
-        low, high = max(0, at - reach), min(len(text), at + reach)
-        places = align(template, text[low:high].tolist())
-        done = at + 1
-        # The densest stretch of the alignment that still covers enough.
-        need = int(np.ceil(coverage * len(template) - 1e-9))
-        for i in range(max(0, len(places) - need + 1)):
-            for j in (len(places) - 1, i + need - 1):
-                first, last, count = places[i][1], places[j][1], j - i + 1
-                if count >= density * (last - first + 1):
-                    value = (count / len(template), low + first, low + last + 1, count)
-                    if best is None or value[0] > best[0]:
-                        best = value
+        start = end - _first_end(mirrored, size, window[end - 1 :: -1], need)
+        if end - start <= reach:
+            origin = max(floor, low + end - reach)
+            around = text[origin : low + start + reach].tolist()
+            for how, first, stretch in ((align, origin, around), (_common, origin, around), (_common, low + start, window[start:end])):
+                place = _densest(how(template, stretch), need, density)
+                if place and first + place[0] < low + end and first + place[1] > low + start:  # not a later place
                     break
-        if best and best[0] == 1.0:
-            break
-    return best
+                place = None
+            if place:
+                found.append((place[2] / size, first + place[0], first + place[1], place[2]))
+                low = floor = first + place[1]
+                continue
+        low += start + 1
 
 
 def scan(documents: DataFrame, licenses: dict[str, str], key: str = "doc_id", text: str = "text", coverage: float = COVERAGE, density: float = DENSITY) -> DataFrame:
-    """One row per document and template found: key, license, coverage, first_word, end_word, aligned, template_words.
+    """One row per document and place of a template: key, license, coverage, first_word, end_word, aligned, template_words.
 
     Words are runs of letters, digits and other than ASCII characters, with A-Z in lower case. A template is found if at least `coverage` of its words are aligned and they
-    make up `density` of the words they span; its best place is given, the earliest of equal ones. A template is aligned only with texts that hold enough of its
-    words at all. A missing or empty text holds none. Repeated rows repeat their findings; other columns are not read. An empty table gives no rows.
+    make up `density` of the words they span; every such place is given, and places of one template do not overlap. A template is aligned only with texts that hold enough
+    of its words at all. A missing or empty text holds none. Repeated rows repeat their findings; other columns are not read. An empty table gives no rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast([(name, _hashes(body)) for name, body in sorted(licenses.items())])
     kind = dict(documents.dtypes)[key]
@@ -165,9 +204,8 @@ def scan(documents: DataFrame, licenses: dict[str, str], key: str = "doc_id", te
                         for t, (name, body, _) in enumerate(templates):
                             enough = np.minimum(counts[:, member[t]], amount[t, member[t]]).sum(axis=1) >= coverage * len(body)
                             for doc in held[enough].tolist():
-                                match = best_match(body, found.hashes[found.offsets[doc] : found.offsets[doc + 1]], coverage, density)
-                                if match:
-                                    rows.append((low + doc, name, *match, len(body)))
+                                own = found.hashes[found.offsets[doc] : found.offsets[doc + 1]]
+                                rows += [(low + doc, name, *match, len(body)) for match in matches(body, own, coverage, density)]
                     low += len(offsets) - 1
             if rows:
                 place, name, share, first, end, count, size = zip(*rows)

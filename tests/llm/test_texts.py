@@ -1,6 +1,7 @@
 import hashlib
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -158,16 +159,57 @@ def test_scan_finds_notices_and_changed_texts(spark):
             (6, "Licensed under CC BY-NC 4.0.\n" * 4), (6, "Licensed under CC BY-NC 4.0.\n" * 4), (None, "x " * 30000 + LICENSES["Apache-2.0 header"])]
     rows = licenses.scan(spark.createDataFrame([(*d, "c") for d in docs], "doc_id long, text string, license string"), LICENSES).collect()
     found = sorted(((r.doc_id or 0, r.license, round(r.coverage, 2)) for r in rows))
-    assert found == [(0, "Apache-2.0 header", 1.0), (0, "Apache-2.0 notice", 1.0), (1, "MIT notice", 1.0), (2, "MIT", 0.99), (6, "CC-BY-NC-4.0 notice", 1.0), (6, "CC-BY-NC-4.0 notice", 1.0)]
+    assert found == [(0, "Apache-2.0 header", 1.0), (0, "Apache-2.0 notice", 1.0), (1, "MIT notice", 1.0), (2, "MIT", 0.99), *[(6, "CC-BY-NC-4.0 notice", 1.0)] * 8]
     assert next((r.first_word, r.end_word) for r in rows if r.doc_id == 1) == (2, 7)
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string"), LICENSES).count() == 0
 
 
 def test_op9_finds_every_notice(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
-    got = {(r.doc_id, r.license) for r in queries.op9_license_scan(spark, "/root/testdata/sf0.01").collect() if r.coverage == 1}
+    got = Counter((r.doc_id, r.license) for r in queries.op9_license_scan(spark, "/root/testdata/sf0.01").collect() if r.coverage == 1)
     notices = {n: t for n, t in LICENSES.items() if n.endswith("notice") and t.count(" ") < 14}
-    assert {(d, n) for d, t in docs.items() for n, notice in notices.items() if notice in t} == {x for x in got if x[1] in notices}
+    assert Counter({(d, n): t.count(notice) for d, t in docs.items() for n, notice in notices.items() if notice in t}) == Counter({x: n for x, n in got.items() if x[1] in notices})
+
+
+def _longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return row[-1]
+
+
+def test_places_equal_every_window_with_its_common_subsequence():
+    rnd = np.random.default_rng(9)
+    several = 0
+    for _ in range(250):
+        template = rnd.integers(0, 12, rnd.integers(3, 11)).tolist()
+        text: list[int] = []
+        for _ in range(rnd.integers(1, 5)):
+            copy = [int(rnd.integers(0, 30)) if rnd.random() < 0.12 else w for w in template if rnd.random() > 0.08]
+            text += rnd.integers(0, 40, rnd.integers(0, 6)).tolist() + copy
+        got = licenses.matches(template, np.array(text, np.uint64))
+        need = int(np.ceil(0.8 * len(template) - 1e-9))
+        fits = [(s, e) for s in range(len(text)) for e in range(s + need, len(text) + 1) if (n := _longest_common(template, text[s:e])) >= need and n >= 0.6 * (e - s)]
+        for share, first, end, count in got:
+            assert need <= count <= _longest_common(template, text[first:end]) and count >= 0.6 * (end - first) and share == count / len(template)
+        assert all(x[2] <= y[1] for x, y in zip(got, got[1:]))
+        # Every window that fits meets a place that was found.
+        assert all(any(s < end and first < e for _, first, end, _ in got) for s, e in fits), (template, text, got)
+        several += len(got) > 1
+    assert several > 50
+
+
+def test_repeated_and_shuffled_license_texts_take_time_in_proportion():
+    body = licenses._hashes(LICENSES["MIT"])
+    changed = [7 if i == 60 else w for i, w in enumerate(body)]
+    started = time.time()
+    got = licenses.matches(body, np.array(changed * 400, np.uint64))
+    assert [(first, end) for _, first, end, _ in got] == [(i * len(body), (i + 1) * len(body)) for i in range(400)] and time.time() - started < 20
+    mixed = np.random.default_rng(3).permutation(np.array(body * 60, np.uint64))
+    assert licenses.matches(body, mixed) == [] and time.time() - started < 40
+    assert licenses.matches(body, np.zeros(0, np.uint64)) == []
 
 
 def test_scores_equal_plain_python_and_grades_are_learned(spark):
