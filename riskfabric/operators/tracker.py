@@ -219,18 +219,24 @@ def score_patterns(touches: DataFrame, windows: DataFrame, as_of: Column = None)
 
     ``windows`` is the volume series; its baseline excludes the current window.
     """
-    stats = volume.with_robust_statistics(volume.with_baseline(windows))
+    stats = volume.with_baseline(windows).select(*SERIES, "collected_at", "cluster_count", "baseline")
+    return stage(score_touches(touches.join(stats, [*SERIES, "collected_at"]), as_of), "patterns")
+
+
+def score_touches(touches: DataFrame, as_of: Column = None) -> DataFrame:
+    """``score_patterns`` for touches that carry ``cluster_count`` of their window and the ``baseline`` of counts before it; no shuffle."""
     change = volume.cusum(F.col("cluster_count"))
-    facts = stats.select("country", "category", "collected_at", volume.robust_z(F.col("cluster_count")).alias("anomaly_score"),
-                         change["score"].alias("change_score"), change["status"].alias("change_status"), F.size("baseline").alias("baseline_windows"))
-    df = touches.join(facts, ["country", "category", "collected_at"]).withColumn("source_count", F.greatest(F.lit(1), F.size("sources")))
+    df = volume.with_robust_statistics(touches).select(
+        *[c for c in touches.columns if c not in ("cluster_count", "baseline")], volume.robust_z(F.col("cluster_count")).alias("anomaly_score"),
+        change["score"].alias("change_score"), change["status"].alias("change_status"), F.size("baseline").alias("baseline_windows"))
+    df = df.withColumn("source_count", F.greatest(F.lit(1), F.size("sources")))
     df = df.withColumn("persistence_score", volume.persistence(F.col("first_seen"), F.col("active_windows"), F.col("source_count"), F.col("collected_at") if as_of is None else as_of))
     df = df.withColumn("context", entity_context(F.col("headline")))
     w = volume.early_warning(F.col("anomaly_score"), F.col("persistence_score"), F.col("change_score"), F.col("source_count"), F.col("context.operational_relevance"), F.col("baseline_windows"))
     df = df.withColumn("warning", w)
     status = (F.when((F.col("active_windows") >= 3) | (F.col("persistence_score") >= 70), "Persistent").when(F.col("active_windows") >= 2, "Developing").otherwise("Emerging"))
-    return stage(df.select("*", status.alias("status"), F.col("warning.score").alias("early_warning_score"), F.col("warning.level").alias("alert_level"),
-                           F.col("warning.confidence").alias("alert_confidence"), F.col("collected_at").alias("last_seen")), "patterns")
+    return df.select("*", status.alias("status"), F.col("warning.score").alias("early_warning_score"), F.col("warning.level").alias("alert_level"),
+                     F.col("warning.confidence").alias("alert_confidence"), F.col("collected_at").alias("last_seen"))
 
 
 def latest_patterns(scored: DataFrame) -> DataFrame:

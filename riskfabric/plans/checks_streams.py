@@ -8,7 +8,7 @@ from riskfabric.plans import bindings as B
 from riskfabric.plans.catalog import check
 from riskfabric.plans.checks_stories import windowed_stories
 from riskfabric.session import cut
-from riskfabric.streaming import jobs, sinks
+from riskfabric.streaming import jobs, patterns, sinks
 
 AS_OF = B.AS_OF_SQL
 
@@ -86,10 +86,23 @@ def stream_present_hazards(spark, folder):
     return store.present_hazards(table, runs(spark, folder)).select("id")
 
 
+def tracked_stories(spark, folder):
+    """Touches of the stories of all windows, landed in parts out of order; a last row without a country closes the last windows."""
+    landed = sinks.work_folder(spark, "stories")
+    stories = windowed_stories(spark, folder).select("country", "category", "collected_at", "headline", "published_at", "url", "sources")
+    stories.write.parquet(landed)
+    end = spark.read.parquet(landed).agg((F.max("collected_at") + F.expr("INTERVAL 2 DAYS")).alias("collected_at"))
+    end.select(*[F.col(c) if c == "collected_at" else F.lit(None).cast(t).alias(c) for c, t in stories.dtypes]).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(stories.schema).parquet(landed)
+    return sinks.drain_stateful(patterns.track_stream(stream), "tracker")
+
+
 @check("stream_pattern_tracker")
 def stream_pattern_tracker(spark, folder):
-    landed = sinks.work_folder(spark, "window-stories")
-    tracker.window_stories(windowed_stories(spark, folder)).write.parquet(landed)
-    schema = spark.read.parquet(landed).schema
-    written = sinks.drain_stateful(jobs.track_stream(spark.readStream.schema(schema).parquet(landed)), "tracker")
-    return written.select("country", "category", F.unix_seconds("collected_at").alias("window_s"), "place", "pattern_id", "active_windows", "observation_count")
+    return tracked_stories(spark, folder).select("country", "category", F.unix_seconds("collected_at").alias("window_s"), "place", "pattern_id", "active_windows", "observation_count")
+
+
+@check("stream_pattern_scores")
+def stream_pattern_scores(spark, folder):
+    scored = tracker.latest_patterns(patterns.warnings(tracked_stories(spark, folder).drop("batch")))
+    return scored.select("pattern_id", "country", "category", "status", "active_windows", "persistence_score", "early_warning_score", "alert_level", "alert_confidence")

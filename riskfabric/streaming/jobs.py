@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from riskfabric.operators.store import latest_per_key
-from riskfabric.operators.tracker import PATTERN, Pattern, series_rows
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -92,24 +91,3 @@ class StaticMerge(StatefulProcessor):
 
 def merge_static(stream: DataFrame) -> DataFrame:
     return stream.groupBy("mmsi").transformWithStateInPandas(StaticMerge(), MERGED, "append", "None")
-
-
-class PatternTracker(StatefulProcessor):
-    """Story patterns of one (country, category); the stored candidates age out after thirty days."""
-
-    def init(self, handle):
-        self.patterns = handle.getValueState("patterns", "rows string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = json.loads(self.patterns.get()[0]) if self.patterns.exists() else []
-        out, known = series_rows(pd.concat(list(rows)), [Pattern.load(row) for row in stored])
-        self.patterns.update((json.dumps([p.stored() for p in known]),))
-        yield out
-
-    def close(self):
-        pass
-
-
-def track_stream(window_rows: DataFrame) -> DataFrame:
-    """Tracker over a stream of window stories; the windows of one collection arrive together."""
-    return window_rows.groupBy("country", "category").transformWithStateInPandas(PatternTracker(), PATTERN, "append", "None")
