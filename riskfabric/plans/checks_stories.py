@@ -1,15 +1,17 @@
 """Queries on matching, clustering, tracking and ranking."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskfabric import vocabulary as V
 from riskfabric.functions import text
-from riskfabric.operators import cluster, match, ranking, store, tracker
+from riskfabric.operators import cluster, match, ranking, refresh, store, tracker
 from riskfabric.plans import bindings as B, jobs
 from riskfabric.plans.catalog import VIEWS, check, sql_case, sql_tokens, table, text_list
 from riskfabric.plans.checks_scoring import anomalies, exposures, risky
 from riskfabric.plans.checks_text import key_words_sql
-from riskfabric.session import cut
+from riskfabric.session import checkpoint_dir, cut
 
 AS_OF = B.AS_OF_SQL
 BLOCK, WEEK = ["country", "category"], 7 * 86_400_000_000
@@ -206,6 +208,26 @@ def country_snapshot_job(spark, folder):
     return jobs.country_snapshot([one], s, B.COUNTRIES, B.as_of(), limit=5)[0].select("item_id", "country", "headline", "relevance_score", F.size("sources").alias("sources"), "hazard_status")
 
 
+def snapshot_store(spark, folder):
+    """Two refreshes of one category, six hours apart; the second one meets the stories and patterns of the first."""
+    s = B.signals(spark, folder).withColumn("summary", F.lit("")).withColumn("source_url", F.lit(""))
+    one = items(spark, folder).withColumn("category", F.lit("Infrastructure and supply chains"))
+    place = f"{checkpoint_dir(spark)}/refreshes-{uuid.uuid4().hex}"
+    for run, moment in (("1", B.as_of() - F.expr("INTERVAL 6 HOURS")), ("2", B.as_of())):
+        refresh.collect(spark, place, run, lambda known: jobs.country_snapshot([one], s, B.COUNTRIES, moment, stored_patterns=known), moment)
+    return place
+
+
+@check("refresh_patterns")
+def refresh_patterns(spark, folder):
+    return refresh.patterns(spark, snapshot_store(spark, folder)).select("pattern_id", "country", "active_windows", "observation_count", "status", "change_status", "early_warning_score")
+
+
+@check("refresh_articles")
+def refresh_articles(spark, folder):
+    return refresh.current(spark, snapshot_store(spark, folder), "articles").select("item_id", "country", "headline", "relevance_score", F.unix_seconds("collected_at").alias("collected_s"))
+
+
 @check("general_news_job")
 def general_news_job(spark, folder):
     one = items(spark, folder).withColumn("category", F.lit("General news"))
