@@ -9,6 +9,7 @@ from riskfabric.functions.places import country_mentioned
 from riskfabric.functions.text import blank, phrase, word_set
 from riskfabric.functions.tone import tone
 from riskfabric.operators.store import latest_per_key, top_per_key
+from riskfabric.session import cut
 
 WEEK_US = 7 * 86_400_000_000
 
@@ -199,6 +200,29 @@ def historical_matches(current: DataFrame, history: DataFrame, limit: int, minim
     return joined.withColumn(into, F.coalesce(F.when(F.col("__past").isNotNull(), count), F.lit(0)).cast("bigint")).drop("__words", "__past")
 
 
+def history_overlaps(current: DataFrame, history: DataFrame, minimum=3, into="historical_matches") -> DataFrame:
+    """How many stored headlines of the country, of all times, share at least ``minimum`` words with each current one.
+
+    Equal word sets are counted before anything is joined. Two sets that share ``minimum`` words have one among the rarest size - minimum + 1 words of each, so only these are
+    join keys; a pair is checked at its first common key, once. A headline that is missing or shorter than ``minimum`` words matches nothing.
+    """
+    words = F.array_sort(F.coalesce(word_set(F.col("headline")), F.array().cast("array<string>")))
+    now = current.withColumn("__words", words)
+    sets = lambda df, side: df.filter(F.size("__words") >= minimum).groupBy("country", "__words").agg(F.count("*").alias("__n")).withColumn("__side", F.lit(side))
+    both = sets(now, "now").unionByName(sets(history.withColumn("__words", words), "past"))
+    spread = both.withColumn("__word", F.explode("__words"))
+    often = spread.groupBy("country", "__word").agg(F.count("*").alias("__often"))
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("__often", "__word"))), lambda w: w["__word"])
+    keyed = spread.join(often, ["country", "__word"]).groupBy("__side", "country", "__words").agg(F.max("__n").alias("__n"), rarest.alias("__keys"))
+    keyed = cut(keyed.withColumn("__keys", F.slice("__keys", 1, F.size("__keys") - (minimum - 1))))
+    side = lambda name, tag: keyed.filter(F.col("__side") == name).select("country", F.explode("__keys").alias("__word"), F.col("__words").alias(f"__{tag}"), F.col("__keys").alias(f"__{tag}k"),
+                                                                         F.col("__n").alias(f"__{tag}n"))
+    met = side("now", "a").join(side("past", "b"), ["country", "__word"])
+    once = F.get(F.array_intersect("__ak", "__bk"), F.lit(0)) == F.col("__word")
+    found = met.filter(once & (F.size(F.array_intersect("__a", "__b")) >= minimum)).groupBy("country", F.col("__a").alias("__words")).agg(F.sum("__bn").alias(into))
+    return now.drop(into).join(found, ["country", "__words"], "left").withColumn(into, F.coalesce(into, F.lit(0)).cast("bigint")).drop("__words")
+
+
 def not_current(history: DataFrame, current: DataFrame) -> DataFrame:
     """Stored stories whose key and headline are both absent from the current set of the country."""
     keys = current.select("country", "story_key").distinct()

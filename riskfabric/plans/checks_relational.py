@@ -151,6 +151,15 @@ def historical_similarity(spark, folder):
     return relational.historical_matches(a.filter(F.col("published_at") >= cut), a.filter(F.col("published_at") < cut), 10).select("article_id", "historical_matches")
 
 
+@check("history_overlaps", f"""
+SELECT a.article_id, CAST(count(h.article_id) FILTER (WHERE len(list_intersect(list_distinct({sql_tokens('a.headline')}), list_distinct({sql_tokens('h.headline')}))) >= 3) AS BIGINT) AS historical_matches
+FROM b_articles a LEFT JOIN b_articles h ON h.country = a.country AND h.published_at < {AS_OF} - INTERVAL 7 DAY WHERE a.published_at >= {AS_OF} - INTERVAL 7 DAY GROUP BY a.article_id""")
+def history_overlaps(spark, folder):
+    a = B.articles(spark, folder)
+    week = B.as_of() - F.make_dt_interval(F.lit(7))
+    return relational.history_overlaps(a.filter(F.col("published_at") >= week), a.filter(F.col("published_at") < week)).select("article_id", "historical_matches")
+
+
 # ------------------------------------------------------------------ flights
 PREFIXES = ["FDX", "BAW", "UPS", "CLX", "DLH", "N/A", "GTI"]
 AIRLINES = ["British Airways", "Global Cargo Lines", "Lufthansa", " Polar Air "]
