@@ -362,15 +362,16 @@ def rank_preference_model(spark, folder):
     return m.select("profile", F.round("bias", 6).alias("bias"), F.posexplode("weights").alias("idx", "w")).withColumn("w", F.round("w", 6))
 
 
-def ranked(spark, folder):
-    f = B.feedback(spark, folder).withColumn("doc_id", -F.col("rating_id") - 1).withColumn("summary", F.lit(None).cast("string"))
-    short = text.summary_text(F.col("country"), F.col("category"), F.col("headline"), F.col("publisher"), F.col("summary"))  # what a story roll-up stores
+def ranked(spark, folder, pool=None):
+    """Every article for every profile that has rated something of its country; summaries of both sides as a story roll-up stores them."""
+    rated = B.articles(spark, folder).select("article_id", "publisher")
+    short = text.summary_text(F.col("country"), F.col("category"), F.col("headline"), F.col("publisher"), F.col("summary"))
+    f = B.feedback(spark, folder).join(rated, "article_id").withColumn("doc_id", -F.col("rating_id") - 1).withColumn("summary", short)
     pairs = f.select("profile", "country").distinct()
-    newest = store.top_per_key(B.articles(spark, folder), ["country"], [F.desc("published_at"), F.desc("url")], 15)  # the pool of the personal selection
-    c = (risky(spark, folder, newest).withColumn("relevance_score", F.lit(60))
+    c = (risky(spark, folder, B.articles(spark, folder)).withColumn("relevance_score", F.lit(60))
          .withColumn("transport_mode", F.col("risk.mode")).withColumn("doc_id", F.col("article_id")).withColumn("summary", short)
          .select("country", "doc_id", "url", "headline", "summary", "category", "transport_mode", "published_at", "relevance_score", "risk"))
-    return ranking.rank_articles(c.join(pairs, "country"), f, B.as_of())
+    return ranking.rank_articles(c.join(pairs, "country"), f, B.as_of(), pool=pool)
 
 
 @check("rank_articles")
@@ -380,4 +381,4 @@ def rank_articles(spark, folder):
 
 @check("rank_personal_selection")
 def rank_personal_selection(spark, folder):
-    return ranking.personal_selection(ranked(spark, folder), 5).select("profile", "country", "doc_id", "rank", "position")
+    return ranking.personal_selection(ranked(spark, folder, pool=15), 5).select("profile", "country", "doc_id", "rank", "position")
