@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from riskfabric import vocabulary as V
 from riskfabric.functions import feeds, text
-from riskfabric.operators import relational, store, transport
+from riskfabric.operators import names, relational, store, transport
 from riskfabric.plans import bindings as B
 from riskfabric.plans.catalog import VIEWS, check, sql_any, sql_case, sql_tokens, table, text_list
 from riskfabric.plans.checks_store import history
@@ -47,6 +47,25 @@ def signal_country_join(spark, folder):
     return relational.locate_signals(B.signals(spark, folder), B.COUNTRIES).filter("matched_country IS NOT NULL").select("id", "matched_country")
 
 
+@check("signal_country_names", f"""
+SELECT s.id, n.name FROM b_signals s JOIN {NAMES} n ON {mention_case_sql("(s.country || ' ' || s.location)", 'n.name')}""")
+def signal_country_names(spark, folder):
+    """Every country that a signal names, all names searched at once."""
+    s = B.signals(spark, folder).select("id", text.phrase(F.col("country"), F.col("location")).alias("place"))
+    return names.mentions(s, names.spellings(names.country_names(spark, B.COUNTRIES)), "id", "place")
+
+
+@check("gazetteer_documents", """
+WITH g AS (SELECT DISTINCT regexp_extract(lower(text), '[a-z]{4,} [a-z]{4,}') AS name FROM benchmark)
+SELECT d.doc_id, g.name FROM (SELECT doc_id, lower(text) AS t FROM documents) d JOIN g ON g.name <> '' AND contains(d.t, g.name)
+WHERE regexp_matches(d.t, '(^|[^a-z])' || g.name || '($|[^a-z])')""")
+def gazetteer_documents(spark, folder):
+    """Documents that hold a pair of words of a benchmark text: a gazetteer that grows with its table."""
+    pair = F.regexp_extract(F.lower("text"), "[a-z]{4,} [a-z]{4,}", 0)
+    g = table(spark, folder, "benchmark").select(pair.alias("name")).where("name != ''").distinct()
+    return names.mentions(table(spark, folder, "documents"), names.spellings(g.withColumn("alias", F.col("name"))), "doc_id", "text")
+
+
 @check("band_join_exists", """
 SELECT a.article_id, EXISTS (SELECT 1 FROM b_articles n WHERE n.coverage_scope = 'International' AND n.country = a.country AND n.category = a.category
   AND (n.article_id % 9 = 0 AND n.article_id % 25 = 3 OR abs(epoch_us(n.published_at - INTERVAL 9 DAY) - epoch_us(a.published_at)) <= 604800000000)) AS has_match FROM b_articles a""")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from riskfabric.functions.feeds import ais_class
 from riskfabric.operators import store, tracker, transport
 from riskfabric.plans import bindings as B
-from riskfabric.plans.catalog import check
+from riskfabric.plans.catalog import check, table
 from riskfabric.plans.checks_stories import windowed_stories
 from riskfabric.session import cut
 from riskfabric.streaming import jobs, patterns, sinks
@@ -31,6 +31,17 @@ def stream_upsert_ingest(spark, folder):
     return sinks.upserted(written, ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
+@check("stream_upsert_levels", "SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(value, (ts, event_id)) AS value FROM b_events GROUP BY user_id")
+def stream_upsert_levels(spark, folder):
+    """The events as eleven landed files, one batch each, in a store that merges pairs of runs."""
+    landed, store_folder = sinks.work_folder(spark, "landed"), sinks.work_folder(spark, "levels")
+    e = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_id", "value", "ts")
+    e.repartition(11, "event_id").write.option("maxRecordsPerFile", 0).parquet(landed)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    sinks.write_upserts(stream, store_folder, ["user_id"], ["ts", "event_id"], fan=2).awaitTermination()
+    return sinks.read_upserts(spark, store_folder, ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
 @check("stream_distinct_positions", "SELECT mmsi, event_id FROM b_positions")
 def stream_distinct_positions(spark, folder):
     twice = position_stream(spark, folder).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfabric.functions.text import phrase
+from riskfabric.operators import names as gazetteer
 from riskfabric.operators import cluster, country, relational, scoring, semantic, store, taxonomy, tracker, volume
 from riskfabric.session import cut
 
@@ -100,5 +101,5 @@ def country_risk(rows: DataFrame, signals: DataFrame, exposures: DataFrame, anom
     events = decision_candidates(rows, as_of, limit=size, item=item, stored=stored).drop("risk", "connection", "evidence", "decision")
     exposed = scoring.with_tokens(events.join(exposures.select("country", "exposure_index"), "country", "left"))
     events = scoring.with_risk(exposed, as_of).drop("exposure_index")
-    located = relational.locate_signals(signals, names).filter(F.col("matched_country").isNotNull())
+    located = gazetteer.locate(signals, phrase(F.col("country"), F.col("location")), gazetteer.spellings(gazetteer.country_names(signals.sparkSession, names)), "matched_country").filter(F.col("matched_country").isNotNull())
     return country.assess(countries, country.scoring_window(events), located, exposures, anomalies)

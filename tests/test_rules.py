@@ -1,5 +1,6 @@
 """Literal expectations of the scoring rules."""
 
+import math
 from datetime import datetime
 
 import numpy as np
@@ -160,6 +161,35 @@ def test_diversity_pins_critical_and_keeps_every_story(spark):
     assert got == [4, 1, 3, 2]
 
 
+def test_diversity_equals_the_plain_greedy_rule(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for profile, size in (("a", 1), ("b", 120), ("c", 60)):
+        for i in range(size):
+            vector = None if i % 17 == 3 else {f"t{t}": float(rng.integers(1, 9)) for t in rng.choice(25, rng.integers(0, 6), replace=False)}
+            rows.append((profile, i, bool(i % 23 == 5), int(rng.integers(0, 100)), datetime(2026, 1, 1 + int(rng.integers(0, 9))), vector))
+        rows.append((profile, size, False, 50, datetime(2026, 1, 1), rows[-1][5]))  # a copy
+    df = spark.createDataFrame(rows, "profile string, doc_id long, mandatory boolean, recommendation_score long, published_at timestamp, vector map<string,double>")
+
+    def cosine(a, b):
+        dot = sum(v * b.get(t, 0.0) for t, v in a.items())
+        return dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())) if dot else 0.0
+
+    def plain(profile):
+        left, chosen = [r for r in rows if r[0] == profile], []
+        while left:
+            value = lambda r: 0.78 * r[3] / 100 - 0.22 * max((cosine(r[5] or {}, c[5] or {}) for c in chosen), default=0.0)
+            best = max(left, key=lambda r: (r[2], round(value(r), 12), r[4], r[1]))
+            left.remove(best)
+            chosen.append(best)
+        return [r[1] for r in chosen]
+
+    got = {p: [r["doc_id"] for r in ranking.diversify(df, ["profile"]).where(F.col("profile") == p).orderBy("rank").collect()] for p in "abc"}
+    assert got == {p: plain(p) for p in "abc"}
+    first = ranking.diversify(df, ["profile"], limit=7).where("profile = 'b'").orderBy("rank").collect()
+    assert [(r["doc_id"], r["rank"]) for r in first] == list(zip(got["b"], range(1, 8)))
+
+
 def test_presence_and_cache(spark):
     s = spark.sql("SELECT * FROM VALUES ('old', 'GDACS', 'High', timestamp'2026-01-01 00:00:00'), ('new', 'GDACS', 'Watch', timestamp'2026-01-01 05:00:00') AS t(id, source, severity, collected_at)")
     r = spark.sql("SELECT 'GDACS' AS provider, 'live' AS status, timestamp'2026-01-01 05:00:00' AS collected_at")
