@@ -317,7 +317,7 @@ SELECT t.profile, t.doc_id, round(greatest(0.0, least(1.0, 0.5 + 0.5 * coalesce(
 def rank_affinity(spark, folder):
     candidates, rated = ranking_documents(spark, folder)
     corpus = candidates.unionByName(rated.select("profile", "doc_id", "text"))
-    units = ranking.unit_vectors(ranking.comparison_vectors(corpus, ["profile"], semantic_vectors=False), ["profile"])
+    units = ranking.unit_vectors(ranking.lexical_vectors(corpus, ["profile"]), ["profile"])
     return ranking.affinity(units, candidates, rated, ["profile"]).select("profile", "doc_id", F.round("affinity", 6).alias("affinity"))
 
 
