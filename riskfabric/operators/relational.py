@@ -80,19 +80,22 @@ def hazard_detections(signals: DataFrame, countries) -> DataFrame:
     return latest_per_key(rows, ["country", "kind", "provider"], ["observed_at", "id"])
 
 
-def attach_hazard_signals(articles: DataFrame, signals: DataFrame, countries, key="article_id", where: Column = None) -> DataFrame:
-    """Add official detections of the same country and hazard kind to the sources of hazard news (of the rows ``where`` holds)."""
+def attach_hazard_signals(articles: DataFrame, signals: DataFrame, countries, where: Column = None) -> DataFrame:
+    """Add official detections of the same country and hazard kind to the sources of hazard news (of the rows ``where`` holds).
+
+    Detections become one map of kinds per country, bounded by the vocabularies; every article looks its kinds up in the map of its country.
+    """
     detections = hazard_detections(signals, countries)
-    per_kind = detections.groupBy("country", "kind").agg(
-        F.collect_list(F.struct("provider", "observed_at", "id", "title", "source_url")).alias("__found"))
+    found = F.collect_list(F.struct("provider", "observed_at", "id", "title", "source_url"))
+    per_kind = detections.groupBy("country", "kind").agg(found.alias("__found"))
+    per_country = per_kind.groupBy("country").agg(F.map_from_entries(F.collect_list(F.struct("kind", "__found"))).alias("__by_kind"))
     kinds = hazard_kinds(phrase(F.col("headline"), F.col("summary")))
     if where is not None:
         kinds = F.when(where, kinds)
-    # one row per (article, kind): at most eight, then one lookup row each
-    exploded = (articles.select(key, "country", F.explode(kinds).alias("kind"))
-                .join(per_kind, ["country", "kind"], "left")
-                .groupBy(key).agg(F.flatten(F.collect_list(F.coalesce("__found", F.array().cast(per_kind.schema["__found"].dataType)))).alias("__found")))
-    joined = articles.join(exploded, key, "left")
+    none = F.array().cast(per_kind.schema["__found"].dataType)
+    looked_up = F.flatten(F.transform("__kinds", lambda kind: F.coalesce(F.col("__by_kind")[kind], none)))
+    joined = (articles.withColumn("__kinds", kinds).join(per_country, "country", "left")
+              .withColumn("__found", F.when(F.size("__kinds") > 0, looked_up)).drop("__kinds", "__by_kind"))
     seen = F.transform("sources", lambda s: s["source_family"])
 
     def newest(found):

@@ -52,7 +52,7 @@ def country_news(feeds, additions: DataFrame, signals: DataFrame, countries, col
     touches = tracker.track(stories, stored=stored_patterns)
     chosen = relational.stratified_selection(stories)
     merged = cluster.merge_sources(chosen, additions, key=item)
-    attached = relational.attach_hazard_signals(merged, recent(signals, collected_at), countries, key=item, where=F.col("category") == HAZARD_CATEGORY)
+    attached = relational.attach_hazard_signals(merged, recent(signals, collected_at), countries, where=F.col("category") == HAZARD_CATEGORY)
     return attached, touches, volume_windows(items, stories, collected_at), refreshes(attached, collected_at)
 
 
@@ -60,7 +60,7 @@ def country_snapshot(feeds, signals: DataFrame, countries, collected_at: Column,
     """Light refresh of one category: (newest relevant stories with hazard evidence, touches, volume windows, refreshes)."""
     items, stories = stories_of(feeds, item)
     newest = cut(store.top_per_key(relevant_stories(stories), ["country"], [F.desc("published_at"), F.desc("url")], limit).withColumn("collected_at", collected_at))
-    attached = relational.attach_hazard_signals(newest, recent(signals, collected_at), countries, key=item)
+    attached = relational.attach_hazard_signals(newest, recent(signals, collected_at), countries)
     return attached, tracker.track(newest, stored=stored_patterns), volume_windows(items, newest, collected_at), refreshes(newest, collected_at)
 
 
