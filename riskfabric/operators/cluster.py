@@ -9,9 +9,9 @@ from riskfabric import vocabulary as V
 from riskfabric.functions import places, tone
 from riskfabric.functions.text import (blank, contains_any, fact_variance, labels_present, numbers, phrase, plural, sentence_case,
                                        story_words, summary_text)
-from riskfabric.operators.match import matches, with_event_features
+from riskfabric.operators.match import matches, near_event, ratio_matches, ratio_possible, with_event_features
 from riskfabric.operators.store import latest_per_key, top_per_key
-from riskfabric.session import cut
+from riskfabric.session import cut, kept
 
 LARGEST_BATCH = 1000  # keeps the partial group limit of Spark in effect
 
@@ -112,16 +112,44 @@ def _matched_sentence() -> Column:
 def merge_sources(stories: DataFrame, additions: DataFrame, key="article_id", block=("country",), days=7, ratio=True) -> DataFrame:
     """Append sources of the same event from new families, newest addition per family.
 
-    Stories and additions meet on shared words and anchors, and, for the sequence ratio, in their block and time slot.
+    Only the newest match of a family counts, so additions are looked at from the newest end of a story's time window, slice by slice; what a slice finds is not searched again.
+    Slices go through the whole window where pairs must be compared anyway (the sequence ratio) or would meet more often in the index of words and anchors than in their block.
+    Otherwise they end when one settles few (story, family) pairs, and the rest meets in the index.
     """
     span = days * 86_400_000_000
     a = with_event_features(additions.withColumn("__added", F.struct("publisher", "url", "coverage_scope", "source_type", "source_family", "indexed_by", "headline")))
     a = a.select(*block, "__added", F.col("f").alias("b"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("t_b"), F.col("url").alias("__u"))
     s = with_event_features(stories).select(*block, key, F.col("headline").alias("__head"), F.col("f").alias("a"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("t_a"),
                                             F.transform("sources", lambda x: x["source_family"]).alias("__seen"))
+    a, s = kept(a, "additions"), kept(s, "stories")
     unseen = ~F.array_contains("__seen", F.col("__added.source_family"))
-    hits = matches(s, a, block, span, ratio, where=unseen).withColumn("__family", F.col("__added.source_family"))
-    one = hits.groupBy(key, "__family").agg(F.max_by(F.struct("__added", "__head"), F.struct("t_b", "__u")).alias("x"))
+    newest = lambda hits: (hits.withColumn("__family", F.col("__added.source_family")).groupBy(key, "__family")
+                           .agg(F.max_by(F.struct("__added", "__head"), F.struct("t_b", "__u")).alias("x")))
+    per = lambda df, n, *by: df.groupBy(*by).agg(F.count("*").alias(n))
+    met = lambda df, other, *by: per(df, "m", *by).join(per(other, "n", *by), list(by)).agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0  # one number
+    keys = lambda df, f: df.select(*block, F.explode(f"{f}.keys").alias("__k"))
+    whole = ratio or met(keys(s, "a"), keys(a, "b"), *block, "__k") >= met(s, a, *block)
+    families = a.groupBy(*block).agg(F.count_distinct("__added.source_family").alias("n"))
+    open_pairs = s.join(families, list(block)).agg(F.sum("n")).first()[0] or 0  # one number
+    done, searched, left = None, 0, s
+    while searched <= 2 * span:
+        width = min(max(span // 64, searched, 1), 2 * span + 1 - searched)
+        step = kept(newest(_slice(left, a, block, span, searched, width, ratio, unseen)), "newest-sources")
+        searched += width
+        done = step if done is None else done.unionByName(step)
+        more = done.groupBy(key).agg(F.collect_list("__family").alias("__more"))
+        left = s.join(more, key, "left").withColumn("__seen", F.when(F.col("__more").isNull(), F.col("__seen")).otherwise(F.concat("__seen", "__more"))).drop("__more")
+        settled = step.count()
+        if not whole and settled * SETTLED < open_pairs:
+            break
+        open_pairs -= settled
+    if searched > 2 * span:  # only what has no time is left
+        rest = matches(left.filter("t_a IS NULL"), a, block, span, ratio, where=unseen).unionByName(
+            matches(left.filter("t_a IS NOT NULL"), a.filter("t_b IS NULL"), block, span, ratio, where=unseen))
+    else:
+        older = F.col("t_a").isNull() | F.col("t_b").isNull() | (F.col("t_a") + span - F.col("t_b") >= searched)
+        rest = matches(left, a, block, span, ratio, where=unseen & older)
+    one = done.unionByName(newest(rest))
     fresh = one.withColumn("__variance", fact_variance(F.col("x.__head"), F.col("x.__added.headline")))
     element = stories.schema["sources"].dataType.elementType
     def value(field):
@@ -139,6 +167,24 @@ def merge_sources(stories: DataFrame, additions: DataFrame, key="article_id", bl
                   .withColumn("fact_variances", F.filter(F.transform(new, lambda e: e["__variance"]), lambda v: v != "")).drop("__new"))
 
 
+SETTLED = 8  # slices go on while one settles at least this part of the open (story, family) pairs
+
+
+def _slice(stories: DataFrame, additions: DataFrame, block, span, since, width, ratio, where) -> DataFrame:
+    """Matching pairs whose addition lies ``since`` to ``since + width`` before the end of the story's window; every pair of that time is compared."""
+    block, a, b = list(block), F.col("a"), F.col("b")
+    newest = F.col("t_a") + span - since  # the first moment that counts; the slice lies before it
+    slots = F.array(F.floor(newest / width), F.floor(newest / width) - 1)
+    left = stories.filter("t_a IS NOT NULL").withColumn("__slot", F.explode(slots))
+    pairs = left.join(additions.filter("t_b IS NOT NULL").withColumn("__slot", F.floor(F.col("t_b") / width)), [*block, "__slot"]).drop("__slot")
+    age = newest - F.col("t_b")
+    pairs = pairs.filter((age >= 0) & (age < width) & where).withColumn("__near", near_event(a, b))
+    if ratio:
+        open_case = ~F.col("__near") & ratio_possible(a["key"], b["key"])
+        pairs = pairs.withColumn("__near", F.col("__near") | ratio_matches(F.when(open_case, a["key"]), F.when(open_case, b["key"])))
+    return pairs.filter("__near").drop("__near", "a", "b")
+
+
 # ------------------------------------------------------------------ synthesised wording
 def synthesize(stories: DataFrame, headlines="headlines", country="country") -> DataFrame:
     """Add ``event_headline`` and ``event_summary`` from the source headlines of each story."""

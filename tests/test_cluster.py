@@ -172,3 +172,29 @@ def test_old_recurring_incident_is_not_merged(spark):
     add = add.withColumn("coverage_scope", F.lit("International")).withColumn("source_type", F.lit("News reporting")).withColumn("indexed_by", F.lit(None).cast("string"))
     merged = cluster.merge_sources(story, add).first()
     assert [s["source_family"] for s in merged["sources"]] == ["new.test"]
+
+
+@pytest.mark.parametrize("dense,ratio", [(True, False), (False, False), (True, True)])
+def test_merged_sources_are_the_newest_of_each_family_in_the_whole_window(spark, monkeypatch, dense, ratio):
+    slices, plain = [], cluster._slice
+    monkeypatch.setattr(cluster, "_slice", lambda *a: slices.append(a) or plain(*a))
+    rnd = random.Random(7)
+    words = ["drone", "strike", "port", "odesa", "flood", "closes", "rail", "busan"] if dense else [f"word{i}" for i in range(400)]
+    head = lambda: " ".join(rnd.sample(words, 4))
+    start, week = datetime(2024, 1, 10), timedelta(days=7)
+    when = lambda: rnd.choice([None, start, start + week, start - week, start + week + timedelta(microseconds=1)]) if rnd.random() < 0.3 else start + timedelta(minutes=rnd.randrange(-20000, 20000))
+    stories = [(i, "A", head(), start if i % 3 else when(), [("family1",)]) for i in range(30)]
+    added = [("A", head() if dense or i % 4 else stories[i % 30][2], when(), f"u{i}", "p", "s", "t", f"family{i % 6}", "x") for i in range(120)]
+    s = spark.createDataFrame(stories, "article_id long, country string, headline string, published_at timestamp, sources array<struct<source_family:string>>")
+    s = s.withColumn("sources", F.transform("sources", lambda x: F.struct(x["source_family"].alias("source_family"), F.lit("").alias("url"))))
+    a = spark.createDataFrame(added, "country string, headline string, published_at timestamp, url string, publisher string, coverage_scope string, source_type string, source_family string, indexed_by string")
+    got = {(r.article_id, x.source_family): x.url for r in cluster.merge_sources(s, a, ratio=ratio).collect() for x in r.sources if x.url}
+    f = lambda df, into: match.with_event_features(df, into=into)
+    pairs = f(s.select("article_id", "headline", F.col("published_at").alias("ta")), "a").drop("headline").crossJoin(f(a, "b"))
+    near = pairs.filter("source_family <> 'family1' AND (ta IS NULL OR published_at IS NULL OR abs(unix_micros(ta) - unix_micros(published_at)) <= 604800000000)")
+    tested = match.ratio_matches(F.col("a.key"), F.col("b.key")) if ratio else F.lit(False)
+    best = near.filter(match.near_event(F.col("a"), F.col("b")) | tested).groupBy("article_id", "source_family").agg(F.max_by("url", F.struct("published_at", "url")).alias("u"))
+    want = {(r.article_id, r.source_family): r.u for r in best.collect()}
+    assert got == want and len(want) > 10
+    covered = sum(x[5] for x in slices)
+    assert covered == 2 * 604800000000 + 1 if dense or ratio else covered < 604800000000  # all slices, or the index after the first ones
