@@ -134,7 +134,7 @@ def merge_sources(stories: DataFrame, additions: DataFrame, key="article_id", bl
     done, searched, left = None, 0, s
     while searched <= 2 * span:
         width = min(max(span // 64, searched, 1), 2 * span + 1 - searched)
-        step = kept(newest(_slice(left, a, block, span, searched, width, ratio, unseen)), "newest-sources")
+        step = kept(newest(_slice(left, a, block, span, searched, width, ratio)), "newest-sources")
         searched += width
         done = step if done is None else done.unionByName(step)
         more = done.groupBy(key).agg(F.collect_list("__family").alias("__more"))
@@ -170,15 +170,18 @@ def merge_sources(stories: DataFrame, additions: DataFrame, key="article_id", bl
 SETTLED = 8  # slices go on while one settles at least this part of the open (story, family) pairs
 
 
-def _slice(stories: DataFrame, additions: DataFrame, block, span, since, width, ratio, where) -> DataFrame:
-    """Matching pairs whose addition lies ``since`` to ``since + width`` before the end of the story's window; every pair of that time is compared."""
-    block, a, b = list(block), F.col("a"), F.col("b")
+def _slice(stories: DataFrame, additions: DataFrame, block, span, since, width, ratio) -> DataFrame:
+    """Matching pairs whose addition lies ``since`` to ``since + width`` before the end of the story's window. A story meets additions of families that it has not seen only."""
+    block, a, b, family = list(block), F.col("a"), F.col("b"), F.col("__added.source_family")
+    slim = lambda f: F.struct(*[f[n].alias(n) for n in ("tokens", "key", "armed", "specific", "threats", "blows", "actors", "actions", "targets", "routes")])
     newest = F.col("t_a") + span - since  # the first moment that counts; the slice lies before it
     slots = F.array(F.floor(newest / width), F.floor(newest / width) - 1)
-    left = stories.filter("t_a IS NOT NULL").withColumn("__slot", F.explode(slots))
-    pairs = left.join(additions.filter("t_b IS NOT NULL").withColumn("__slot", F.floor(F.col("t_b") / width)), [*block, "__slot"]).drop("__slot")
+    right = additions.filter("t_b IS NOT NULL").withColumns({"b": slim(b), "__family": family, "__slot": F.floor(F.col("t_b") / width)})
+    present = right.groupBy(*block, "__slot").agg(F.collect_set("__family").alias("__families"))
+    left = stories.filter("t_a IS NOT NULL").withColumns({"a": slim(a), "__slot": F.explode(slots)}).join(present, [*block, "__slot"])
+    left = left.withColumn("__family", F.explode(F.filter("__families", lambda f: ~F.array_contains("__seen", f)))).drop("__families", "__seen")
     age = newest - F.col("t_b")
-    pairs = pairs.filter((age >= 0) & (age < width) & where).withColumn("__near", near_event(a, b))
+    pairs = left.join(right, [*block, "__slot", "__family"]).drop("__slot", "__family").filter((age >= 0) & (age < width)).withColumn("__near", near_event(a, b))
     if ratio:
         open_case = ~F.col("__near") & ratio_possible(a["key"], b["key"])
         pairs = pairs.withColumn("__near", F.col("__near") | ratio_matches(F.when(open_case, a["key"]), F.when(open_case, b["key"])))
