@@ -4,12 +4,15 @@ Texts and names meet on the first word of a name; what follows is compared in pl
 the words of the texts and the names that begin with them, not names times texts. The rules are those of ``places.country_mentioned``.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfabric import vocabulary as V
 from riskfabric.functions.text import blank, let
 
+FIRST_WORDS = 10_000  # more than these are only joined
 PIECES = "[A-Za-z]+|[^A-Za-z]+"  # runs of letters and what lies between them
 
 
@@ -39,13 +42,14 @@ def spellings(names: DataFrame, cased=tuple(V.CASE_SENSITIVE_ALIASES)) -> DataFr
     return rows.distinct().select("name", "literal", "cased", F.regexp_extract("literal", "[A-Za-z]+", 0).alias("run"), F.regexp_extract("literal", "^[^A-Za-z]*", 0).alias("lead"))
 
 
-def _windows(shown: Column, reach: int, width: int, lead: int) -> Column:
-    """Distinct (run, before, ahead) of all runs of letters: ``ahead`` begins with the run, ``before`` ends in front of it and starts with a blank at the text's start."""
+def _windows(shown: Column, reach: int, width: int, lead: int, first=None) -> Column:
+    """Distinct (run, before, ahead) of runs of letters (those in ``first``, if given): ``ahead`` begins with the run, ``before`` ends in front of it and starts with a blank at the
+    text's start."""
     def around(pieces):
         def one(piece, i):
             gap = F.when(i == 0, F.lit(" ")).when(i == 1, F.concat(F.lit(" "), F.get(pieces, i - 1))).otherwise(F.get(pieces, i - 1))
             ahead = F.substring(F.array_join(F.slice(pieces, i + 1, F.lit(reach)), ""), 1, width + 1)
-            return F.when(piece.rlike("^[A-Za-z]"), F.struct(piece.alias("run"), F.right(gap, F.lit(lead + 1)).alias("before"), ahead.alias("ahead")))
+            return F.when(piece.rlike("^[A-Za-z]") if first is None else piece.isin(first), F.struct(piece.alias("run"), F.right(gap, F.lit(lead + 1)).alias("before"), ahead.alias("ahead")))
         return F.array_distinct(F.array_compact(F.transform(pieces, one)))
     return let(_pieces(shown), around)
 
@@ -54,14 +58,17 @@ def mentions(texts: DataFrame, found: DataFrame, key: str, text: str) -> DataFra
     """Distinct (key, name) of every name that a text holds between other characters than letters; ``found`` is the result of ``spellings``.
 
     A NULL or empty text names nothing. Rows of one key are one text. The names join without a hint: AQE sends a small gazetteer to every task, for a large one
-    it splits the windows of a frequent first word.
+    it splits the windows of a frequent first word. Up to FIRST_WORDS first words are known to every task, which then opens no window at other words.
     """
     bounds = found.agg(F.max(F.size(_pieces(F.col("literal")))).alias("reach"), F.max(F.length("literal")).alias("width"), F.max(F.length("lead")).alias("lead")).first()  # one row
     reach, width, lead = (bounds[0] or 0) + 1, bounds[1] or 0, bounds[2] or 0
     shown = blank(F.col(text))
-    windows = [texts.select(F.col(key).alias("__key"), F.lit(cased).alias("cased"), F.explode(_windows(value, reach, width, lead)).alias("w"))
-               for cased, value in ((False, F.lower(shown)), (True, shown))]
-    rows = windows[0].unionByName(windows[1]).select("__key", "cased", "w.*")
+    begin = found.select("cased", "run").distinct().limit(FIRST_WORDS + 1).collect()
+    few = len(begin) <= FIRST_WORDS
+    first = {cased: [r["run"] for r in begin if r["cased"] == cased] for cased in (False, True)}
+    windows = [texts.select(F.col(key).alias("__key"), F.lit(cased).alias("cased"), F.explode(_windows(value, reach, width, lead, first[cased] if few else None)).alias("w"))
+               for cased, value in ((False, F.lower(shown)), (True, shown)) if first[cased] or not few or not cased and not begin]
+    rows = reduce(DataFrame.unionByName, windows).select("__key", "cased", "w.*")
     rest = F.substr("literal", F.length("lead") + 1)
     here = F.col("ahead").startswith(rest) & ~F.substr("ahead", F.length(rest) + 1, F.lit(1)).rlike("[A-Za-z]")
     behind = (F.col("lead") == "") | (F.col("before").endswith(F.col("lead")) & (F.length("before") > F.length("lead")))

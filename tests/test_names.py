@@ -60,3 +60,16 @@ def test_longest_name_as_before(spark):
     was = relational.locate_signals(signals, countries)
     now = names.locate(signals, phrase(F.col("country"), F.col("location")), names.spellings(names.country_names(spark, countries)), "matched_country")
     assert sorted(map(str, was.collect())) == sorted(map(str, now.select(was.columns).collect()))
+
+
+def test_windows_open_only_at_first_words_of_names(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "The grey harbour of New Port, U.S. side"), (2, "new ports"), (3, None), (4, "harbour news; new port")], "id long, text string")
+    found = names.spellings(spark.createDataFrame([("port", "new port"), ("grey", "grey harbour")], "name string, alias string")).cache()
+    opened, plain = [], names._windows
+    monkeypatch.setattr(names, "_windows", lambda *a: opened.append(a[4]) or plain(*a))
+    want = {(1, "grey"), (1, "port"), (4, "port")}
+    assert {tuple(r) for r in names.mentions(texts, found, "id", "text").collect()} == want
+    assert [sorted(x) for x in opened] == [["grey", "new"]]  # one pass, no window at other words
+    monkeypatch.setattr(names, "FIRST_WORDS", 1)
+    assert {tuple(r) for r in names.mentions(texts, found, "id", "text").collect()} == want and opened[1:] == [None, None]
+    assert names.mentions(texts, found.where("false"), "id", "text").count() == 0
