@@ -45,9 +45,8 @@ def match_event_pairs(spark, folder):
     when, order = F.unix_micros("published_at"), F.struct("published_at", "url", "article_id")
     items = rows.select(*BLOCK, "article_id", F.col("f").alias("a"), when.alias("t_a"), order.alias("o_a"))
     seeds = rows.select(*BLOCK, F.col("article_id").alias("seed_id"), F.col("f").alias("b"), when.alias("t_b"), order.alias("o_b"))
-    pairs = match.matches(items, seeds, BLOCK, WEEK, ratio=False, where=F.col("o_a") < F.col("o_b")).select("article_id", "seed_id")
-    both = pairs.join(rows.select("article_id", F.col("f").alias("a")), "article_id").join(rows.select(F.col("article_id").alias("seed_id"), F.col("f").alias("b")), "seed_id")
-    return both.select("article_id", "seed_id", F.round(match.jaccard(F.col("a.tokens"), F.col("b.tokens")), 9).alias("jaccard"), match.anchors_agree(F.col("a"), F.col("b")).alias("anchors"))
+    said = lambda a, b: {"jaccard": F.round(match.jaccard(a["tokens"], b["tokens"]), 9), "anchors": match.anchors_agree(a, b)}
+    return match.matches_of_copies(items, seeds, BLOCK, WEEK, ratio=False, where=F.col("o_a") < F.col("o_b"), also=said).select("article_id", "seed_id", "jaccard", "anchors")
 
 
 @check("match_same_story")
@@ -57,7 +56,7 @@ def match_same_story(spark, folder):
     when, order = F.unix_micros("published_at"), F.struct("published_at", "url", "article_id")
     items = rows.select(*BLOCK, "article_id", F.col("f").alias("a"), when.alias("t_a"), order.alias("o_a"))
     seeds = rows.select(*BLOCK, F.col("article_id").alias("seed_id"), F.col("f").alias("b"), when.alias("t_b"), order.alias("o_b"))
-    return match.matches(items, seeds, BLOCK, WEEK, native=match.near_tokens, where=F.col("o_a") < F.col("o_b")).select("article_id", "seed_id").distinct()
+    return match.matches_of_copies(items, seeds, BLOCK, WEEK, native=match.near_tokens, where=F.col("o_a") < F.col("o_b")).select("article_id", "seed_id")
 
 
 @check("dup_document_leaders", f"""

@@ -198,3 +198,21 @@ def test_merged_sources_are_the_newest_of_each_family_in_the_whole_window(spark,
     assert got == want and len(want) > 10
     covered = sum(x[5] for x in slices)
     assert covered == 2 * 604800000000 + 1 if dense or ratio else covered < 604800000000  # all slices, or the index after the first ones
+
+
+@pytest.mark.parametrize("span", [None, 7 * 86_400_000_000])
+@pytest.mark.parametrize("ratio", [True, False])
+def test_matches_of_copies_equal_matches(spark, span, ratio):
+    """Copies of headlines, at other times and with none, are matched once and come back as rows, each pair once."""
+    rows = reworded(spark, 40).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("id", F.col("id") * 6 + F.col("n"))
+    rows = match.with_event_features(rows).withColumn("t", F.unix_micros("published_at") + F.col("n") * 40 * 3_600_000_000)
+    items = rows.select("country", F.col("id").alias("a_id"), F.col("f").alias("a"), F.col("t").alias("t_a"))
+    seeds = rows.select("country", F.col("id").alias("b_id"), F.col("f").alias("b"), F.col("t").alias("t_b"))
+    where = F.col("a_id") < F.col("b_id")
+    also = None if ratio else lambda a, b: {"jaccard": match.jaccard(a["tokens"], b["tokens"])}
+    got = match.matches_of_copies(items, seeds, ["country"], span, ratio, where=where, also=also).collect()
+    want = {(r.a_id, r.b_id) for r in match.matches(items, seeds, ["country"], span, ratio, where=where).collect()}
+    assert {(r.a_id, r.b_id) for r in got} == want and len(got) == len(want) > 500
+    if also:
+        tokens = {r["id"]: set(r["f"]["tokens"]) for r in rows.collect()}
+        assert all(abs(r.jaccard - len(tokens[r.a_id] & tokens[r.b_id]) / max(1, len(tokens[r.a_id] | tokens[r.b_id]))) < 1e-12 for r in got)
