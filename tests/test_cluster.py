@@ -216,3 +216,16 @@ def test_matches_of_copies_equal_matches(spark, span, ratio):
     if also:
         tokens = {r["id"]: set(r["f"]["tokens"]) for r in rows.collect()}
         assert all(abs(r.jaccard - len(tokens[r.a_id] & tokens[r.b_id]) / max(1, len(tokens[r.a_id] | tokens[r.b_id]))) < 1e-12 for r in got)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 26, 2000])
+def test_possible_pairs_hold_every_similar_pair(spark, monkeypatch, block_bytes):
+    """Sets of 1 to 300 tokens with near copies of other sizes: no similar pair is missed, each comes once, and few others come."""
+    monkeypatch.setattr(match, "BLOCK_BYTES", block_bytes)
+    rnd = random.Random(6)
+    sets = [set(rnd.sample(range(3000), rnd.choice([1, 2, 3, 7, 8, 9, 30, 64, 65, 150, 300]))) for _ in range(120)]
+    sets += [set(rnd.sample(sorted(s), max(1, round(len(s) * rnd.uniform(0.4, 1))))) | {rnd.randrange(3000)} for s in sets]
+    df = spark.createDataFrame([(i, [f"w{t}" for t in sorted(s)]) for i, s in enumerate(sets)] + [(900, [])], "id long, __set array<string>")
+    got = [(r["id"], r["leader"]) for r in match.similar_sets_possible(df).collect()]
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.48}
+    assert want <= set(got) and len(got) == len(set(got)) < 3 * len(want) and len(want) > 60
