@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskfabric.functions.text import phrase
 from riskfabric.operators import names as gazetteer
 from riskfabric.operators import cluster, country, relational, scoring, semantic, store, taxonomy, tracker, volume
-from riskfabric.session import cut
+from riskfabric.session import cut, kept
 
 BLOCK = ["country", "category"]
 
@@ -74,7 +74,7 @@ def general_news(feeds, item="item_id", limit: int = None) -> DataFrame:
 
 def with_semantic_bonus(rows: DataFrame, stored: DataFrame, item="item_id") -> DataFrame:
     """Add the bonus of a semantic model of the ``stored`` articles (doc_id, text); none while it lacks documents or prototypes."""
-    vectors = cut(semantic.train(stored))
+    vectors = kept(semantic.train(stored), "model")
     protos = cut(semantic.prototypes(vectors))
     scores = semantic.document_scores(rows.select(item, phrase(F.col("headline"), F.col("summary"), F.col("category")).alias("text")), vectors, protos, doc=item)
     trained = semantic.trained(stored, protos).select("trained")
