@@ -5,6 +5,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ SOURCE = "struct<publisher:string,url:string>"
 PATTERN = (f"country string, category string, collected_at timestamp, pattern_id string, canonical_key string, story_key string, headline string, "
            f"first_seen timestamp, active_windows bigint, observation_count bigint, sources array<{SOURCE}>, place bigint")
 LIFE = pd.Timedelta(days=30)
+LIFE_MICROS = LIFE // pd.Timedelta(microseconds=1)
 
 
 @lru_cache(maxsize=100_000)
@@ -60,12 +62,16 @@ class Pattern:
         return cls(**{**row, **times, "sources": tuple(map(tuple, row["sources"]))})
 
 
+def source_name(source) -> tuple:
+    """What tells sources apart: the publisher in any case, and the url."""
+    return (source[0] or "").lower(), source[1] or ""
+
+
 def joined_sources(old: tuple, new: tuple) -> tuple:
     """Old sources, then the new ones that differ from them and from each other by publisher (in any case) and url."""
-    name = lambda source: ((source[0] or "").lower(), source[1] or "")
-    first = {name(s): s for s in reversed(new)}
-    fresh = dict.fromkeys(map(name, new))
-    return old + tuple(first[key] for key in fresh if key not in set(map(name, old)))
+    first = {source_name(s): s for s in reversed(new)}
+    fresh, held = dict.fromkeys(map(source_name, new)), set(map(source_name, old))
+    return old + tuple(first[key] for key in fresh if key not in held)
 
 
 def pattern_id(country: str, category: str, key: str) -> str:
@@ -139,60 +145,114 @@ def key_matches_of(rows: DataFrame, openers: DataFrame) -> DataFrame:
     return pairs.groupBy(*block, "story_key").agg(F.collect_set("opener").alias("near"))
 
 
+class Living:
+    """A living pattern as it was remembered: its counts, and the names of its sources instead of the sources. Times are in microseconds."""
+    __slots__ = ("pattern_id", "key", "first_seen", "last_seen", "active_windows", "observation_count", "names", "source_count")
+
+    def __init__(self, pattern_id, key, first_seen, last_seen, active_windows, observation_count, sources):
+        self.pattern_id, self.key, self.first_seen, self.last_seen = pattern_id, key, first_seen, last_seen
+        self.active_windows, self.observation_count = active_windows, observation_count
+        self.names, self.source_count = {source_name(s) for s in sources}, len(sources)
+
+    def fresh(self, sources) -> list:
+        """The sources that a story adds, as in ``joined_sources``."""
+        first = {}
+        for s in sources:
+            first.setdefault(source_name(s), s)
+        return [s for name, s in first.items() if name not in self.names]
+
+    def remember(self, moment: int, added: list) -> None:
+        self.active_windows, self.observation_count, self.last_seen = self.active_windows + int(self.last_seen != moment), self.observation_count + 1, moment
+        self.names.update(map(source_name, added))
+        self.source_count += len(added)
+
+
 class Series:
-    """The living patterns of one series while its windows pass in time order. A story belongs to the first living pattern that it matches; see ``series_rows``."""
+    """The living patterns of one series while its windows pass in time order. A story belongs to the first living pattern that it matches; see ``series_rows``.
+
+    A touch tells the sources that it adds to what was remembered before its window or, in the window that opened the pattern, to the opening story.
+    """
 
-    def __init__(self, name: tuple, known: list[Pattern]):
-        self.name, self.known, self.moment, self.living, self.place, self.after = name, known, None, {}, {}, {}
+    def __init__(self, name: tuple):
+        self.name, self.known, self.moment, self.living, self.place, self.after = name, [], None, {}, {}, {}
 
     def close(self) -> None:
         if self.moment is not None:
-            self.known = sorted((self.after.get(key, p) for key, p in self.living.items()), key=lambda p: p.last_seen, reverse=True)
+            for name, added in self.after.items():
+                self.living[name].remember(self.moment, added)
+            self.known = sorted(self.living.values(), key=lambda p: p.last_seen, reverse=True)
 
-    def touch(self, moment: pd.Timestamp, key: str, near, sources: tuple) -> Pattern:
+    def touch(self, moment: int, key: str, near, sources: list) -> tuple:
+        """(pattern_id, canonical_key, first_seen, active_windows, observation_count, added sources, number of sources) after the story."""
         if moment != self.moment:
             self.close()
             self.moment, self.after = moment, {}
-            self.living = {p.canonical_key: p for p in self.known if p.last_seen >= moment - LIFE}
+            self.living = {p.key: p for p in self.known if p.last_seen >= moment - LIFE_MICROS}
             self.place = {name: i for i, name in enumerate(self.living)}
         found = [name for name in (key, *near) if name in self.place]
-        if found:
-            name = min(found, key=self.place.get)
-            now = self.living[name].seen(moment, sources)
-        else:
-            name = key
-            now = Pattern(pattern_id(*self.name, key), key, moment, moment, sources=sources)
-            self.place[name], self.living[name] = len(self.place), now
-        self.after[name] = now
-        return now
+        if not found:
+            p = Living(pattern_id(*self.name, key), key, moment, moment, 1, 1, sources)
+            self.place[key], self.living[key] = len(self.place), p
+            return p.pattern_id, key, moment, 1, 1, sources, p.source_count
+        name = min(found, key=self.place.get)
+        p = self.living[name]
+        added = self.after[name] = p.fresh(sources)
+        return p.pattern_id, p.key, p.first_seen, p.active_windows + int(p.last_seen != moment), p.observation_count + 1, added, p.source_count + len(added)
+
+
+ROWS_TOGETHER = 500  # rows that the ordered step holds as Python objects
+STEP = (f"country string, category string, life bigint, collected_us bigint, place bigint, headline string, story_key string, pattern_id string, canonical_key string, first_us bigint, "
+        f"active_windows bigint, observation_count bigint, added array<{SOURCE}>, source_count int")
 
 
 def _follow(batches):
     """Touches of rows that are sorted by series, life, time and place; stored patterns of a life come before its stories."""
-    series, life = None, None
-    for pdf in batches:
-        out = []
-        for row in pdf.to_dict("records"):
-            sources = tuple((s["publisher"], s["url"]) for s in row["sources"])
-            if life != (row["country"], row["category"], row["life"]):
-                life, series = (row["country"], row["category"], row["life"]), Series((row["country"], row["category"]), [])
-            if row["stored"]:
-                series.known.append(Pattern(row["pattern_id"], row["story_key"], row["first_seen"], row["collected_at"], int(row["active_windows"]), int(row["observation_count"]), sources))
-                continue
-            now = series.touch(row["collected_at"], row["story_key"], row["near"], sources)
-            out.append({**asdict(now), "sources": [dict(zip(("publisher", "url"), s)) for s in now.sources], "country": row["country"], "category": row["category"],
-                        "collected_at": row["collected_at"], "story_key": row["story_key"], "headline": row["headline"], "place": row["place"]})
-        yield pd.DataFrame(out, columns=[field.split()[0] for field in PATTERN.split(", ")])
+    kind = pa.list_(pa.struct([("publisher", pa.string()), ("url", pa.string())]))
+    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    schema = pa.schema([(name, types.get(t, kind)) for name, t in (field.split(" ", 1) for field in STEP.split(", "))])
+    life, series = None, None
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_TOGETHER):
+            out = []
+            for row in batch.slice(at, ROWS_TOGETHER).to_pylist():
+                sources = [(s["publisher"], s["url"]) for s in row["sources"]]
+                here = (row["country"], row["category"], row["life"])
+                if life != here:
+                    life, series = here, Series(here[:2])
+                if row["stored"]:
+                    series.known.append(Living(row["pattern_id"], row["story_key"], row["first_us"], row["collected_us"], row["active_windows"], row["observation_count"], sources))
+                    continue
+                name, key, first, windows, count, added, total = series.touch(row["collected_us"], row["story_key"], row["near"], sources)
+                out.append({**{c: row[c] for c in ("country", "category", "life", "collected_us", "place", "headline", "story_key")}, "pattern_id": name, "canonical_key": key, "first_us": first,
+                            "active_windows": windows, "observation_count": count, "added": [{"publisher": p, "url": u} for p, u in added], "source_count": total})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+
+def with_sources(steps: DataFrame, stored: DataFrame = None) -> DataFrame:
+    """Sources of a pattern after every touch: what was remembered before its window (stored, the opening story's, those of each window's last touch), then what it adds.
+
+    They are put together by a window over the pattern, which Spark leaves out where nobody reads them; lists of sources grow with every touch, what is added does not.
+    """
+    one = [*SERIES, "life", "pattern_id", "first_us"]
+    opening = (F.col("collected_us") == F.col("first_us")) & (F.col("observation_count") == 1)
+    marked = steps.withColumns({"__at": 2 * F.col("collected_us") + F.when(opening, 0).otherwise(1), "__last": F.max("place").over(W.partitionBy(*one, "collected_us")) == F.col("place")})
+    before = W.partitionBy(*one).orderBy("__at").rangeBetween(W.unboundedPreceding, -1)
+    earlier = F.flatten(F.collect_list(F.when(opening | F.col("__last"), F.col("added"))).over(before))
+    if stored is not None:
+        marked = marked.join(stored.select(*SERIES, "life", "pattern_id", F.unix_micros("first_seen").alias("first_us"), F.col("sources").alias("__stored")), one, "left")
+        earlier = F.concat(F.coalesce("__stored", F.array().cast(f"array<{SOURCE}>")), earlier)
+    return marked.withColumn("sources", F.concat(earlier, "added")).drop("__at", "__last", "__stored")
 
 
 def track(stories: DataFrame, per_window: int = None, stored: DataFrame = None) -> DataFrame:
     """Pattern state after every touch; a series (country, category) goes on from its ``stored`` patterns. Equal to ``series_rows`` on every series.
 
     Which keys match is found for all stories at once, by index and in parts. The ordered step gets short lists of matching keys: it reads a life of a series as a stream and holds
-    its living patterns only. Lives of a series are independent and run in different tasks.
+    its living patterns only; a touch tells the sources it adds and how many there are (``source_count``). Lives of a series are independent and run in different tasks.
     """
     block = [*SERIES, "life"]
     rows = cut(window_stories(stories, per_window))
+    goes_on = stored is not None
     if stored is None:
         stored = rows.sparkSession.createDataFrame([], "country string, category string, pattern_id string, canonical_key string, first_seen timestamp, last_seen timestamp, "
                                                    f"active_windows bigint, observation_count bigint, sources array<{SOURCE}>")
@@ -203,15 +263,20 @@ def track(stories: DataFrame, per_window: int = None, stored: DataFrame = None)
     openers = new.select(*block, F.col("story_key").alias("opener"), F.unix_micros("collected_at").alias("first_b")).unionByName(
         old.select(*block, F.col("story_key").alias("opener"), F.unix_micros("collected_at").alias("first_b")))
     near = key_matches_of(new, openers)
-    none = F.lit(None)
+    none, micros = F.lit(None), F.unix_micros
     new = new.join(near, [*block, "story_key"], "left").select(
-        *block, "collected_at", "place", "headline", "story_key", "sources", F.coalesce("near", F.array().cast("array<string>")).alias("near"), F.lit(False).alias("stored"),
-        none.cast("string").alias("pattern_id"), none.cast("timestamp").alias("first_seen"), none.cast("bigint").alias("active_windows"), none.cast("bigint").alias("observation_count"))
-    old = old.select(*block, "collected_at", F.lit(-1).cast("bigint").alias("place"), none.cast("string").alias("headline"), "story_key", F.col("sources").cast(f"array<{SOURCE}>").alias("sources"),
-                     F.array().cast("array<string>").alias("near"), F.lit(True).alias("stored"), "pattern_id", "first_seen", F.col("active_windows").cast("bigint"), F.col("observation_count").cast("bigint"))
-    late_first = F.when(F.col("stored"), -F.unix_micros("collected_at")).otherwise(F.unix_micros("collected_at"))
+        *block, micros("collected_at").alias("collected_us"), "place", "headline", "story_key", "sources", F.coalesce("near", F.array().cast("array<string>")).alias("near"),
+        F.lit(False).alias("stored"), none.cast("string").alias("pattern_id"), none.cast("bigint").alias("first_us"), none.cast("bigint").alias("active_windows"),
+        none.cast("bigint").alias("observation_count"))
+    remembered = old.withColumn("sources", F.col("sources").cast(f"array<{SOURCE}>"))
+    old = remembered.select(*block, micros("collected_at").alias("collected_us"), F.lit(-1).cast("bigint").alias("place"), none.cast("string").alias("headline"), "story_key", "sources",
+                            F.array().cast("array<string>").alias("near"), F.lit(True).alias("stored"), "pattern_id", micros("first_seen").alias("first_us"),
+                            F.col("active_windows").cast("bigint"), F.col("observation_count").cast("bigint"))
+    late_first = F.when(F.col("stored"), -F.col("collected_us")).otherwise(F.col("collected_us"))
     ordered = new.unionByName(old).repartition(*block).sortWithinPartitions(*block, F.desc("stored"), late_first, "place", "pattern_id")
-    return ordered.mapInPandas(_follow, PATTERN)
+    touches = with_sources(ordered.mapInArrow(_follow, STEP), remembered if goes_on else None)
+    moments = {"collected_at": F.timestamp_micros("collected_us"), "first_seen": F.timestamp_micros("first_us")}
+    return touches.withColumns(moments).select(*[field.split()[0] for field in PATTERN.split(", ")], "source_count")
 
 
 def score_patterns(touches: DataFrame, windows: DataFrame, as_of: Column = None) -> DataFrame:
@@ -229,7 +294,7 @@ def score_touches(touches: DataFrame, as_of: Column = None) -> DataFrame:
     df = volume.with_robust_statistics(touches).select(
         *[c for c in touches.columns if c not in ("cluster_count", "baseline")], volume.robust_z(F.col("cluster_count")).alias("anomaly_score"),
         change["score"].alias("change_score"), change["status"].alias("change_status"), F.size("baseline").alias("baseline_windows"))
-    df = df.withColumn("source_count", F.greatest(F.lit(1), F.size("sources")))
+    df = df.withColumn("source_count", F.greatest(F.lit(1), F.col("source_count") if "source_count" in touches.columns else F.size("sources")))
     df = df.withColumn("persistence_score", volume.persistence(F.col("first_seen"), F.col("active_windows"), F.col("source_count"), F.col("collected_at") if as_of is None else as_of))
     df = df.withColumn("context", entity_context(F.col("headline")))
     w = volume.early_warning(F.col("anomaly_score"), F.col("persistence_score"), F.col("change_score"), F.col("source_count"), F.col("context.operational_relevance"), F.col("baseline_windows"))

@@ -73,3 +73,14 @@ def test_a_life_ends_after_thirty_days(spark):
 
 def test_no_stories_no_touches(spark):
     assert tracker.track(spark.createDataFrame([], STORY)).count() == 0
+
+
+def test_the_ordered_step_gives_added_sources_only(spark):
+    rows = [("Iran", "Risk", START + timedelta(hours=6 * k), "Missile attack closes cargo port in Odesa", START, f"u{k}", [("One", f"u{k}")]) for k in range(60)]
+    touches = tracker.track(spark.createDataFrame(rows, STORY))
+    assert max(touches.toPandas()["source_count"]) == 60
+    counts = touches.select("pattern_id", "source_count")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan.replace("collect_list(near", "")  # whole lists were built per touch
+    series = tracker.Series(("Iran", "Risk"))
+    assert max(len(series.touch(k * 10, "missile", [], [("One", f"u{k}")])[5]) for k in range(1, 61)) == 1
