@@ -105,7 +105,7 @@ def tracked_stories(spark, folder):
     end = spark.read.parquet(landed).agg((F.max("collected_at") + F.expr("INTERVAL 2 DAYS")).alias("collected_at"))
     end.select(*[F.col(c) if c == "collected_at" else F.lit(None).cast(t).alias(c) for c, t in stories.dtypes]).write.mode("append").parquet(landed)
     stream = spark.readStream.schema(stories.schema).parquet(landed)
-    return sinks.drain_stateful(patterns.track_stream(stream), "tracker")
+    return sinks.drain_stateful(patterns.track_stream(stream, lists=False), "tracker")
 
 
 @check("stream_pattern_tracker")

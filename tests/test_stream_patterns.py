@@ -51,3 +51,18 @@ def test_stories_after_their_window_are_too_late_and_old_patterns_are_forgotten(
     written = sinks.drain_stateful(patterns.track_stream(landed(spark, tmp_path, parts)), "t")
     assert [(r.collected_at, r.active_windows, r.observation_count, r.cluster_count, r.baseline) for r in written.orderBy("collected_at").collect()] == [
         (START, 1, 1, 1, []), (START + timedelta(days=10), 2, 2, 1, [1]), (START + timedelta(days=50), 1, 1, 1, [1, 1])]
+
+
+def test_stream_without_lists_has_the_same_touches_and_numbers_of_sources(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(patterns, "TOGETHER", 3)
+    rows = stories(2)
+    late = sorted(rows, key=lambda r: r[2] + timedelta(hours=random.Random(str(r)).randrange(48)))
+    written = sinks.drain_stateful(patterns.track_stream(landed(spark, tmp_path, [*[late[i : i + 60] for i in range(0, len(late), 60)], end(rows)]), "3 days", lists=False), "t").drop("batch")
+    last = max(r[2] for r in rows) + timedelta(days=2) - timedelta(days=3)
+    want = tracker.track(spark.createDataFrame(rows, STORY).where(F.col("collected_at") <= F.lit(last)))
+    columns = ["country", "category", "collected_at", "place", "pattern_id", "canonical_key", "first_seen", "active_windows", "observation_count", "source_count"]
+    touches = lambda df: sorted(tuple(r) for r in df.select(columns).collect())
+    assert "sources" not in written.columns and touches(written) == touches(want) and written.count() > 200
+    ends = lambda df, c: sorted((r["pattern_id"], str(r["collected_at"]), r["place"], str([tuple(s) for s in r[c][-r["n"]:]] if r["n"] else [])) for r in df.collect())
+    added = written.withColumn("n", F.size("added"))
+    assert ends(added, "added") == ends(want.join(added.select("pattern_id", "collected_at", "place", "n"), ["pattern_id", "collected_at", "place"]), "sources")
