@@ -1,15 +1,21 @@
 """Leader clustering of stories and their roll-up."""
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskfabric import vocabulary as V
 from riskfabric.functions import places, tone
 from riskfabric.functions.text import (blank, contains_any, fact_variance, labels_present, numbers, phrase, plural, sentence_case,
                                        story_words, summary_text)
-from riskfabric.operators.match import matches, near_event, ratio_matches, ratio_possible, with_event_features
+from riskfabric.operators import pairing
+from riskfabric.operators.match import event_features, matches, with_event_features
 from riskfabric.operators.store import latest_per_key, top_per_key
 from riskfabric.session import cut, kept
 
@@ -112,44 +118,29 @@ def _matched_sentence() -> Column:
 def merge_sources(stories: DataFrame, additions: DataFrame, key="article_id", block=("country",), days=7, ratio=True) -> DataFrame:
     """Append sources of the same event from new families, newest addition per family.
 
-    Only the newest match of a family counts, so additions are looked at from the newest end of a story's time window, slice by slice; what a slice finds is not searched again.
-    Slices go through the whole window where pairs must be compared anyway (the sequence ratio) or would meet more often in the index of words and anchors than in their block.
-    Otherwise they end when one settles few (story, family) pairs, and the rest meets in the index.
+    Only the newest match of a family counts. Stories and additions of a block and time slot meet in cells (``_slice``), where every story walks its window from the newest end until a
+    family is found. Where the sequence ratio is left out and words are selective, so that pairs meet less often in the index of words and anchors than in their block, they meet there.
     """
-    span = days * 86_400_000_000
-    a = with_event_features(additions.withColumn("__added", F.struct("publisher", "url", "coverage_scope", "source_type", "source_family", "indexed_by", "headline")))
-    a = a.select(*block, "__added", F.col("f").alias("b"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("t_b"), F.col("url").alias("__u"))
-    s = with_event_features(stories).select(*block, key, F.col("headline").alias("__head"), F.col("f").alias("a"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("t_a"),
-                                            F.transform("sources", lambda x: x["source_family"]).alias("__seen"))
-    a, s = kept(a, "additions"), kept(s, "stories")
-    unseen = ~F.array_contains("__seen", F.col("__added.source_family"))
-    newest = lambda hits: (hits.withColumn("__family", F.col("__added.source_family")).groupBy(key, "__family")
-                           .agg(F.max_by(F.struct("__added", "__head"), F.struct("t_b", "__u")).alias("x")))
-    per = lambda df, n, *by: df.groupBy(*by).agg(F.count("*").alias(n))
-    met = lambda df, other, *by: per(df, "m", *by).join(per(other, "n", *by), list(by)).agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0  # one number
-    keys = lambda df, f: df.select(*block, F.explode(f"{f}.keys").alias("__k"))
-    whole = ratio or met(keys(s, "a"), keys(a, "b"), *block, "__k") >= met(s, a, *block)
-    families = a.groupBy(*block).agg(F.count_distinct("__added.source_family").alias("n"))
-    open_pairs = s.join(families, list(block)).agg(F.sum("n")).first()[0] or 0  # one number
-    done, searched, left = None, 0, s
-    while searched <= 2 * span:
-        width = min(max(span // 64, searched, 1), 2 * span + 1 - searched)
-        step = kept(newest(_slice(left, a, block, span, searched, width, ratio)), "newest-sources")
-        searched += width
-        done = step if done is None else done.unionByName(step)
-        more = done.groupBy(key).agg(F.collect_list("__family").alias("__more"))
-        left = s.join(more, key, "left").withColumn("__seen", F.when(F.col("__more").isNull(), F.col("__seen")).otherwise(F.concat("__seen", "__more"))).drop("__more")
-        settled = step.count()
-        if not whole and settled * SETTLED < open_pairs:
-            break
-        open_pairs -= settled
-    if searched > 2 * span:  # only what has no time is left
-        rest = matches(left.filter("t_a IS NULL"), a, block, span, ratio, where=unseen).unionByName(
-            matches(left.filter("t_a IS NOT NULL"), a.filter("t_b IS NULL"), block, span, ratio, where=unseen))
-    else:
-        older = F.col("t_a").isNull() | F.col("t_b").isNull() | (F.col("t_a") + span - F.col("t_b") >= searched)
-        rest = matches(left, a, block, span, ratio, where=unseen & older)
-    one = done.unionByName(newest(rest))
+    span, block = days * 86_400_000_000, list(block)
+    added = ["publisher", "url", "coverage_scope", "source_type", "source_family", "indexed_by", "headline"]
+    when = lambda name: F.unix_micros(F.col("published_at").cast("timestamp")).alias(name)
+    seen = F.transform("sources", lambda x: x["source_family"]).alias("__seen")
+    f = event_features(F.col("headline"))
+    a = kept(additions.select(*block, *added, when("t_b"), f.alias("b")), "additions")
+    s = kept(stories.select(*block, key, F.col("headline").alias("__head"), when("t_a"), seen, f.alias("a")), "stories")
+    one = None
+    if not ratio:
+        per = lambda df, n, *by: df.groupBy(*by).agg(F.count("*").alias(n))
+        met = lambda df, other, *by: per(df, "m", *by).join(per(other, "n", *by), list(by)).agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0  # one number
+        a_keys, s_keys = kept(with_event_features(a, into="b"), "keyed"), kept(with_event_features(s, "__head", "a"), "keyed")
+        keys = lambda df, f: df.select(*block, F.explode(f"{f}.keys").alias("__k"))
+        if met(keys(s_keys, "a"), keys(a_keys, "b"), *block, "__k") * INDEXED < met(s, a, *block):
+            packed = a_keys.select(*block, F.struct(*added).alias("__added"), F.col("url").alias("__u"), "t_b", "b")
+            found = matches(s_keys, packed, block, span, ratio, where=~F.array_contains("__seen", F.col("__added.source_family")))
+            one = found.select(key, F.struct("__added", "__head").alias("x"), F.col("t_b"), "__u")
+    if one is None:
+        one = _slice(s, a, block, span, 0, 2 * span + 1, ratio).select(key, F.struct(F.struct(*added).alias("__added"), "__head").alias("x"), "t_b", F.col("url").alias("__u"))
+    one = one.repartition(F.col(key)).groupBy(key, F.col("x.__added.source_family").alias("__family")).agg(F.max_by("x", F.struct("t_b", "__u")).alias("x"))
     fresh = one.withColumn("__variance", fact_variance(F.col("x.__head"), F.col("x.__added.headline")))
     element = stories.schema["sources"].dataType.elementType
     def value(field):
@@ -167,25 +158,62 @@ def merge_sources(stories: DataFrame, additions: DataFrame, key="article_id", bl
                   .withColumn("fact_variances", F.filter(F.transform(new, lambda e: e["__variance"]), lambda v: v != "")).drop("__new"))
 
 
-SETTLED = 8  # slices go on while one settles at least this part of the open (story, family) pairs
+INDEXED = 4  # a pair in the index of words and anchors costs about as much as so many in a cell
+STORIES, ADDITIONS = 8192, 32768  # stories and additions of a cell at most
 
 
 def _slice(stories: DataFrame, additions: DataFrame, block, span, since, width, ratio) -> DataFrame:
-    """Matching pairs whose addition lies ``since`` to ``since + width`` before the end of the story's window. A story meets additions of families that it has not seen only."""
-    block, a, b, family = list(block), F.col("a"), F.col("b"), F.col("__added.source_family")
-    slim = lambda f: F.struct(*[f[n].alias(n) for n in ("tokens", "key", "armed", "specific", "threats", "blows", "actors", "actions", "targets", "routes")])
-    newest = F.col("t_a") + span - since  # the first moment that counts; the slice lies before it
-    slots = F.array(F.floor(newest / width), F.floor(newest / width) - 1)
-    right = additions.filter("t_b IS NOT NULL").withColumns({"b": slim(b), "__family": family, "__slot": F.floor(F.col("t_b") / width)})
-    present = right.groupBy(*block, "__slot").agg(F.collect_set("__family").alias("__families"))
-    left = stories.filter("t_a IS NOT NULL").withColumns({"a": slim(a), "__slot": F.explode(slots)}).join(present, [*block, "__slot"])
-    left = left.withColumn("__family", F.explode(F.filter("__families", lambda f: ~F.array_contains("__seen", f)))).drop("__families", "__seen")
-    age = newest - F.col("t_b")
-    pairs = left.join(right, [*block, "__slot", "__family"]).drop("__slot", "__family").filter((age >= 0) & (age < width)).withColumn("__near", near_event(a, b))
-    if ratio:
-        open_case = ~F.col("__near") & ratio_possible(a["key"], b["key"])
-        pairs = pairs.withColumn("__near", F.col("__near") | ratio_matches(F.when(open_case, a["key"]), F.when(open_case, b["key"])))
-    return pairs.filter("__near").drop("__near", "a", "b")
+    """Newest matching addition per story and family that it has not seen, of those that lie ``since`` to ``since + width`` before the end of the story's window.
+
+    The key of a cell is the block and the span-wide slot of the story's time; additions are copied to the slots beside theirs, and cells beyond STORIES by ADDITIONS are dealt to several, so
+    a (story, family) may come once per share of the additions. What has no time is near everything and meets its block in cells of its own.
+    """
+    block, slots = list(block), F.array(*[F.floor(F.col("t_b") / span) + i for i in (-1, 0, 1)])
+    key = next(c for c in stories.columns if c not in [*block, "__head", "t_a", "__seen", "a"])
+    timeless, waiting = F.lit(-(2 ** 62)).cast("bigint"), F.lit(-(2 ** 62) + 1).cast("bigint")  # cells of stories, and of additions, without a time
+    left = stories.filter(F.col("__seen").isNotNull() & ~F.exists("__seen", lambda x: x.isNull()))
+    right = additions.filter(F.col("source_family").isNotNull())
+    untimed = right.filter("t_b IS NULL").limit(1).count() > 0, left.filter("t_a IS NULL").limit(1).count() > 0
+    own = F.floor(F.col("t_a") / span)
+    left = left.withColumn("__slot", F.explode(F.when(F.col("t_a").isNull(), F.array(timeless)).otherwise(F.array(own, waiting) if untimed[0] else F.array(own))))
+    right = right.withColumn("__slot", F.explode(F.when(F.col("t_b").isNull(), F.array(timeless, waiting)).otherwise(F.concat(slots, F.array(timeless)) if untimed[1] else slots)))
+    place = [*block, "__slot"]
+    shares = lambda df, size, name: df.groupBy(*place).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    plan = kept(shares(left, STORIES, "__shares").join(shares(right, ADDITIONS, "__parts"), place), "cells")
+    cells = plan.agg(F.sum(F.col("__shares") * F.col("__parts"))).first()[0] or 1  # one number
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda columns, n: F.pmod(F.xxhash64(*columns), F.col(n)).cast("int")
+    cell = [*place, "__share", "__part"]
+    deal = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns]).repartition(min(int(cells), 1000), *cell).groupBy(*cell)  # both sides may come from one table
+    left = left.join(plan, place).withColumn("__share", dealt([key], "__shares")).withColumn("__part", every("__parts")).drop("__shares", "__parts")
+    right = right.join(plan, place).withColumn("__part", dealt(["url", "source_family", "headline"], "__parts")).withColumn("__share", every("__shares")).drop("__shares", "__parts")
+    given = [c for c in additions.columns if c not in (*block, "b", "t_b")]
+    kinds = T.StructType([T.StructField(c, stories.schema[c].dataType) for c in (key, "__head")] + [T.StructField(c, additions.schema[c].dataType) for c in (*given, "t_b")])
+    schema = to_arrow_schema(kinds)
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return schema.empty_table()
+        y = y.sort_by([("t_b", "descending"), ("url", "descending")]).combine_chunks()
+        f, g = pairing.flat(x.column("a")), pairing.flat(y.column("b"))
+        events = pairing.Events(pa.concat_arrays([f.field("tokens"), g.field("tokens")]), pa.concat_arrays([f.field("armed"), g.field("armed")]))
+        families = pairing.flat(y.column("source_family")).dictionary_encode()
+        listed = pairing.flat(x.column("__seen"))
+        known = pc.index_in(listed.flatten(), value_set=families.dictionary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(x.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))
+        t_a, t_b = pairing.flat(x.column("t_a")), pairing.flat(y.column("t_b"))
+        timed = y.num_rows - t_b.null_count
+        older = -t_b.slice(0, timed).to_numpy(zero_copy_only=False).astype(np.int64)  # the newest first, what has no time last
+        free = np.array(t_a.is_null()) if timed else np.ones(x.num_rows, bool)
+        newest = t_a.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + span - since
+        first = np.where(free, 0, np.searchsorted(older, -newest, side="left"))
+        last = np.where(free, y.num_rows, np.searchsorted(older, -newest + width, side="left"))
+        item, at = pairing.newest_of_families(events, events.number[:x.num_rows], events.number[x.num_rows:], families.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+                                              (owner[known >= 0], known[known >= 0]), first, last, ratio)
+        one, other = x.select([key, "__head"]).take(pa.array(item)), y.select([*given, "t_b"]).take(pa.array(at))
+        return pa.table([*one.columns, *other.columns], names=schema.names).cast(schema)
+
+    return deal(left).cogroup(deal(right)).applyInArrow(meet, kinds)
 
 
 # ------------------------------------------------------------------ synthesised wording
