@@ -38,25 +38,58 @@ def leader_clusters(items: DataFrame, block, item="item_id", time="published_at"
     """Assign every item to the earliest matching seed, newest items first: (item, seed).
 
     The result equals the sequential rule "join the first cluster whose seed describes the same event within
-    ``days``, else open a cluster" (``days=None``: no time bound). Items are compared with seeds only:
+    ``days``, else open a cluster" (``days=None``: no time bound). Items are compared with seeds only;
+    items with the same event features (and time) are one candidate, however many copies exist.
+
+    A block of up to ONE_TASK candidates is walked in order by one task (``pairing.leaders``). Larger ones go through rounds, which end when nothing is undecided:
 
-    * items with the same event features (and time) are one candidate, however many copies exist;
     * per round, the next rows in order of every block form a small batch whose seeds are found exactly;
     * all undecided rows are matched with the new seeds through an index of words and anchors (see ``match.matches``) and leave when they match.
 
-    Rounds end when nothing is undecided. No row, pair or partner is dropped. ``ratio=False`` leaves the sequence ratio out of the rule.
+    No row, pair or partner is dropped. ``ratio=False`` leaves the sequence ratio out of the rule.
     """
     block = list(block)
     span = None if days is None else days * 86_400_000_000
-    rows = with_event_features(items, headline).withColumn("__t", F.unix_micros(F.col(time).cast("timestamp")))
-    identity = block + ["f.key", "f.armed"] + (["__t"] if span is not None else [])
+    rows = items.withColumns({"f": event_features(F.col(headline)), "__t": F.unix_micros(F.col(time).cast("timestamp"))})
     # fixed-size digest of the event identity; the time joins it only when it matters
-    rows = rows.withColumn("__sig", F.sha2(F.concat_ws("\u0001", F.col("f.key"), F.col("f.armed").cast("string"),
+    rows = rows.withColumn("__sig", F.sha2(F.concat_ws("\u0001", F.array_join("f.tokens", " "), F.col("f.armed").cast("string"),
                                                       *([blank(F.col("__t").cast("string"))] if span is not None else [])), 256))
     order = F.struct(F.coalesce(F.col("__t"), F.lit(-(2 ** 62))).alias("t"), blank(F.col(tie)).alias("tie"), F.col(item).alias("id"))
-    rows = cut(rows.select(*block, F.col(item), F.col(tie), "__t", "__sig", "f"))  # headlines are turned into features once
-    reps = rows.groupBy(*block, "__sig").agg(F.max_by(F.struct(F.col(item).alias("rep"), order.alias("o"), F.col("__t").alias("t"), "f"), order).alias("r"))
-    reps = undecided = cut(reps.select(*block, "__sig", "r.rep", "r.o", "r.t", "r.f"))
+    rows = kept(rows.select(*block, F.col(item), F.col(tie), F.col(headline).alias("__head"), "__t", "__sig", "f"), "items")  # headlines are turned into features once
+    reps = rows.groupBy(*block, "__sig").agg(F.max_by(F.struct(F.col(item).alias("rep"), order.alias("o"), F.col("__t").alias("t"), "__head", "f"), order).alias("r"))
+    reps = kept(reps.select(*block, "__sig", "r.rep", "r.o", "r.t", "r.__head", "r.f"), "candidates")
+    sizes = kept(reps.groupBy(*block).agg(F.count("*").alias("n")), "block-sizes")
+    keyed = _walked(reps.join(sizes.filter(F.col("n") <= ONE_TASK).drop("n"), block), block, span, ratio, max(1, sizes.count()))
+    large = sizes.filter(F.col("n") > ONE_TASK).drop("n")
+    if not large.isEmpty():
+        keyed = keyed.unionByName(_rounds(reps.join(large, block), block, span, ratio, first_batch))
+    return rows.select(*block, "__sig", F.col(item)).join(keyed, block + ["__sig"]).select(item, "seed")
+
+
+ONE_TASK = 16384  # candidates of a block that one task walks
+
+
+def _walked(reps: DataFrame, block, span, ratio, blocks) -> DataFrame:
+    """Seeds of the candidates of blocks, a block a task: (block…, __sig, seed)."""
+    kind = lambda c: T.StructField(c, reps.schema[c].dataType)
+    kinds = T.StructType([*map(kind, block), kind("__sig"), T.StructField("seed", reps.schema["rep"].dataType)])
+    schema = to_arrow_schema(kinds)
+
+    def walk(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("__o", "descending"), ("__tie", "descending"), ("rep", "descending")]).combine_chunks()
+        events = pairing.Events(pairing.flat(rows.column("tokens")), pairing.flat(rows.column("armed")))
+        when = pairing.flat(rows.column("t"))
+        seeds = pa.array(pairing.leaders(events, events.number, when.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), len(when) - when.null_count, span, ratio))
+        return pa.table([*(rows.column(c) for c in [*block, "__sig"]), rows.column("rep").take(seeds)], names=schema.names).cast(schema)
+
+    slim = reps.select(*block, "__sig", "rep", F.col("o.t").alias("__o"), F.col("o.tie").alias("__tie"), "t", "f.tokens", "f.armed")
+    return slim.repartition(min(blocks, 1000), *block).groupBy(*block).applyInArrow(walk, kinds)
+
+
+def _rounds(reps: DataFrame, block, span, ratio, first_batch) -> DataFrame:
+    """Seeds of the candidates of blocks of any size, a batch of every block a round: (block…, __sig, seed)."""
+    kind = reps.schema["rep"].dataType.simpleString()
+    reps = undecided = kept(with_event_features(reps.drop("f"), "__head").drop("__head"), "featured")
     decided, size = [], first_batch
     while True:
         batch = cut(top_per_key(undecided, block, [F.desc("o")], size, "rank"))
@@ -67,7 +100,6 @@ def leader_clusters(items: DataFrame, block, item="item_id", time="published_at"
         edges = matches(later, earlier, block, span, ratio, where=F.col("rank_b") < F.col("rank"))  # a bounded batch per block
         edges = edges.groupBy("rep").agg(F.collect_list("rank_b").alias("earlier"))
         nodes = batch.select(*block, "rep", "rank").join(edges, "rep", "left").withColumn("earlier", F.coalesce("earlier", F.array().cast("array<int>")))
-        kind = items.schema[item].dataType.simpleString()
         seeds = nodes.groupBy(*block).applyInPandas(_greedy, f"rep {kind}")
         seeds = cut(batch.join(seeds, "rep", "left_semi").select(*block, F.col("rep").alias("seed"), F.col("o").alias("o_b"), F.col("t").alias("t_b"), F.col("f").alias("b")))
         open_items = undecided.select(*block, "rep", "o", F.col("t").alias("t_a"), F.col("f").alias("a"))
@@ -78,13 +110,10 @@ def leader_clusters(items: DataFrame, block, item="item_id", time="published_at"
         decided.append(step)
         undecided = cut(undecided.join(step.select("rep"), "rep", "left_anti"))
         size = min(LARGEST_BATCH, size * 2)
-    if not decided:
-        return rows.select(F.col(item), F.col(item).alias("seed"))
     assigned = decided[0]
     for step in decided[1:]:
         assigned = assigned.unionByName(step)
-    keyed = reps.select(*block, "__sig", "rep").join(assigned, "rep").select(*block, "__sig", "seed")
-    return rows.select(*block, "__sig", F.col(item)).join(keyed, block + ["__sig"]).select(item, "seed")
+    return reps.select(*block, "__sig", "rep").join(assigned, "rep").select(*block, "__sig", "seed")
 
 
 def roll_up(items: DataFrame, clusters: DataFrame, block=("country", "category"), item="item_id", time="published_at", tie="url") -> DataFrame:
@@ -223,8 +252,8 @@ def synthesize(stories: DataFrame, headlines="headlines", country="country") ->
     df = stories.withColumn("__heads", bare)
     df = df.withColumn("__sets", F.transform("__heads", lambda h: F.array_distinct(story_words(h))))
     # words carried by more than one headline weigh three, others one
-    df = df.withColumn("__all", F.flatten("__sets")).withColumn("__low", F.lower(F.array_join("__heads", " ")))
-    df = df.withColumn("__shared", F.filter(F.array_distinct("__all"), lambda w: F.size(F.filter(F.col("__all"), lambda x: x == w)) > 1))
+    df = df.withColumn("__all", F.sort_array(F.flatten("__sets"))).withColumn("__low", F.lower(F.array_join("__heads", " ")))
+    df = df.withColumn("__shared", F.array_distinct(F.filter("__all", lambda w, i: w == F.get(F.col("__all"), i - 1))))  # equal words are neighbours
     scored = F.zip_with("__heads", "__sets", lambda h, s: F.struct((F.size(s) + 2 * F.size(F.array_intersect(s, F.col("__shared")))).alias("p"), F.length(h).alias("l"), h.alias("h")))
     best = F.aggregate(scored, F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("l"), F.lit("").alias("h")),
                        lambda acc, s: F.when((s["p"] > acc["p"]) | ((s["p"] == acc["p"]) & (s["l"] > acc["l"])), s).otherwise(acc))["h"]

@@ -207,3 +207,44 @@ def newest_of_families(events: Events, x, y, family, seen, first, last, ratio: b
             active = active[(at[active] < last[begin + active]) & open_[active].any(axis=1)]
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *found_item]), np.concatenate([none, *found_at])
+
+
+TOGETHER = 128  # items whose seeds are found together
+
+
+def leaders(events: Events, feature, when, timed: int, span, ratio: bool) -> np.ndarray:
+    """For every item, in order, the place of the first seed it matches, its own when it opens a cluster.
+
+    ``when`` falls from item to item; after the first ``timed`` ones come those without a time, which are near everything. Only seeds are compared: first those of earlier batches, then, where none
+    matches, items of the batch with each other.
+    """
+    count, seeds = len(feature), np.zeros(0, np.int64)
+    out = np.arange(count)
+    bound = 1 << 62 if span is None else span
+    for low in range(0, count, TOGETHER):
+        items = np.arange(low, min(count, low + TOGETHER))
+        # seeds are newer than the item, so that those within the span are the last ones
+        first = np.where(items < timed, np.searchsorted(-when[seeds[seeds < timed]], -when[items] - bound, side="left"), 0)
+        nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        i, at = newest_of_families(events, feature[items], feature[seeds], np.zeros(len(seeds), np.int64), nothing, first, np.full(len(items), len(seeds)), ratio)
+        out[items[i]] = seeds[at]
+        left = np.setdiff1d(items, items[i], assume_unique=True)
+        x, y = np.tril_indices(len(left), -1)  # later, earlier
+        x, y = left[x], left[y]
+        near = (x >= timed) | (when[y] - when[x] <= bound)
+        x, y = x[near], y[near]
+        alike = events.near(feature[x], feature[y])
+        if ratio:
+            alike[~alike] = events.ratio(feature[x[~alike]], feature[y[~alike]])
+        x, y = x[alike], y[alike]
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        chosen = set()
+        bounds = np.searchsorted(x, left), np.searchsorted(x, left, side="right")
+        for item, begin, end in zip(left.tolist(), *bounds):
+            seed = next((s for s in y[begin:end].tolist() if s in chosen), item)
+            out[item] = seed
+            if seed == item:
+                chosen.add(item)
+        seeds = np.concatenate([seeds, np.array(sorted(chosen), np.int64)])
+    return out

@@ -1,6 +1,7 @@
 """Pairs that are tested on arrays follow the rule for single pairs; cells of any size give the same merged sources."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -50,3 +51,27 @@ def test_merged_sources_do_not_depend_on_the_size_of_cells(spark, monkeypatch):
     monkeypatch.setattr(cluster, "STORIES", 7)
     monkeypatch.setattr(cluster, "ADDITIONS", 9)
     assert found() == whole and len(whole) > 100 and all(f is not None for _, f in whole)
+
+
+@pytest.mark.parametrize("days", [7, None])
+def test_blocks_in_one_task_have_the_leaders_of_rounds(spark, monkeypatch, days):
+    """Small batches, blocks of which some go through rounds, items without a time, and copies."""
+    rnd = random.Random(5)
+    start = datetime(2024, 1, 10)
+    pool = ["drone", "strike", "port", "odesa", "flood", "closes", "rail", "busan", "12", "talks", "senate", "grain", "convoy", "cargo"]
+    rows = [(i, "AAB"[i % 3], " ".join(rnd.sample(pool, rnd.randrange(0, 5))), f"u{i % 13}", None if i % 11 == 0 else start + timedelta(hours=rnd.randrange(900))) for i in range(140)]
+    items = spark.createDataFrame(rows + [(1000 + r[0], *r[1:]) for r in rows[::7]], "item_id long, country string, headline string, url string, published_at timestamp")
+    found = lambda: {r["item_id"]: r["seed"] for r in cluster.leader_clusters(items, ["country"], days=days).collect()}
+    monkeypatch.setattr(pairing, "TOGETHER", 9)
+    walked = found()
+    monkeypatch.setattr(cluster, "ONE_TASK", 60)
+    assert found() == walked and len(walked) == items.count() > 1.5 * len(set(walked.values()))
+
+
+def test_wording_of_a_large_story_is_linear_in_its_words(spark):
+    """20,000 words, each in one headline but for two: the first headline with most shared words, then the longest, leads."""
+    heads = [f"Senate {' '.join(f'w{i}x{j}' for j in range(6))}" + (" talks" if i in (7, 2500) else "") for i in range(3000)]
+    df = spark.createDataFrame([("Mexico", heads)], "country string, headlines array<string>")
+    begun = time.time()
+    assert cluster.synthesize(df).first()["event_headline"].lower() == heads[2500].lower()
+    assert time.time() - begun < 30
