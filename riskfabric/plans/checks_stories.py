@@ -162,7 +162,7 @@ def merged_sources(spark, folder, ratio=True):
 def cluster_event_wording(spark, folder):
     a = B.articles(spark, folder).select(F.col("article_id").alias("item_id"), "country", "category", "headline", "publisher", "url", "published_at", "coverage_scope", "sources", "summary")
     seeds = cluster.leader_clusters(a, BLOCK)
-    heads = a.join(seeds, "item_id").groupBy("seed").agg(F.first("country").alias("country"), F.transform(F.array_sort(F.collect_list(F.struct("item_id", "headline"))), lambda h: h["headline"]).alias("headlines"))
+    heads = a.join(seeds, "item_id").groupBy("seed").agg(F.first("country").alias("country"), F.transform(F.sort_array(F.collect_list(F.struct("item_id", "headline"))), lambda h: h["headline"]).alias("headlines"))
     return cluster.synthesize(heads).select("seed", "country", "event_headline", "event_summary")
 
 
